@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.scores import round_to
+
 # Smoothing floor, level cuts, full-risk mark and alert mark.
 EPSILON = 1e-4
 LOW, MEDIUM, HIGH = 0.1, 0.2, 0.3
@@ -56,7 +58,7 @@ def risk_pct(col: Column | str) -> Column:
     """PSI as a share of the full-risk mark in percent, 0 to 100, one decimal."""
     source = F.col(col) if isinstance(col, str) else col
     scaled = F.least(F.greatest(source / F.lit(FULL_RISK) * F.lit(100.0), F.lit(0.0)), F.lit(100.0))
-    return F.coalesce(F.round(scaled, 1), F.lit(0.0))
+    return F.coalesce(round_to(scaled, 1), F.lit(0.0))
 
 
 def drift_status(psi_col: Column | str, rows: Column | str) -> Column:
@@ -76,5 +78,5 @@ def with_risk(df: DataFrame, col: str = "psi") -> DataFrame:
     return (
         df.withColumn("level", psi_level(col))
         .withColumn("risk_pct", risk_pct(col))
-        .withColumn(col, F.round(F.col(col), 4))
+        .withColumn(col, round_to(col, 4))
     )

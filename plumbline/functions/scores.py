@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 from plumbline.functions.labels import MODELS, label_name
 
 
+def round_to(value: Column | str, digits: int) -> Column:
+    """Round the double itself, half away from zero.
+
+    ``round(x, digits)`` rounds the shortest decimal text of ``x`` instead and
+    lifts values that only look like a tie.
+    """
+    source = F.col(value) if isinstance(value, str) else value
+    scale = F.lit(float(10**digits))
+    return F.round(source * scale) / scale
+
+
 def softmax(logits: Sequence[Column]) -> list[Column]:
     """Probabilities of the given logits, shifted by their maximum."""
     top = F.greatest(*logits)
@@ -65,7 +76,7 @@ def decide(
         df.withColumn("_first", first_speaks)
         .withColumn("label", F.when(F.col("_first"), label_1).otherwise(label_2).cast("int"))
         .withColumn(
-            "confidence", F.round(F.when(F.col("_first"), conf_1).otherwise(conf_2), 4)
+            "confidence", round_to(F.when(F.col("_first"), conf_1).otherwise(conf_2), 4)
         )
         .withColumn("model_used", F.when(F.col("_first"), names[0]).otherwise(names[1]))
         .withColumn("sentiment", label_name("label"))

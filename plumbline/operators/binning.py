@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.psi import EPSILON, valid_number
-from plumbline.plans.small import fitted
+from plumbline.plans.small import Fitted, fitted
 
 # Edges of the confidence bins used while there is no training score.
 DEFAULT_CONFIDENCE_EDGES = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0)
 DEFAULT_BINS = 10
-# A row is matched against this many edges by flat comparisons.
-MAX_EDGES = 33
+# Up to this many edges are matched by flat comparisons.
+FLAT_EDGES = 17
 
 
 # ---------------------------------------------------------------- bin of a value
@@ -32,22 +32,32 @@ def count_reached(value: str, edges: str, op: str, first: int, last: int) -> str
     """
     return " + ".join(
         f"if({value} {op} get({edges}, {i}), 1, 0)" for i in range(first, last + 1)
-    )
+    ) or "0"
 
 
-def bin_index(value: str, edges: str, max_edges: int = MAX_EDGES, open_ends: bool = False) -> Column:
-    """0-based bin of column ``value``; null outside the edges unless ``open_ends``."""
-    # The last edge closes the last bin, so it opens no bin of its own.
-    reached = count_reached(value, edges, ">=", 1, max_edges - 2)
-    inner = f"least({reached}, size({edges}) - 2)"
-    guarded = (
-        f"if(size({edges}) > {max_edges}, "
-        f"cast(raise_error('more than {max_edges} bin edges') as int), {inner})"
-    )
+def bin_index(value: str, edges: str, n_edges: int | None = None, open_ends: bool = False) -> Column:
+    """0-based bin of column ``value``; null outside the edges unless ``open_ends``.
+
+    ``n_edges`` is the greatest number of edges any row meets. Without it, or
+    when it is large, a lambda over the array takes any number.
+    """
+    if n_edges is not None and n_edges <= FLAT_EDGES:
+        # The last edge closes the last bin, so it opens no bin of its own.
+        reached = count_reached(value, edges, ">=", 1, n_edges - 2)
+    else:
+        reached = f"size(filter({edges}, e -> e <= {value})) - 1"
+    inner = f"greatest(least({reached}, size({edges}) - 2), 0)"
     ok = f"{value} is not null and not isnan({value}) and {edges} is not null"
     if not open_ends:
         ok += f" and {value} >= get({edges}, 0) and {value} <= get({edges}, size({edges}) - 1)"
-    return F.expr(f"case when {ok} then {guarded} end")
+    return F.expr(f"case when {ok} then {inner} end")
+
+
+def most_edges(params: Fitted, *columns: str) -> int | None:
+    """The longest edge array of a fitted frame, if its rows are known."""
+    if not params.small:
+        return None
+    return max((len(r[c]) for r in params.rows for c in columns if r[c] is not None), default=2)
 
 
 # ---------------------------------------------------------------- edges
@@ -195,7 +205,7 @@ def share(n: Column, total: Column, bins: Column) -> Column:
 def histogram(
     df: DataFrame,
     column: str,
-    edges: DataFrame,
+    edges: DataFrame | Fitted,
     by: Sequence[str] = (),
     open_ends: bool = False,
 ) -> DataFrame:
@@ -206,12 +216,13 @@ def histogram(
     before the only shuffle, which carries one row per bin and task.
     """
     keys = list(by)
-    params = fitted(edges.select(*keys, "edges"))
+    params = fitted(edges)
     rows = df.select(*keys, F.col(column).cast("double").alias("x"))
+    index = bin_index("x", "edges", most_edges(params, "edges"), open_ends)
     counts = (
         params.attach(rows, keys, "edges")
         # -1 stands for "outside": dropping such rows by a filter would evaluate the bin twice.
-        .select(*keys, F.coalesce(bin_index("x", "edges", open_ends=open_ends), F.lit(-1)).alias("bin"))
+        .select(*keys, F.coalesce(index, F.lit(-1)).alias("bin"))
         .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )

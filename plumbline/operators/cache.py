@@ -14,15 +14,19 @@ def with_key(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("content_key", content_key(text_col))
 
 
-def cache_miss(rows: DataFrame, scored: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per distinct text that has no score yet.
+def cache_miss(rows: DataFrame, scored: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """The first row of every distinct text that has no score yet.
 
-    Copies collapse before the shuffle, so a text repeated in a third of all
-    rows costs one row per task.
+    Copies collapse to one id per task before the shuffle, so a text repeated
+    in a third of all rows makes no hot key, and only ids and keys are
+    compared; texts are fetched for the rows that remain.
     """
-    keyed = with_key(rows, text_col)
-    once = keyed.groupBy("content_key").agg(F.min(text_col).alias(text_col))
-    return once.join(scored.select("content_key"), "content_key", "left_anti")
+    keyed = rows.select(id_col, content_key(text_col).alias("content_key"))
+    once = keyed.where(F.col("content_key").isNotNull()).groupBy("content_key").agg(
+        F.min(id_col).alias(id_col)
+    )
+    missing = once.join(scored.select("content_key"), "content_key", "left_anti")
+    return rows.join(missing, id_col)
 
 
 def cache_hit(rows: DataFrame, scored: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -19,11 +19,9 @@ from plumbline.functions.labels import MODELS
 from plumbline.functions.psi import drift_status, psi, with_risk
 from plumbline.operators.binning import (
     bin_index,
-    categorical_frequency,
-    categories,
-    edge_bins,
     equal_width_edges,
     histogram,
+    most_edges,
     quantile_edges,
     share,
 )
@@ -66,11 +64,16 @@ def build_baseline(train: DataFrame, signal: Signal, model_col: str = "model_use
     rows = train.withColumnRenamed(model_col, "model")
     by = ["model"]
     if signal.kind == "category":
-        listed = categories(rows, signal.column, by)
-        order = Window.partitionBy("model").orderBy(signal.column)
+        # The categories of a baseline are stored with it, so one small count is all it takes.
+        counts = fitted(
+            rows.where(F.col(signal.column).isNotNull())
+            .groupBy("model", signal.column)
+            .agg(F.count(F.lit(1)).alias("n"))
+        ).df
+        of_model = Window.partitionBy("model")
         freq = (
-            categorical_frequency(rows, signal.column, listed, by)
-            .withColumn("bin", F.row_number().over(order) - 1)
+            counts.withColumn("bin", F.row_number().over(of_model.orderBy(signal.column)) - 1)
+            .withColumn("freq", F.col("n").cast("double") / F.sum("n").over(of_model).cast("double"))
             .withColumn("lo", F.lit(None).cast("double"))
             .withColumn("hi", F.lit(None).cast("double"))
             .withColumn("category", F.col(signal.column).cast("string"))
@@ -80,11 +83,11 @@ def build_baseline(train: DataFrame, signal: Signal, model_col: str = "model_use
             edges = quantile_edges(rows, signal.column, by).withColumn("measured", F.lit(True))
         else:
             edges = equal_width_edges(rows, signal.column, by)
-        params = fitted(edges).df
+        params = fitted(edges)
         bins = Window.partitionBy("model")
         freq = (
             histogram(rows, signal.column, params, by)
-            .join(params.select("model", "measured"), "model")
+            .join(params.hinted().select("model", "measured"), "model")
             # Fixed edges stand for "nothing measured yet": every bin is expected alike.
             .withColumn(
                 "freq",
@@ -152,9 +155,10 @@ def signal_keys(
         )
         rows = rows.withColumns({f"_x{i}": F.col(s.column).cast("double") for i, s in numeric})
         rows = rows.join(per_model.hinted(), "model", "left")
+        n_edges = most_edges(per_model, *[f"_e{i}" for i, _ in numeric])
     keys = []
     for i, s in enumerate(signals):
-        key = bin_index(f"_x{i}", f"_e{i}") if _numeric(s) else F.col(s.column)
+        key = bin_index(f"_x{i}", f"_e{i}", n_edges) if _numeric(s) else F.col(s.column)
         keys.append(key.cast("string").alias(f"k{i}"))
     return rows.select(*extra, "model", *keys)
 

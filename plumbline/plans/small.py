@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import work_path
+
 MAX_FITTED_ROWS = 20_000
 
 
@@ -45,12 +47,14 @@ class Fitted:
         )
 
 
-def fitted(df: DataFrame, max_rows: int = MAX_FITTED_ROWS) -> Fitted:
+def fitted(df: DataFrame | Fitted, max_rows: int = MAX_FITTED_ROWS) -> Fitted:
     """Evaluate a parameter frame once if it is small, keep it lazy if it is not.
 
     At most ``max_rows + 1`` rows ever reach the driver. A larger frame is
     returned as the plan it is and joined by shuffle.
     """
+    if isinstance(df, Fitted):
+        return df
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows:
         return Fitted(df, rows=None)
@@ -58,6 +62,17 @@ def fitted(df: DataFrame, max_rows: int = MAX_FITTED_ROWS) -> Fitted:
     return Fitted(local, rows=table.to_pylist())
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared work folder.
+
+    For frames that several jobs read: their shuffles run once, lineage ends at
+    the files, and a lost executor costs the current stage only.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,

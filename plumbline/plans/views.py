@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.labels import label_id
-from plumbline.functions.scores import argmax, softmax
+from plumbline.functions.scores import argmax, round_to, softmax
 from plumbline.functions.text import text_length
 from plumbline.session import prepare
 
@@ -45,7 +45,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ts",
             "sentiment",
             label_id("sentiment").cast("int").alias("label"),
-            F.round(F.lit(0.34) + F.lit(0.66) * value / (value + F.lit(50.0)), 4).alias("confidence"),
+            round_to(F.lit(0.34) + F.lit(0.66) * value / (value + F.lit(50.0)), 4).alias("confidence"),
             F.when(F.col("user_id") % 2 == 0, "social").otherwise("reviews").alias("model_used"),
         )
     )

@@ -9,7 +9,6 @@ from plumbline.functions.text import text_length
 from plumbline.operators.binning import (
     categorical_frequency,
     categories,
-    edge_bins,
     equal_width_edges,
     histogram,
     quantile_edges,
@@ -22,12 +21,11 @@ from plumbline.operators.drift import (
     build_baselines,
     drift_summary,
     guarded_window,
-    latest,
     production_psi,
     recent,
     volume_guardrail,
 )
-from plumbline.plans.small import fitted
+from plumbline.plans.small import fitted, written
 from plumbline.plans.views import event_rows, predictions, table
 from plumbline.registry.sql import (
     TS,
@@ -143,18 +141,34 @@ def statuses(spark, sf):
 # ---------------------------------------------------------------- baselines and windows
 
 
-def past(df):
-    """Rows before the last week: what the baselines are built from."""
-    return df.where(F.col("ts") < latest(df) - F.expr(f"interval {WEEK_HOURS} hours"))
+def last_time(log):
+    """The end of the log as a literal, so that window filters reach the scan."""
+    text = log.agg(F.max("ts").cast("string")).first()[0]
+    return F.lit(text).cast("timestamp")
 
 
-def baselines(spark, sf, signals=SIGNALS):
-    return build_baselines(past(predictions(spark, sf)), signals)
+def narrow_log(spark, sf, signals=SIGNALS):
+    """The log without its texts.
+
+    Text lengths take a join, and baselines take several passes, so that log is
+    written once, a few dozen bytes per row.
+    """
+    if DATA not in signals:
+        return event_rows(spark, sf)
+    return written(predictions(spark, sf).drop("text"), "log")
+
+
+def windows(log):
+    """Rows before the last week, and those of the last week."""
+    end = last_time(log)
+    past = log.where(F.col("ts") < end - F.expr(f"interval {WEEK_HOURS} hours"))
+    return past, recent(log, WEEK_HOURS, end)
 
 
 def _baseline_query(signal):
     def run(spark, sf):
-        return baselines(spark, sf, [signal]).select(
+        past, _ = windows(narrow_log(spark, sf, [signal]))
+        return build_baselines(past, [signal]).select(
             "model", "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "category",
             F.round("expected", 6).alias("expected"),
         )
@@ -164,20 +178,20 @@ def _baseline_query(signal):
 
 def _drift_query(signal):
     def run(spark, sf):
-        window = recent(predictions(spark, sf), WEEK_HOURS)
-        scores = production_psi(window, baselines(spark, sf, [signal]), [signal])
+        past, week = windows(narrow_log(spark, sf, [signal]))
+        scores = production_psi(week, build_baselines(past, [signal]), [signal])
         return scores.select("model", "signal", "feature", F.round("psi", 6).alias("psi"), "rows")
 
     return run
 
 
 def summary(spark, sf):
-    window = recent(predictions(spark, sf), WEEK_HOURS)
-    return drift_summary(window, baselines(spark, sf))
+    past, week = windows(narrow_log(spark, sf))
+    return drift_summary(week, build_baselines(past))
 
 
 def recent_window(spark, sf):
-    rows = recent(predictions(spark, sf), DAY_HOURS)
+    rows = recent(event_rows(spark, sf), DAY_HOURS)
     return rows.select("row_id", F.date_format("ts", TS_FORMAT).alias("ts"), "sentiment", "confidence")
 
 

@@ -67,7 +67,7 @@ def cached_scores(spark, sf):
 
 def missed(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return cache_miss(docs, cached_scores(spark, sf))
+    return cache_miss(docs, cached_scores(spark, sf), "doc_id")
 
 
 def hit(spark, sf):
@@ -179,7 +179,7 @@ ENTRIES = {
     ),
     "score_cache_miss": (
         missed,
-        "with " + _CACHED.strip() + " select content_key, min(text) as text from keyed where content_key not in (select content_key from cached) group by 1",
+        "with " + _CACHED.strip() + " select min(doc_id) as doc_id, text, content_key from keyed where content_key not in (select content_key from cached) group by all",
     ),
     "score_cache_hit": (
         hit,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.scores import round_to
 from plumbline.operators.drift import PREDICTION, TARGET, build_baselines
 from plumbline.plans.views import event_rows, table
 from plumbline.registry.lifecycle import _anchored
@@ -42,7 +43,7 @@ def log_stream(spark, sf):
             "ts",
             "sentiment",
             F.when(sentiment == "negative", 0).when(sentiment == "neutral", 1).otherwise(2).alias("label"),
-            F.round(F.lit(0.34) + F.lit(0.66) * value / (value + F.lit(50.0)), 4).alias("confidence"),
+            round_to(F.lit(0.34) + F.lit(0.66) * value / (value + F.lit(50.0)), 4).alias("confidence"),
             F.when(F.col("user_id") % 2 == 0, "social").otherwise("reviews").alias("model_used"),
         )
     )
