@@ -38,19 +38,11 @@ def append_log(df: DataFrame, path: str, batch_ts: str) -> None:
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(
-        [
-            *PREDICTION_LOG.fields,
-            T.StructField(CORRUPT, T.StringType()),
-            T.StructField("log_date", T.DateType()),
-        ]
-    )
-    return (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    """Log columns, ``log_date``, and the whole line where it cannot be parsed."""
+    schema = T.StructType([*PREDICTION_LOG.fields, T.StructField(CORRUPT, T.StringType())])
+    lines = spark.read.schema("value string, log_date date").text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.select(F.from_json("value", schema, options).alias("r"), "log_date").select("r.*", "log_date")
 
 
 def read_log(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -71,6 +63,4 @@ def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines that could not be read, whole."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], f"{CORRUPT} string")
-    # All columns are parsed so that the reader can tell which lines are broken.
-    parsed = _read(spark, path).withColumn("_ok", F.struct(*PREDICTION_LOG.names))
-    return parsed.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    return _read(spark, path).where(F.col(CORRUPT).isNotNull()).select(CORRUPT)

@@ -138,36 +138,39 @@ ARCHIVED = T.StructType(
 )
 
 
-class Accumulator(StatefulProcessor):
-    """Accumulation window of one tenant: five values of state, archives out."""
-
-    def __init__(self, days: int = WINDOW_DAYS):
-        self.days = days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.window.get()
-        # One row per tick: the counts were reduced before they came here.
-        ticks = pd.concat(list(rows)).sort_values("tick")
-        closed = []
-        for row in ticks.itertuples(index=False):
-            tick = pd.Timestamp(row.tick)
-            if state is not None and tick - pd.Timestamp(state[-1]) >= pd.Timedelta(days=self.days):
-                closed.append((key[0], pd.Timestamp(state[-1]), tick, *state[:-1]))
-                state = None
-            counts = [int(getattr(row, c)) for c in COUNTS]
-            if state is None:
-                state = (*counts, tick.to_pydatetime())
-            else:
-                state = (*[a + b for a, b in zip(state[:-1], counts)], state[-1])
-        if state is not None:
-            self.window.update(tuple(state))
-        yield pd.DataFrame(closed, columns=ARCHIVED.names)
-
-    def close(self) -> None:
-        pass
+def accumulator(days: int = WINDOW_DAYS) -> StatefulProcessor:
+    """Accumulation window of one tenant: five values of state, archives out.
+
+    The class is made here so that it travels to the workers by value.
+    """
+
+    class Accumulator(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.window = handle.getValueState("window", _STATE)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            state = self.window.get()
+            # One row per tick: the counts were reduced before they came here.
+            ticks = pd.concat(list(rows)).sort_values("tick")
+            closed = []
+            for row in ticks.itertuples(index=False):
+                tick = pd.Timestamp(row.tick)
+                if state is not None and tick - pd.Timestamp(state[-1]) >= pd.Timedelta(days=days):
+                    closed.append((key[0], pd.Timestamp(state[-1]), tick, *state[:-1]))
+                    state = None
+                counts = [int(getattr(row, c)) for c in COUNTS]
+                if state is None:
+                    state = (*counts, tick.to_pydatetime())
+                else:
+                    state = (*[a + b for a, b in zip(state[:-1], counts)], state[-1])
+            if state is not None:
+                self.window.update(tuple(state))
+            yield pd.DataFrame(closed, columns=ARCHIVED.names)
+
+        def close(self) -> None:
+            pass
+
+    return Accumulator()
 
 
 def lifecycle_stream(
@@ -188,7 +191,7 @@ def lifecycle_stream(
         "tenant", F.col("w.start").alias("tick"), *COUNTS
     )
     return ticks.groupBy("tenant").transformWithStateInPandas(
-        statefulProcessor=Accumulator(days),
+        statefulProcessor=accumulator(days),
         outputStructType=ARCHIVED,
         outputMode="Append",
         timeMode="None",

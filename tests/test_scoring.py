@@ -20,25 +20,6 @@ from plumbline.operators.scoring import (
 TEXTS = [("good movie", 2), ("bad movie", 0), ("ok film", 1), ("great", 2), ("terrible", 0)] * 8
 
 
-def keyword_model():
-    def run(texts):
-        out = []
-        for t in texts:
-            if "bad" in t or "terrible" in t:
-                out.append([0.8, 0.1, 0.1])
-            elif "good" in t or "great" in t:
-                out.append([0.05, 0.05, 0.9])
-            else:
-                out.append([0.2, 0.6, 0.2])
-        return np.array(out)
-
-    return run
-
-
-def cheerful_model():
-    return lambda texts: np.tile([0.1, 0.2, 0.7], (len(texts), 1))
-
-
 @pytest.mark.parametrize("negatives, kept", [(0, 0), (1, 1), (11, 2), (20_000, 1000)])
 def test_action_list_size(spark, negatives, kept):
     rows = spark.range(negatives + 5).select(
@@ -57,8 +38,18 @@ def test_action_list_size(spark, negatives, kept):
 
 
 def test_batch_scorers_and_decision(spark):
+    def keywords():
+        def run(texts):
+            known = {"bad": [0.8, 0.1, 0.1], "great": [0.05, 0.05, 0.9]}
+            return np.array([known.get(t.split()[0], [0.2, 0.6, 0.2]) for t in texts])
+
+        return run
+
+    def cheerful():
+        return lambda texts: np.tile([0.1, 0.2, 0.7], (len(texts), 1))
+
     df = spark.createDataFrame([("bad day",), ("great day",), ("day",)], "text string")
-    out = predict(df, {"social": BatchScorer(keyword_model), "reviews": BatchScorer(cheerful_model)})
+    out = predict(df, {"social": BatchScorer(keywords), "reviews": BatchScorer(cheerful)})
     got = {r.text: (r.label, r.confidence, r.model_used) for r in out.collect()}
     assert got == {
         "bad day": (0, 0.8, "social"),
