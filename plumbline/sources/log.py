@@ -40,7 +40,9 @@ def append_log(df: DataFrame, path: str, batch_ts: str) -> None:
 def _read(spark: SparkSession, path: str) -> DataFrame:
     """Log columns, ``log_date``, and the whole line where it cannot be parsed."""
     schema = T.StructType([*PREDICTION_LOG.fields, T.StructField(CORRUPT, T.StringType())])
-    lines = spark.read.schema("value string, log_date date").text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if "log_date" not in lines.columns:
+        lines = lines.withColumn("log_date", F.lit(None).cast("date"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     return lines.select(F.from_json("value", schema, options).alias("r"), "log_date").select("r.*", "log_date")
 
