@@ -115,9 +115,18 @@ def latency_buckets(df: DataFrame, value: str = "seconds") -> DataFrame:
 
 
 def gauge_last(df: DataFrame, value: str, ts: str, id_col: str, labels: Sequence[str]) -> DataFrame:
-    """The last value per label set; rows at the same time are ordered by id."""
-    return df.groupBy(*labels).agg(
-        F.max_by(value, F.struct(ts, id_col)).alias("value"), F.max(ts).alias("ts")
+    """The last value per label set; rows at the same time are ordered by id.
+
+    The last times come first, one per label set, and only rows at those times
+    are compared by id. Both aggregates keep fixed-width state; ordering by a
+    struct of time and id would sort all rows of every task instead.
+    """
+    last = fitted(df.groupBy(*labels).agg(F.max(ts).alias("_last")))
+    at_last = last.attach(df.select(*labels, value, ts, id_col), labels, "_last").where(
+        F.col(ts) == F.col("_last")
+    )
+    return at_last.groupBy(*labels).agg(
+        F.max_by(value, id_col).alias("value"), F.max(ts).alias("ts")
     )
 
 

@@ -30,7 +30,7 @@ from plumbline.operators.drift import (
     volume_guardrail,
 )
 from plumbline.operators.split import stratified_sample
-from plumbline.plans.small import fitted
+from plumbline.plans.small import fitted, written
 
 # Baseline size.
 COMPONENTS, CLUSTERS, SAMPLE, SEED = 5, 10, 10_000, 42
@@ -113,8 +113,10 @@ def fit_semantic(
     seed: int = SEED,
 ) -> SemanticBaseline:
     """Fit PCA and k-means on at most ``max_rows`` stratified rows."""
-    sample = stratified_sample(df, id_col, max_rows, strata, seed).select(
-        array_to_vector(F.col(embedding).cast("array<double>")).alias("_vector")
+    picked = stratified_sample(df, id_col, max_rows, strata, seed)
+    # Fitting reads the sample many times; written, it is a few files instead of a scan of all rows.
+    sample = written(picked.select(F.col(embedding).cast("array<double>").alias("_array")), "sample").select(
+        array_to_vector("_array").alias("_vector")
     )
     n, width = sample.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("_vector")))).first()
     pca = PCA(k=min(components, width, n), inputCol="_vector", outputCol="_reduced")
@@ -174,7 +176,7 @@ def semantic_baselines(expected: DataFrame, models: Sequence[str] = MODELS) -> D
     """Cluster shares as rows of the baseline table, for every model that uses them."""
     names = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
     none = F.lit(None).cast("double")
-    return expected.select(
+    rows = expected.select(
         names,
         F.lit(SEMANTIC.name).alias("signal"),
         F.lit(SEMANTIC.column).alias("feature"),
@@ -185,6 +187,7 @@ def semantic_baselines(expected: DataFrame, models: Sequence[str] = MODELS) -> D
         F.col("cluster").cast("string").alias("category"),
         F.col("share").alias("expected"),
     )
+    return fitted(rows).df
 
 
 def semantic_psi(log: DataFrame, baselines: DataFrame, model_col: str = "model_used") -> DataFrame:

@@ -16,8 +16,9 @@ from plumbline.operators.semantic import (
     semantic_drift_job,
     semantic_psi,
 )
+from plumbline.plans.small import written
 from plumbline.plans.views import event_rows, rows_of, table
-from plumbline.registry.drift import _GUARD
+from plumbline.registry.drift import _GUARD, last_time
 from plumbline.registry.sql import level, psi_of, risk, with_views
 
 K = 10
@@ -29,11 +30,15 @@ def clustered(spark, sf):
     return nearest_centroid(vectors, mean_centroids(vectors)).select("vec_id", "cluster")
 
 
-def cluster_log(spark, sf):
-    """The log with the cluster of the vector each event is about."""
-    clusters = clustered(spark, sf)
-    log = event_rows(spark, sf).withColumn("vec_id", F.col("row_id") % rows_of(table(spark, sf, "embeddings")))
-    return log.join(clusters, "vec_id")
+def log_and_baselines(spark, sf):
+    """The log with the cluster of the vector each event is about, and the expected shares.
+
+    Vectors are assigned once; what both sides read is a narrow table of ids.
+    """
+    clusters = written(clustered(spark, sf), "clusters")
+    vectors = rows_of(table(spark, sf, "embeddings"))
+    log = event_rows(spark, sf).withColumn("vec_id", F.col("row_id") % vectors).join(clusters, "vec_id")
+    return log, semantic_baselines(cluster_share(clusters, K))
 
 
 def assigned(spark, sf):
@@ -44,17 +49,14 @@ def shares(spark, sf):
     return cluster_share(clustered(spark, sf), K).select("cluster", "n", F.round("share", 6).alias("share"))
 
 
-def _baselines(spark, sf):
-    return semantic_baselines(cluster_share(clustered(spark, sf), K))
-
-
 def scored(spark, sf):
-    out = semantic_psi(cluster_log(spark, sf), _baselines(spark, sf))
+    out = semantic_psi(*log_and_baselines(spark, sf))
     return out.select("model", F.round("psi", 6).alias("psi"), "rows")
 
 
 def drift_report(spark, sf):
-    return semantic_drift_job(cluster_log(spark, sf), _baselines(spark, sf))
+    now = last_time(event_rows(spark, sf))
+    return semantic_drift_job(*log_and_baselines(spark, sf), now=now)
 
 
 def fitted_shares(spark, sf):
