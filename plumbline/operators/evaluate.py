@@ -7,13 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.plans.small import fitted
+
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """``label, pred, n``: the only pass over the rows."""
+    """``label, pred, n``: the only pass over the rows.
+
+    Rows without a label or prediction are dropped by their count: a filter on
+    the prediction would be pushed below the scorer and run it twice.
+    """
+    both = F.when(F.col(label).isNotNull(), F.col(pred))
     return (
-        df.where(F.col(label).isNotNull() & F.col(pred).isNotNull())
-        .groupBy(F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("pred"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.groupBy(F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("pred"))
+        .agg(F.count(both).alias("n"))
+        .where(F.col("n") > 0)
     )
 
 
@@ -74,7 +81,8 @@ def evaluate_per_class(matrix: DataFrame, labels: Sequence[int] = (0, 1, 2)) ->
 
 def evaluation_report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """Long report ``metric, class, value`` with values at four decimals."""
-    matrix = confusion_matrix(df, label, pred)
+    # One row per pair of classes: counted once, so the rows are scored once.
+    matrix = fitted(confusion_matrix(df, label, pred)).df
     overall = evaluate_overall(matrix).select(
         "metric", F.lit(None).cast("int").alias("class"), "value"
     )

@@ -23,6 +23,16 @@ CLASS_WEIGHTS = {0: 1.1, 1: 1.0, 2: 1.0}
 CLASSES = 3
 
 
+def evaluated_once(value: Column) -> Column:
+    """Keep filters on a model's outcome above the model.
+
+    A filter that moves below a projection takes a copy of its expressions
+    along, here the whole model. Projections with a random term stay put; the
+    term itself is always true.
+    """
+    return F.when(F.rand() * 0.0 < 1.0, value)
+
+
 class Scorer(Protocol):
     """Adds a probability array named ``{name}_probs`` to a frame with a text column."""
 
@@ -38,7 +48,7 @@ class PipelineScorer:
     def probabilities(self, df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
         source = df if text_col == "text" else df.withColumn("text", F.col(text_col))
         return self.model.transform(source).select(
-            *df.columns, vector_to_array("probability").alias(f"{name}_probs")
+            *df.columns, evaluated_once(vector_to_array("probability")).alias(f"{name}_probs")
         )
 
 
@@ -61,7 +71,7 @@ class BatchScorer:
             for texts in batches:
                 yield pd.Series(list(np.asarray(model(texts.tolist()), dtype=float)), index=texts.index)
 
-        return df.withColumn(f"{name}_probs", run(F.col(text_col)))
+        return df.withColumn(f"{name}_probs", run.asNondeterministic()(F.col(text_col)))
 
 
 def score(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.psi import drift_status, psi, psi_level, risk_pct, with_risk
+from plumbline.functions.scores import round_to
 from plumbline.functions.text import text_length
 from plumbline.operators.binning import (
     categorical_frequency,
@@ -49,7 +50,7 @@ def lengths(spark, sf):
 
 
 def _edges_long(edges, by):
-    return edges.select(*by, F.posexplode("edges").alias("i", "edge")).withColumn("edge", F.round("edge", 6))
+    return edges.select(*by, F.posexplode("edges").alias("i", "edge")).withColumn("edge", round_to("edge", 6))
 
 
 def quantile_bins(spark, sf):
@@ -79,7 +80,7 @@ def _length_frames(spark, sf):
 def histogram_freq(spark, sf):
     _, actual = _length_frames(spark, sf)
     return actual.select(
-        "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n", F.round("freq", 6).alias("freq")
+        "bin", round_to("lo", 6).alias("lo"), round_to("hi", 6).alias("hi"), "n", round_to("freq", 6).alias("freq")
     )
 
 
@@ -92,7 +93,7 @@ def psi_numeric(spark, sf):
     scored = psi(bins, [])
     return scored.select(
         F.lit("text_length").alias("feature"),
-        F.round("psi", 6).alias("psi"),
+        round_to("psi", 6).alias("psi"),
         psi_level("psi").alias("level"),
         risk_pct("psi").alias("risk_pct"),
     )
@@ -109,7 +110,7 @@ def _source_frames(spark, sf):
 
 def categorical_freq(spark, sf):
     _, actual = _source_frames(spark, sf)
-    return actual.select("source", "n", F.round("freq", 6).alias("freq"))
+    return actual.select("source", "n", round_to("freq", 6).alias("freq"))
 
 
 def psi_categorical(spark, sf):
@@ -117,7 +118,7 @@ def psi_categorical(spark, sf):
     bins = expected.select("source", F.col("freq").alias("expected")).join(
         actual.select("source", F.col("freq").alias("actual")), "source"
     )
-    return psi(bins, []).select(F.lit("source").alias("feature"), F.round("psi", 6).alias("psi"))
+    return psi(bins, []).select(F.lit("source").alias("feature"), round_to("psi", 6).alias("psi"))
 
 
 def category_rows(spark, sf):
@@ -169,8 +170,8 @@ def _baseline_query(signal):
     def run(spark, sf):
         past, _ = windows(narrow_log(spark, sf, [signal]))
         return build_baselines(past, [signal]).select(
-            "model", "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "category",
-            F.round("expected", 6).alias("expected"),
+            "model", "bin", round_to("lo", 6).alias("lo"), round_to("hi", 6).alias("hi"), "category",
+            round_to("expected", 6).alias("expected"),
         )
 
     return run
@@ -180,7 +181,7 @@ def _drift_query(signal):
     def run(spark, sf):
         past, week = windows(narrow_log(spark, sf, [signal]))
         scores = production_psi(week, build_baselines(past, [signal]), [signal])
-        return scores.select("model", "signal", "feature", F.round("psi", 6).alias("psi"), "rows")
+        return scores.select("model", "signal", "feature", round_to("psi", 6).alias("psi"), "rows")
 
     return run
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.scores import round_to
 from plumbline.operators.lifecycle import (
     COUNTS,
     anchored_windows,
@@ -49,7 +50,7 @@ def views(spark, sf):
 
 def deltas(spark, sf):
     out = _dates(period_delta(archive(anchored_windows(order_log(spark, sf)))), "start_date")
-    return out.withColumn("delta_pct", F.round("delta_pct", 6))
+    return out.withColumn("delta_pct", round_to("delta_pct", 6))
 
 
 def running(spark, sf):

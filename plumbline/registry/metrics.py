@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.scores import round_to
 from plumbline.operators.metrics import (
     CONFIDENCE_BUCKETS,
     LATENCY_BUCKETS,
@@ -49,7 +50,7 @@ def confidence(spark, sf):
 
 def confidence_mean(spark, sf):
     out = mean_confidence(event_rows(spark, sf))
-    return out.select("model_used", "n", F.round("mean_confidence", 6).alias("mean_confidence"))
+    return out.select("model_used", "n", round_to("mean_confidence", 6).alias("mean_confidence"))
 
 
 def latency(spark, sf):
@@ -61,8 +62,8 @@ def latency_p95(spark, sf):
     return out.select(
         F.date_format("window_start", MINUTE_FORMAT).alias("window_start"),
         "n",
-        F.round("mean_latency", 6).alias("mean_latency"),
-        F.round("p95", 6).alias("p95"),
+        round_to("mean_latency", 6).alias("mean_latency"),
+        round_to("p95", 6).alias("p95"),
     )
 
 
@@ -73,7 +74,7 @@ def gauges(spark, sf):
 
 def snapshot(spark, sf):
     out = metrics_snapshot(event_rows(spark, sf), latencies(spark, sf))
-    return out.select("metric", label_text("labels").alias("labels"), F.round("value", 6).alias("value"))
+    return out.select("metric", label_text("labels").alias("labels"), round_to("value", 6).alias("value"))
 
 
 def _le(column: str, bounds, source: str, by: str = "") -> str:

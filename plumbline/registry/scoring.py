@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import content_key
 from plumbline.functions.labels import recode_stars
-from plumbline.functions.scores import decide, softmax_argmax
+from plumbline.functions.scores import decide, round_to, softmax_argmax
 from plumbline.operators.actions import action_rows
 from plumbline.operators.cache import cache_hit, cache_miss
 from plumbline.operators.evaluate import confusion_matrix, evaluate_overall, evaluate_per_class, evaluation_report
@@ -22,9 +22,9 @@ def softmaxed(spark, sf):
     out = df.withColumn("r", softmax_argmax("logits"))
     return out.select(
         "row_id",
-        *[F.round(F.get("r.probs", F.lit(i)), 6).alias(f"p{i}") for i in range(3)],
+        *[round_to(F.get("r.probs", F.lit(i)), 6).alias(f"p{i}") for i in range(3)],
         "r.pred",
-        F.round("r.confidence", 6).alias("confidence"),
+        round_to("r.confidence", 6).alias("confidence"),
     )
 
 
@@ -37,8 +37,8 @@ def joined(spark, sf):
     first = both.select("row_id", F.col("social_pred").alias("pred"), F.col("social_conf").alias("confidence"))
     second = both.select("row_id", F.col("reviews_pred").alias("pred"), F.col("reviews_conf").alias("confidence"))
     return ensemble_join(first, second).select(
-        "row_id", "social_pred", F.round("social_conf", 6).alias("social_conf"),
-        "reviews_pred", F.round("reviews_conf", 6).alias("reviews_conf"),
+        "row_id", "social_pred", round_to("social_conf", 6).alias("social_conf"),
+        "reviews_pred", round_to("reviews_conf", 6).alias("reviews_conf"),
     )
 
 
@@ -86,12 +86,12 @@ def matrix(spark, sf):
 
 
 def overall(spark, sf):
-    return evaluate_overall(matrix(spark, sf)).select("metric", F.round("value", 6).alias("value"))
+    return evaluate_overall(matrix(spark, sf)).select("metric", round_to("value", 6).alias("value"))
 
 
 def per_class(spark, sf):
     return evaluate_per_class(matrix(spark, sf)).select(
-        "class", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall")
+        "class", round_to("precision", 6).alias("precision"), round_to("recall", 6).alias("recall")
     )
 
 

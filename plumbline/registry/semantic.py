@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.scores import round_to
 from plumbline.operators.semantic import (
     assign_clusters,
     cluster_share,
@@ -46,12 +47,12 @@ def assigned(spark, sf):
 
 
 def shares(spark, sf):
-    return cluster_share(clustered(spark, sf), K).select("cluster", "n", F.round("share", 6).alias("share"))
+    return cluster_share(clustered(spark, sf), K).select("cluster", "n", round_to("share", 6).alias("share"))
 
 
 def scored(spark, sf):
     out = semantic_psi(*log_and_baselines(spark, sf))
-    return out.select("model", F.round("psi", 6).alias("psi"), "rows")
+    return out.select("model", round_to("psi", 6).alias("psi"), "rows")
 
 
 def drift_report(spark, sf):

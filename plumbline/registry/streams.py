@@ -69,7 +69,7 @@ def stream_drift(spark, sf):
     schema = "window_start timestamp, model string, signal string, feature string, rows long, psi double"
     rows = spark.read.schema(schema).parquet(f"{out}/data/batch=*")
     return rows.select(
-        F.date_format("window_start", DATE).alias("day"), "model", "signal", F.round("psi", 6).alias("psi"), "rows"
+        F.date_format("window_start", DATE).alias("day"), "model", "signal", round_to("psi", 6).alias("psi"), "rows"
     )
 
 

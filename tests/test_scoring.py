@@ -110,3 +110,13 @@ def test_cache_with_a_hot_text(spark):
     misses = cache_miss(df, scored, "id").collect()
     assert {r.text for r in misses} == {t for _, t in rows} - {"same words", "text 1"}
     assert len(misses) == len({r.text for r in misses})
+
+
+def test_filter_on_the_outcome_does_not_repeat_the_model(spark):
+    df = spark.createDataFrame(TEXTS, "text string, label int")
+    model = PipelineScorer(train_classifier(df, max_iter=5))
+    kept = predict(df, {"social": model, "reviews": model}).where("sentiment = 'negative' and confidence > 0.1")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("UDF(" in line for line in filters)
+    assert kept.count() == 16
