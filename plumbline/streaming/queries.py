@@ -121,10 +121,13 @@ def drift_stream(
 
 # ---------------------------------------------------------------- lifecycle
 
+DAY_MICROS = 86_400_000_000
+
 _STATE = T.StructType(
     [
         *[T.StructField(c, T.LongType()) for c in COUNTS],
-        T.StructField("created_at", T.TimestampType()),
+        # Microseconds since the epoch: plain numbers do not depend on a worker's time zone.
+        T.StructField("created_at", T.LongType()),
     ]
 )
 
@@ -154,13 +157,14 @@ def accumulator(days: int = WINDOW_DAYS) -> StatefulProcessor:
             ticks = pd.concat(list(rows)).sort_values("tick")
             closed = []
             for row in ticks.itertuples(index=False):
-                tick = pd.Timestamp(row.tick)
-                if state is not None and tick - pd.Timestamp(state[-1]) >= pd.Timedelta(days=days):
-                    closed.append((key[0], pd.Timestamp(state[-1]), tick, *state[:-1]))
+                tick = pd.Timestamp(row.tick).value // 1000
+                if state is not None and tick - state[-1] >= days * DAY_MICROS:
+                    span = [pd.Timestamp(t, unit="us") for t in (state[-1], tick)]
+                    closed.append((key[0], *span, *state[:-1]))
                     state = None
                 counts = [int(getattr(row, c)) for c in COUNTS]
                 if state is None:
-                    state = (*counts, tick.to_pydatetime())
+                    state = (*counts, tick)
                 else:
                     state = (*[a + b for a, b in zip(state[:-1], counts)], state[-1])
             if state is not None:
