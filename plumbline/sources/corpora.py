@@ -10,26 +10,37 @@ from plumbline.operators.split import split_counts
 from plumbline.sources.schemas import SOCIAL
 
 
-def _quoted(spark: SparkSession, encoding: str):
-    """CSV with doubled quotes and line breaks inside quotes."""
+def _quoted(spark: SparkSession, encoding: str, multi_line: bool):
+    """CSV with doubled quotes; with ``multi_line`` also line breaks inside quotes.
+
+    Such files cannot be split, so each is read by one task: a corpus in one
+    very large file without quoted line breaks is better read without.
+    """
     return (
         spark.read.option("encoding", encoding)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
     )
 
 
-def read_social_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+def read_social_csv(
+    spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = True
+) -> DataFrame:
     """The headerless six-column social corpus."""
-    return _quoted(spark, encoding).schema(SOCIAL).csv(path)
+    return _quoted(spark, encoding, multi_line).schema(SOCIAL).csv(path)
 
 
 def read_reviews_csv(
-    spark: SparkSession, path: str, text_col: str = "Text", label_col: str = "Score", encoding: str = "UTF-8"
+    spark: SparkSession,
+    path: str,
+    text_col: str = "Text",
+    label_col: str = "Score",
+    encoding: str = "UTF-8",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Text and integer score of a headed corpus; rows missing either are dropped."""
-    raw = _quoted(spark, encoding).option("header", True).csv(path)
+    raw = _quoted(spark, encoding, multi_line).option("header", True).csv(path)
     kept = raw.select(F.col(text_col), F.col(label_col).cast("int").alias(label_col))
     return drop_missing(kept, [text_col, label_col])
 
