@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality, shards
+from plumbline.llm import decontaminate, quality, sentencepieces, shards, token_counts
 from plumbline.llm.common import read_table
 
 
@@ -12,6 +14,30 @@ def documents(spark, sf_dir):
     return read_table(spark, sf_dir, "documents")
 
 
+def tokenizer(name: str = "piece_bpe_32k.model") -> bytes:
+    """A public model; ``PLUMBLINE_TOKENIZERS`` may name another folder of models."""
+    folder = os.environ.get("PLUMBLINE_TOKENIZERS")
+    if folder:
+        return token_counts.read_model(os.path.join(folder, name))
+    import public_tokenizers
+
+    return token_counts.read_model(public_tokenizers.path(name))
+
+
+def op1_sentencepiece(spark, sf_dir):
+    """Ids of every text and whether decoding gives the text back."""
+    model = tokenizer()
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    back = sentencepieces.decode_ids(sentencepieces.encode(docs, model), model, into="decoded", keep=["doc_id", "text", "ids"])
+    marked = F.regexp_replace("text", "\u2581", " ")
+    return back.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.col("decoded").eqNullSafe(marked).alias("round_trip"),
+    )
+
+
 def op2_decontaminate(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -26,14 +52,24 @@ def op3_shards(spark, sf_dir):
     )
 
 
+def op5_token_counts(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn(
+        "n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    )
+    counted = token_counts.token_counts(docs, tokenizer(), keep=["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op10_divergence(spark, sf_dir):
     judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep=["doc_id"])
     return judged.select("doc_id", "quality.*")
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
+    "op5_token_counts": op5_token_counts,
     "op10_divergence": op10_divergence,
 }
 
