@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import as_bytes, col, map_rows
+from plumbline.plans.small import written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -152,38 +153,45 @@ def corpus_counts(docs: DataFrame, text: str, lang: str, least_words: int) -> Da
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits()) -> dict:
     """``{lang: (class histogram, common words, their histogram with the rest last)}``; ``...`` is the shared one.
 
-    Only common words reach the driver: at most ``1 / common_share`` for a language, and only
-    languages of ``least_language`` words count by themselves.
+    Counts are added up once and stored. Only common words reach the driver, at most
+    ``1 / common_share`` for a language of ``least_language`` words or more; the smaller
+    languages count as one. What is common over all is common in one of these, so the
+    shared reference needs no further pass over all words.
     """
-    counts = corpus_counts(docs, text, lang, limits.least_words)
-    per_lang = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("total"))
-    large = per_lang.where(F.col("total") >= limits.least_language)
-    merged_lang = F.when(F.col("total").isNotNull(), F.struct(F.col("lang").alias("l")))
-    named = counts.join(
-        F.broadcast(large.withColumnRenamed("lang", "big")), F.col("lang").eqNullSafe(F.col("big")), "left"
-    ).select(merged_lang.alias("key"), "kind", "word", "n")
-    both = named.where("key is not null").unionByName(
-        named.select(F.lit(None).cast("struct<l:string>").alias("key"), "kind", "word", "n")
-    )
-    summed = both.groupBy("key", "kind", "word").agg(F.sum("n").alias("n"))
-    totals = summed.where("kind = 'w'").groupBy("key").agg(F.sum("n").alias("total"))
-    common = (
-        summed.join(F.broadcast(totals.withColumnRenamed("key", "of")), F.col("key").eqNullSafe(F.col("of")))
-        .where((F.col("kind") == "c") | (F.col("n") >= F.lit(limits.common_share) * F.col("total")))
-        .select("key", "kind", "word", "n", "total")
-    )
-    out: dict = {}
-    for r in common.collect():
-        key = ... if r["key"] is None else r["key"]["l"]
-        classes, words, total = out.setdefault(key, (np.zeros(8), {}, r["total"]))
+    spark = docs.sparkSession
+    counts = written(corpus_counts(docs, text, lang, limits.least_words), "word-counts")
+    is_word, n, share = F.col("kind") == "w", F.sum("n").alias("n"), F.lit(limits.common_share)
+    totals = counts.where(is_word).groupBy("lang").agg(F.sum("n").alias("total"))
+    large = totals.where(F.col("total") >= limits.least_language).collect()
+    rest_total = totals.where(F.col("total") < limits.least_language).agg(F.sum("total").alias("t")).first()["t"] or 0
+    names = spark.createDataFrame([(r["lang"], r["total"]) for r in large], "big string, total long")
+    keyed = counts.join(F.broadcast(names), F.col("lang").eqNullSafe(F.col("big")), "left")
+    own = keyed.where(F.col("total").isNotNull() & (~is_word | (F.col("n") >= share * F.col("total"))))
+    rest = keyed.where(F.col("total").isNull()).groupBy("kind", "word").agg(n)
+    rest = rest.where(~is_word | (F.col("n") >= share * F.lit(rest_total)))
+
+    out = {r["lang"]: ({}, np.zeros(8), r["total"]) for r in large}
+    candidates = {bytes(r["word"]) for r in rest.where(is_word).collect()}
+    for r in own.select("lang", "kind", "word", "n").collect():
         if r["kind"] == "c":
-            classes[int(bytes(r["word"]))] += r["n"]
+            out[r["lang"]][1][int(bytes(r["word"]))] += r["n"]
         else:
-            words[bytes(r["word"])] = r["n"]
+            out[r["lang"]][0][bytes(r["word"])] = r["n"]
+            candidates.add(bytes(r["word"]))
+    total = rest_total + sum(r["total"] for r in large)
+    if total:
+        chosen = F.broadcast(spark.createDataFrame([(w,) for w in candidates], "word binary"))
+        words = counts.where(is_word).join(chosen, "word", "left_semi").groupBy("word").agg(n)
+        common = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= share * F.lit(total)).collect()}
+        classes = np.zeros(8)
+        for r in counts.where(~is_word).groupBy("word").agg(n).collect():
+            classes[int(bytes(r["word"]))] = r["n"]
+        out[...] = (common, classes, total)
     done = {}
-    for key, (classes, words, total) in out.items():
+    for key, (words, classes, total) in out.items():
         order = sorted(words)
-        done[key] = (classes, {w: i for i, w in enumerate(order)}, np.array([*(words[w] for w in order), total - sum(words.values())], float))
+        spread = np.array([*(words[w] for w in order), total - sum(words.values())], float)
+        done[key] = (classes, {w: i for i, w in enumerate(order)}, spread)
     return done
 
 
