@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality, sentencepieces, shards, token_counts
+from plumbline.llm import decontaminate, pseudonyms, quality, sentencepieces, shards, token_counts
 from plumbline.llm.common import read_table
 
 
@@ -60,6 +60,15 @@ def op5_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+#: A fixed key, so that the query's rows can be compared; a corpus gets a secret one.
+QUERY_KEY = "pseudonyms of the registered query"
+
+
+def op6_pseudonyms(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, QUERY_KEY, found="n_values")
+
+
 def op10_divergence(spark, sf_dir):
     judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep=["doc_id"])
     return judged.select("doc_id", "quality.*")
@@ -70,6 +79,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
     "op5_token_counts": op5_token_counts,
+    "op6_pseudonyms": op6_pseudonyms,
     "op10_divergence": op10_divergence,
 }
 
