@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, pseudonyms, quality, sentencepieces, shards, token_counts
+from plumbline.llm import decontaminate, neardup, pseudonyms, quality, sentencepieces, shards, token_counts
 from plumbline.llm.common import read_table
 
 
@@ -69,6 +69,11 @@ def op6_pseudonyms(spark, sf_dir):
     return pseudonyms.pseudonymise(docs, QUERY_KEY, found="n_values")
 
 
+def op9_minhash(spark, sf_dir):
+    found = neardup.near_duplicates(documents(spark, sf_dir))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op10_divergence(spark, sf_dir):
     judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep=["doc_id"])
     return judged.select("doc_id", "quality.*")
@@ -80,7 +85,32 @@ QUERIES = {
     "op3_shards": op3_shards,
     "op5_token_counts": op5_token_counts,
     "op6_pseudonyms": op6_pseudonyms,
+    "op9_minhash": op9_minhash,
     "op10_divergence": op10_divergence,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_minhash": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w
+  from documents where text is not null),
+sets as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s
+  from words),
+classes as (select min(doc_id) as id, s, len(s) as n from sets where len(s) > 0 group by s),
+parts as (select id, n, unnest(s) as x from classes),
+pairs as (
+  select a.id as a, b.id as b, count(*) as i, any_value(a.n) as na, any_value(b.n) as nb
+  from parts a join parts b on a.x = b.x and a.id < b.id group by a.id, b.id),
+links as (select a, b from pairs where 100 * i >= 85 * (na + nb - i)),
+hops as (select a, b from links union all select b, a from links),
+reach(id, component) as (
+  select id, id from classes union select b, component from reach join hops on reach.id = hops.a),
+home as (select id, min(component) as component from reach group by id)
+select d.doc_id, coalesce(len(s.s), 0) as n_shingles, coalesce(h.component, d.doc_id) as component_id,
+  d.doc_id = coalesce(h.component, d.doc_id) as kept
+from documents d left join sets s using (doc_id)
+  left join (select c.s, component from classes c join home using (id)) h on s.s = h.s""",
+}
