@@ -21,8 +21,21 @@ from plumbline.session import prepare
 LETTERS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows that go to Python at once: texts may be long, and a batch is held several times over.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def pin_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough for long texts; smaller settings stay."""
+    now = int(spark.conf.get(BATCH_SETTING, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    pin_batches(spark)
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +79,7 @@ def map_rows(
     names = list(dict.fromkeys([*keep, *uses]))
     order = [names.index(c) for c in keep]
     used = [names.index(c) for c in uses]
+    pin_batches(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(into, kind)])
     arrow = to_arrow_type(kind)
 

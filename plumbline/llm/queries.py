@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, neardup, pseudonyms, quality, sentencepieces, shards, token_counts
+from plumbline.llm import anchors, decontaminate, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts
 from plumbline.llm.common import read_table
 
 
@@ -69,6 +69,15 @@ def op6_pseudonyms(spark, sf_dir):
     return pseudonyms.pseudonymise(docs, QUERY_KEY, found="n_values")
 
 
+def op7_interpolated_lm(spark, sf_dir):
+    return lm.scores(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op8_block_anchors(spark, sf_dir):
+    found = anchors.remove_repeats(documents(spark, sf_dir), with_text=False)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op9_minhash(spark, sf_dir):
     found = neardup.near_duplicates(documents(spark, sf_dir))
     return found.withColumnRenamed("id", "doc_id")
@@ -85,11 +94,27 @@ QUERIES = {
     "op3_shards": op3_shards,
     "op5_token_counts": op5_token_counts,
     "op6_pseudonyms": op6_pseudonyms,
+    "op7_interpolated_lm": op7_interpolated_lm,
+    "op8_block_anchors": op8_block_anchors,
     "op9_minhash": op9_minhash,
     "op10_divergence": op10_divergence,
 }
 
 SQL = {
+    "op8_block_anchors": r"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select doc_id, unnest(range(1, greatest(len(w) - 11, 1))) as i, w from words),
+hashed as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as x from windows),
+least as (select x, min(doc_id) as first from hashed group by x),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as i from hashed join least using (x) where doc_id > first),
+lost as (select doc_id, list(i) as g, count(*) as n from gone group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed,
+  sha256(array_to_string(case when n is null then w
+    else list_transform(list_filter(range(1, len(w) + 1), lambda k: not list_contains(g, k)), lambda k: w[k]) end, ' ')) as kept_sha256
+from words left join lost using (doc_id)""",
     "op9_minhash": r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
