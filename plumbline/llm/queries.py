@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchors, decontaminate, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts
+from plumbline.llm import anchors, decontaminate, licenses, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts
 from plumbline.llm.common import read_table
 
 
@@ -52,6 +52,11 @@ def op3_shards(spark, sf_dir):
     )
 
 
+def op4_licenses(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return licenses.matches(licenses.scan_licenses(docs, keep=["doc_id"]))
+
+
 def op5_token_counts(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn(
         "n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -92,6 +97,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
     "op3_shards": op3_shards,
+    "op4_licenses": op4_licenses,
     "op5_token_counts": op5_token_counts,
     "op6_pseudonyms": op6_pseudonyms,
     "op7_interpolated_lm": op7_interpolated_lm,
