@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, quality
+from plumbline.llm import decontaminate, neardup, pseudonyms, quality, sentencepieces
 from plumbline.llm.common import col, fresh, quoted, read_table
+from plumbline.llm.queries import QUERY_KEY, tokenizer
 from plumbline.plans.small import written
 
 
@@ -16,6 +20,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where(f"{quoted(verdict)}.kept").select(*map(col, docs.columns))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near-copies; rows without an id stay.
+
+    Of rows that share an id, which are one document, the one with the least text stays.
+    """
+    found = written(neardup.near_duplicates(docs, percent=neardup.LEAST_PERCENT), "near-duplicates")
+    names = [col(c) for c in docs.columns]
+    gone = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*names)
+    repeated = found.where("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("k"))
+    repeated = written(repeated.where("k > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    one = kept.join(repeated, "doc_id", "left_semi").select(*names)
+    least = one.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.col("text")).alias("row"), F.first(F.struct(*names)).alias("any"))
+    row = F.coalesce("row", "any")
+    one = least.select(row.alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return kept.join(repeated, "doc_id", "left_anti").select(*names).unionByName(one)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of a benchmark passage."""
     found = fresh(docs, "found")
@@ -23,9 +47,36 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return marked.where(f"size({quoted(found)}.spans) = 0").select(*map(col, docs.columns))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal values replaced by pseudonyms; ``n_chars`` follows where it was the text's length.
+
+    ``PLUMBLINE_KEY`` holds the secret key; without it the key of the registered query is used.
+    """
+    before = fresh(docs, "before")
+    sized = docs.withColumn(before, F.length("text"))
+    out = pseudonyms.pseudonymise(sized, os.environ.get("PLUMBLINE_KEY", QUERY_KEY))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new = F.when(F.col("n_chars") == F.col(before), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", new)
+    return out.select(*map(col, docs.columns))
+
+
+def sentencepiece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, how many there are, and whether decoding them gives the text back."""
+    ids, back = fresh(docs, "ids"), fresh(docs, "decoded")
+    coded = sentencepieces.encode(docs, tokenizer(), into=ids, decoded=back)
+    same = col(back).eqNullSafe(F.regexp_replace("text", "▁", " "))
+    n, trip = fresh(docs, "n_tokens"), fresh(docs, "round_trip")
+    return coded.withColumns({n: F.coalesce(F.size(ids), F.lit(0)).cast("long"), trip: same}).drop(back)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("sentencepiece_codes", sentencepiece_codes),
 ]
 
 #: The stages learn references from the corpus and run a tokenizer, which SQL cannot express.
