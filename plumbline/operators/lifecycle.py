@@ -1,64 +1,85 @@
 """Metric lifecycle: last run, anchored accumulation windows, archive, trends.
 
-Rows are first reduced to counts per tick (a day unless told otherwise), so
-the ordered part of the work sees at most one row per tick and tenant: 366
-per year and tenant at day ticks. The streaming form keeps constant state and
-suits finer ticks.
+Rows are first reduced to counts per batch time (or per tick, when a unit is
+named), so the ordered part of the work sees one row per batch and tenant. It
+reads them in order, one tenant after another, with one start as its state;
+no list of times is gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.labels import SENTIMENTS
-from plumbline.operators.metrics import sentiment_counts
-from plumbline.plans.small import fitted
+from plumbline.operators.metrics import sentiment_counts, series
 
 # Length of an accumulation window and archives kept.
 WINDOW_DAYS = 91
+DAY_MICROS = 86_400_000_000
 ARCHIVES_KEPT = 100
 COUNTS = (*SENTIMENTS, "total")
 
 
-def tick_counts(log: DataFrame, ts: str = "ts", tick: str = "day", by: Sequence[str] = ()) -> DataFrame:
-    """``by..., tick, negative, neutral, positive, total``."""
-    return sentiment_counts(
-        log.where(F.col(ts).isNotNull()).withColumn("tick", F.date_trunc(tick, ts)), [*by, "tick"]
-    )
+def tick_counts(log: DataFrame, ts: str = "ts", tick: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., tick, negative, neutral, positive, total``; a tick is a batch's exact time unless a unit is named."""
+    time = F.col(ts) if tick is None else F.date_trunc(tick, ts)
+    return sentiment_counts(log.where(F.col(ts).isNotNull()).withColumn("tick", time), [*by, "tick"])
 
 
-def window_starts(ticks: DataFrame, by: Sequence[str] = (), days: int = WINDOW_DAYS) -> DataFrame:
-    """``by..., starts``: the first tick, then each first tick ``days`` or more after the last start."""
-    ordered = ticks.groupBy(*by).agg(F.sort_array(F.collect_list("tick")).alias("ticks"))
-    fold = F.expr(
-        "aggregate(ticks, slice(ticks, 1, 1), (starts, t) -> "
-        f"if(t >= element_at(starts, -1) + interval {int(days)} days, concat(starts, array(t)), starts))"
-    )
-    return ordered.select(*by, fold.alias("starts"))
+def with_starts(ticks: DataFrame, by: Sequence[str] = (), days: int = WINDOW_DAYS) -> DataFrame:
+    """Ticks with the ``start_date`` of their window, in one ordered pass per tenant.
+
+    The first tick opens a window, and so does each first tick ``days`` or more after the last
+    start. Elapsed time counts, not calendar days.
+    """
+    span, tenant, columns = int(days) * DAY_MICROS, "_tenant", list(ticks.columns)
+    keyed = ticks.withColumn(tenant, F.to_json(F.struct(*by)) if by else F.lit(""))
+    dealt = keyed.repartition(tenant) if by else keyed.coalesce(1)
+    ordered = dealt.sortWithinPartitions(tenant, "tick").select(*columns, tenant, F.unix_micros("tick").alias("_micros"))
+    schema = ordered.drop(tenant, "_micros").schema.add("_start", "long")
+
+    def fold(batches):
+        now, start = None, None
+        for batch in batches:
+            tenants, micros = batch.column(tenant).to_pylist(), batch.column("_micros").to_numpy()
+            out = np.empty(batch.num_rows, np.int64)
+            for i, (who, t) in enumerate(zip(tenants, micros.tolist())):
+                if who != now or t - start >= span:
+                    now, start = who, t
+                out[i] = start
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), pa.array(out)], names=[*columns, "_start"]
+            )
+
+    folded = ordered.mapInArrow(fold, schema)
+    return folded.withColumn("start_date", F.timestamp_micros("_start")).drop("_start")
 
 
 def assign_windows(ticks: DataFrame, by: Sequence[str] = (), days: int = WINDOW_DAYS) -> DataFrame:
-    """Ticks with ``start_date`` and ``end_date`` of their window; the open one has no end."""
-    starts = fitted(window_starts(ticks, by, days))
-    opened = F.expr("size(filter(starts, s -> s <= tick))")
-    return (
-        starts.attach(ticks, by, "starts")
-        .withColumn("_i", opened)
-        .withColumn("start_date", F.get("starts", F.col("_i") - 1))
-        .withColumn("end_date", F.get("starts", F.col("_i")))
-        .drop("_i", "starts")
-    )
+    """Ticks with ``start_date`` and ``end_date`` of their window; the open one has no end.
+
+    A window ends where the next one of its tenant starts; there are four a year.
+    """
+    started = with_starts(ticks, by, days)
+    order = Window.partitionBy(*by).orderBy("start_date")
+    ends = started.select(*by, "start_date").distinct().withColumn("end_date", F.lead("start_date").over(order))
+    same = F.col("s.start_date") == F.col("e.start_date")
+    for c in by:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}"))
+    return started.alias("s").join(ends.alias("e"), same).select("s.*", "e.end_date")
 
 
 def anchored_windows(
-    log: DataFrame, ts: str = "ts", tick: str = "day", by: Sequence[str] = (), days: int = WINDOW_DAYS
+    log: DataFrame, ts: str = "ts", tick: str | None = None, by: Sequence[str] = (), days: int = WINDOW_DAYS
 ) -> DataFrame:
     """Counts per accumulation window.
 
-    A window opens at the first tick and is closed by the first tick ``days``
+    A window opens at the first batch and is closed by the first batch ``days``
     or more later, which opens the next one. It is neither a fixed grid nor a
     session: the anchor moves with the data.
     """
@@ -77,6 +98,19 @@ def archive(windows: DataFrame, by: Sequence[str] = (), keep: int = ARCHIVES_KEP
     )
 
 
+def lifecycle_gauges(log: DataFrame, ts: str = "ts", tick: str | None = None, days: int = WINDOW_DAYS) -> list[DataFrame]:
+    """The lifecycle's metric series: three views, when the open window began and what it holds."""
+    ticks, windows = tick_counts(log, ts, tick), anchored_windows(log, ts, tick, (), days)
+    opened, past = accumulation(windows), memory_view(archive(windows))
+    return [
+        series(_long(last_run(ticks), []), "inference_view", "n", ["sentiment"]),
+        series(_long(opened, []), "accumulation_view", "n", ["sentiment"]),
+        series(_long(past, ["period"]), "memory_view", "n", ["period", "sentiment"]),
+        series(opened, "accumulation_created_at", F.unix_micros("created_at") / F.lit(1e6)),
+        series(opened, "accumulation_total", "total"),
+    ]
+
+
 def accumulation(windows: DataFrame) -> DataFrame:
     """The open window; ``created_at`` is its start."""
     return windows.where(F.col("end_date").isNull()).drop("end_date").withColumnRenamed(
@@ -104,7 +138,7 @@ def last_run(ticks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def lifecycle_views(
-    log: DataFrame, ts: str = "ts", tick: str = "day", by: Sequence[str] = (), days: int = WINDOW_DAYS
+    log: DataFrame, ts: str = "ts", tick: str | None = None, by: Sequence[str] = (), days: int = WINDOW_DAYS
 ) -> DataFrame:
     """``view, by..., period, counts``: last run, open accumulation, archived periods."""
     ticks = tick_counts(log, ts, tick, by)
@@ -147,7 +181,7 @@ def period_delta(archives: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def running_accumulation(
-    log: DataFrame, ts: str = "ts", tick: str = "day", by: Sequence[str] = (), days: int = WINDOW_DAYS
+    log: DataFrame, ts: str = "ts", tick: str | None = None, by: Sequence[str] = (), days: int = WINDOW_DAYS
 ) -> DataFrame:
     """Running counts per sentiment inside each accumulation window."""
     ticks = assign_windows(tick_counts(log, ts, tick, by), by, days)

@@ -197,6 +197,17 @@ def metrics_snapshot(log: DataFrame, latency: DataFrame | None = None, gauges: S
     return reduce(lambda a, b: a.unionByName(b), [*parts, *gauges])
 
 
+def drift_gauges(summary: DataFrame, semantic: DataFrame | None = None) -> list[DataFrame]:
+    """PSI per model of a drift summary, and of a semantic report, as gauges; models without a score have none."""
+    known = summary.where(F.col("psi").isNotNull())
+    parts = [
+        series(known.where(F.col("signal") == s), f"drift_{s}_psi", "psi", ["model"]) for s in ("data", "prediction", "target")
+    ]
+    if semantic is not None:
+        parts.append(series(semantic.where(F.col("psi").isNotNull()), "semantic_drift_psi", "psi", ["model"]))
+    return parts
+
+
 def fitted_counts(log: DataFrame) -> DataFrame:
     """Confidence bucket counts per sentiment and model, evaluated once."""
     return fitted(bucket_counts(log, "confidence", CONFIDENCE_BUCKETS, ["sentiment", "model_used"])).df

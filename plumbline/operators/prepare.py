@@ -24,6 +24,18 @@ def select_available(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in cols if c in df.columns])
 
 
+def with_text(df: DataFrame) -> DataFrame:
+    """An upload with a ``text`` column: its own, or a copy of its first column.
+
+    Unlike ``upload_text`` every column keeps its name; the copy remembers in
+    its metadata where it comes from, so that the export can leave it out.
+    """
+    if "text" in df.columns:
+        return df.where(F.col("text").isNotNull()).withColumn("text", F.col("text").cast("string"))
+    first = F.col(f"`{df.columns[0]}`")
+    return df.where(first.isNotNull()).withColumn("text", first.cast("string").alias("text", metadata={"copy_of": df.columns[0]}))
+
+
 def upload_text(df: DataFrame) -> DataFrame:
     """Name the text column ``text``: the one of that name, else the first one.
 

@@ -46,10 +46,11 @@ class PipelineScorer:
         self.model = model
 
     def probabilities(self, df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-        source = df if text_col == "text" else df.withColumn("text", F.col(text_col))
-        return self.model.transform(source).select(
-            *df.columns, evaluated_once(vector_to_array("probability")).alias(f"{name}_probs")
-        )
+        # The model sees the text alone: columns of the input cannot meet those of its stages.
+        source = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).alias("text"))
+        scored = self.model.transform(source)
+        columns = [F.col("_row")[c].alias(c) for c in df.columns]
+        return scored.select(*columns, evaluated_once(vector_to_array("probability")).alias(f"{name}_probs"))
 
 
 class BatchScorer:
@@ -77,7 +78,17 @@ class BatchScorer:
 def score(
     df: DataFrame, scorers: Mapping[str, Scorer], text_col: str = "text", classes: int = CLASSES
 ) -> DataFrame:
-    """Add ``{name}_probs``, ``{name}_pred`` and ``{name}_conf`` per scorer, in one pass."""
+    """Add ``{name}_probs``, ``{name}_pred`` and ``{name}_conf`` per scorer, in one pass.
+
+    A missing text is scored as an empty one. Input columns with these names give way.
+    """
+    names = {f"{name}_{kind}" for name in scorers for kind in ("probs", "pred", "conf")}
+    kept = [c for c in df.columns if c not in names]
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_scored_text"))
+    return _score(rows, scorers, classes).drop("_scored_text")
+
+
+def _score(df: DataFrame, scorers: Mapping[str, Scorer], classes: int, text_col: str = "_scored_text") -> DataFrame:
     out = df
     for name, scorer in scorers.items():
         out = scorer.probabilities(out, name, text_col)
@@ -90,15 +101,29 @@ def score(
 
 
 def predict(df: DataFrame, scorers: Mapping[str, Scorer], text_col: str = "text") -> DataFrame:
-    """Score with both models and decide: adds sentiment, label, confidence, model_used."""
+    """Score with both models and decide: adds sentiment, label, confidence, model_used.
+
+    Input columns called sentiment, confidence or model_used are overwritten; one
+    called label stays as ``INPUT_LABEL`` and gets its name back in the export.
+    """
     first, second = list(scorers)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_upload"), F.col(text_col).alias("text"))
     scored = decide(
-        score(df, scorers, text_col),
+        score(rows, scorers),
         (f"{first}_pred", f"{first}_conf"),
         (f"{second}_pred", f"{second}_conf"),
         (first, second),
     )
-    return scored.select(*df.columns, "sentiment", "label", "confidence", "model_used")
+    own = [
+        F.col("_upload")[f.name].alias(INPUT_LABEL if f.name == "label" else f.name, metadata=f.metadata)
+        for f in df.schema.fields
+        if f.name not in ("sentiment", "confidence", "model_used")
+    ]
+    return scored.select(*own, "sentiment", "label", "confidence", "model_used")
+
+
+#: Where an upload's own ``label`` column waits beside the predicted one.
+INPUT_LABEL = "_input_label"
 
 
 def ensemble_join(first: DataFrame, second: DataFrame, id_col: str = "row_id") -> DataFrame:

@@ -33,7 +33,7 @@ from plumbline.operators.split import stratified_sample
 from plumbline.plans.small import fitted, written
 
 # Baseline size.
-COMPONENTS, CLUSTERS, SAMPLE, SEED = 5, 10, 10_000, 42
+COMPONENTS, CLUSTERS, SEED = 5, 10, 42
 
 SEMANTIC = Signal("semantic", "category", "cluster")
 
@@ -109,27 +109,39 @@ def fit_semantic(
     strata: Sequence[str] = (),
     components: int = COMPONENTS,
     clusters: int = CLUSTERS,
-    max_rows: int = SAMPLE,
+    max_rows: int | None = None,
     seed: int = SEED,
 ) -> SemanticBaseline:
-    """Fit PCA and k-means on at most ``max_rows`` stratified rows."""
-    picked = stratified_sample(df, id_col, max_rows, strata, seed)
-    # Fitting reads the sample many times; written, it is a few files instead of a scan of all rows.
-    sample = written(picked.select(F.col(embedding).cast("array<double>").alias("_array")), "sample").select(
-        array_to_vector("_array").alias("_vector")
-    )
+    """Fit PCA and k-means on all rows, or on a stratified sample of ``max_rows``.
+
+    The expected shares are those of all rows in either case. Rows without a vector are left out.
+    """
+    # Fitting reads the vectors many times; written, they are narrow files instead of a scan of all columns.
+    known = df.where(F.col(embedding).isNotNull())
+    vectors = as_vectors(written(known.select(F.col(embedding).cast("array<double>").alias("_array")), "vectors"))
+    if max_rows is None:
+        sample = vectors
+    else:
+        picked = stratified_sample(known, id_col, max_rows, strata, seed)
+        sample = as_vectors(written(picked.select(F.col(embedding).cast("array<double>").alias("_array")), "sample"))
     n, width = sample.select(F.count(F.lit(1)), F.max(F.size(vector_to_array("_vector")))).first()
     pca = PCA(k=min(components, width, n), inputCol="_vector", outputCol="_reduced")
     kmeans = KMeans(k=min(clusters, n), seed=seed, featuresCol="_reduced", predictionCol="cluster")
     model = Pipeline(stages=[pca, kmeans]).fit(sample)
-    shares = cluster_share(model.transform(sample), model.stages[-1].summary.k)
+    shares = cluster_share(model.transform(vectors), model.stages[-1].summary.k)
     return SemanticBaseline(model, fitted(shares).df)
 
 
+def as_vectors(arrays: DataFrame) -> DataFrame:
+    return arrays.select(array_to_vector("_array").alias("_vector"))
+
+
 def assign_clusters(df: DataFrame, model: PipelineModel, embedding: str = "embedding") -> DataFrame:
-    """Add the ``cluster`` of every row under a fitted baseline."""
-    vectors = df.withColumn("_vector", array_to_vector(F.col(embedding).cast("array<double>")))
-    return model.transform(vectors).select(*df.columns, "cluster")
+    """Add the ``cluster`` of every row under a fitted baseline; a row without a vector has none."""
+    present = F.col(embedding).isNotNull()
+    vectors = df.where(present).withColumn("_vector", array_to_vector(F.col(embedding).cast("array<double>")))
+    found = model.transform(vectors).select(*df.columns, "cluster")
+    return found.unionByName(df.where(~present).withColumn("cluster", F.lit(None).cast("int")))
 
 
 def mean_centroids(df: DataFrame, label: str = "label", embedding: str = "embedding") -> DataFrame:
@@ -147,26 +159,47 @@ def nearest_centroid(
 ) -> DataFrame:
     """Add the cluster with the least squared distance; the lower cluster wins a tie.
 
-    The centroids are a checked handful of vectors and travel with the task.
-    Distances are computed per Arrow batch, because array lambdas would be
-    interpreted for every coordinate of every centroid.
+    Centroids travel with the task in blocks of at most ``CENTROID_NUMBERS``
+    coordinates; each block is compared with the best so far. Distances are
+    computed per Arrow batch, because array lambdas would be interpreted for
+    every coordinate of every centroid. A row without a vector has no cluster.
     """
-    params = fitted(centroids.orderBy("cluster"))
-    if not params.small:
-        raise ValueError("too many centroids to send to every task")
-    ordered = sorted(params.rows, key=lambda r: r["cluster"])
-    names = np.array([r["cluster"] for r in ordered])
-    points = np.array([r["centroid"] for r in ordered], dtype=float)
-
-    @F.pandas_udf("int")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        if vectors.empty:
-            return pd.Series([], dtype="int32")
-        x = np.stack(vectors.to_numpy()).astype(float)
-        distance = np.stack([((x - p) ** 2).sum(axis=1) for p in points], axis=1)
-        return pd.Series(names[distance.argmin(axis=1)].astype("int32"))
-
-    return df.withColumn(out, nearest(F.col(embedding)))
+    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("w")).first()
+    blocks = max(1, -(-size["n"] * (size["w"] or 1) // CENTROID_NUMBERS))
+    best = F.lit(None).cast("struct<distance:double,cluster:int>")
+    for block in range(blocks):
+        mine = centroids.where(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == block).collect()
+        if mine:
+            found = nearest_of(sorted((r["cluster"], r["centroid"]) for r in mine))(F.col(embedding))
+            nearer = best.isNull() | (found["distance"] < best["distance"]) | (
+                (found["distance"] == best["distance"]) & (found["cluster"] < best["cluster"])
+            )
+            best = F.when(found["cluster"].isNotNull() & nearer, found).otherwise(best) if block else found
+    return df.withColumn(out, best["cluster"])
+
+
+#: Coordinates of centroids that one task holds: 16 MB.
+CENTROID_NUMBERS = 1 << 21
+
+
+def nearest_of(centroids: list):
+    """A function of a vector column to the nearest of these centroids and its distance."""
+    names = np.array([c for c, _ in centroids], dtype="int32")
+    points = np.array([p for _, p in centroids], dtype=float)
+
+    @F.pandas_udf("distance double, cluster int")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        present = vectors.notna().to_numpy()
+        out = pd.DataFrame({"distance": np.nan, "cluster": pd.array([None] * len(vectors), dtype="Int32")})
+        if present.any():
+            x = np.stack(vectors[present].to_numpy()).astype(float)
+            distance = np.stack([((x - p) ** 2).sum(axis=1) for p in points], axis=1)
+            at = distance.argmin(axis=1)
+            out.loc[present, "distance"] = distance[np.arange(len(at)), at]
+            out.loc[present, "cluster"] = names[at]
+        return out
+
+    return nearest
 
 
 # ---------------------------------------------------------------- drift
@@ -190,6 +223,22 @@ def semantic_baselines(expected: DataFrame, models: Sequence[str] = MODELS) -> D
     return fitted(rows).df
 
 
+def model_baselines(shares: DataFrame, model_col: str = "model_used") -> DataFrame:
+    """Cluster shares per model as rows of the baseline table: every model against its own past."""
+    none = F.lit(None).cast("double")
+    return shares.select(
+        F.col(model_col).alias("model"),
+        F.lit(SEMANTIC.name).alias("signal"),
+        F.lit(SEMANTIC.column).alias("feature"),
+        F.lit("category").alias("kind"),
+        F.col("cluster").alias("bin"),
+        none.alias("lo"),
+        none.alias("hi"),
+        F.col("cluster").cast("string").alias("category"),
+        F.col("share").alias("expected"),
+    )
+
+
 def semantic_psi(log: DataFrame, baselines: DataFrame, model_col: str = "model_used") -> DataFrame:
     """``model, psi, rows`` of a log that carries a ``cluster`` column."""
     return production_psi(log, baselines, [SEMANTIC], model_col).select("model", "psi", "rows")

@@ -5,7 +5,8 @@ Each job reads stored tables, writes its result and returns what it reports.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ from plumbline.operators.drift import SIGNALS, WINDOW_HOURS, Signal, build_basel
 from plumbline.operators.metrics import sentiment_counts
 from plumbline.operators.prepare import drop_missing, to_labelled
 from plumbline.operators.scoring import Scorer, predict, score
+from plumbline.operators.semantic import SemanticBaseline, assign_clusters, fit_semantic, model_baselines, semantic_drift_job
 from plumbline.operators.split import stratified_split
 from plumbline.plans.small import written
-from plumbline.sources.baselines import load_baselines, save_baselines
+from plumbline.sources.baselines import load_baselines, load_semantic, save_baselines, save_semantic
 from plumbline.sources.corpora import read_split, write_splits
 from plumbline.sources.log import append_log, read_log
 from plumbline.sources.results import export_actions, export_results, write_drift_report, write_evaluation
@@ -114,3 +116,51 @@ def drift_job(
     report = written(summary.withColumn("window_hours", F.lit(hours)), "report")
     write_drift_report(report, report_path, now)
     return report
+
+
+Encode = Callable[[DataFrame], DataFrame]  # adds an ``embedding`` array to rows with a ``text``
+
+
+def store_semantic_baseline(
+    spark: SparkSession, splits_path: str, encode: Encode, name: str, path: str
+) -> SemanticBaseline:
+    """Projection, clusters and expected shares of one model's training texts, all of them."""
+    train = read_split(spark, splits_path, "train").where(F.col("text").isNotNull())
+    baseline = fit_semantic(encode(train), "text")
+    save_semantic(baseline, path, name)
+    return baseline
+
+
+def semantic_drift_run(
+    spark: SparkSession,
+    log_path: str,
+    baselines_path: str,
+    encoders: Mapping[str, Encode],
+    report_path: str,
+    now: str,
+    **options,
+) -> DataFrame:
+    """Meaning drift of every model against its own stored baseline.
+
+    Each model's rows pass its encoder and its clusters. A model without a stored baseline is
+    reported as such, and too few rows as too few. ``options`` go to ``semantic_drift_job``.
+    """
+    log = read_log(spark, log_path).withColumnRenamed("timestamp", "ts")
+    parts, expected = [], []
+    for name, encode in encoders.items():
+        mine = log.where(F.col("model_used") == name)
+        baseline = load_semantic(spark, baselines_path, name)
+        if baseline is None:
+            mine = mine.withColumn("cluster", F.lit(None).cast("int"))
+        else:
+            mine = assign_clusters(encode(mine.where(F.col("text").isNotNull())), baseline.model)
+            expected.append(baseline.expected.withColumn("model_used", F.lit(name)))
+        parts.append(mine.select("ts", "model_used", "cluster"))
+    clustered = written(reduce(lambda a, b: a.unionByName(b), parts), "clustered")
+    none = "model string, signal string, feature string, kind string, bin int, lo double, hi double, category string, expected double"
+    baselines = reduce(lambda a, b: a.unionByName(b), map(model_baselines, expected)) if expected else spark.createDataFrame([], none)
+    end = F.lit(now).cast("timestamp")
+    report = semantic_drift_job(clustered.where(F.col("ts") <= end), baselines, tuple(encoders), now=end, **options)
+    report = written(report, "semantic-report")
+    write_drift_report(report, report_path, now)
+    return report

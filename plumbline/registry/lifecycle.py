@@ -18,10 +18,11 @@ from plumbline.operators.lifecycle import (
     tumbling_counts,
 )
 from plumbline.plans.views import event_rows, order_log
-from plumbline.registry.sql import counts_by, with_views
+from plumbline.registry.sql import TS, counts_by, with_views
 
 DATE = "yyyy-MM-dd"
 HOUR = "yyyy-MM-dd HH:mm:ss"
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def _dates(df, *columns, fmt=DATE):
@@ -36,6 +37,11 @@ def anchored_tenants(spark, sf):
     return _dates(anchored_windows(order_log(spark, sf), by=["tenant"]), "start_date", "end_date")
 
 
+def anchored_exact(spark, sf):
+    """Windows of three days over times with microseconds: elapsed time decides, not the calendar."""
+    return _dates(anchored_windows(event_rows(spark, sf), days=3), "start_date", "end_date", fmt=MICROS)
+
+
 def archives(spark, sf):
     return _dates(archive(anchored_windows(order_log(spark, sf))), "start_date", "end_date")
 
@@ -106,7 +112,29 @@ def _sql(body: str, by: str = "") -> str:
 
 _START_END = f"strftime(start_date, {_D}) as start_date, strftime(end_date, {_D}) as end_date, {_C}"
 
+_EVENTS = """
+ev as (
+  select ts, case event_type when 'error' then 'negative' when 'view' then 'neutral' when 'click' then 'neutral'
+    else 'positive' end as sentiment from events
+),
+starts as (
+  select min(ts) as s from ev
+  union all
+  select (select min(ts) from ev where ts >= s + interval 3 days) from starts where s is not null
+),
+spans as (select s as start_date, lead(s) over (order by s) as end_date from starts where s is not null)"""
+
 ENTRIES = {
+    "anchored_exact": (
+        anchored_exact,
+        with_views(
+            [],
+            f"""select strftime(start_date, {TS}) as start_date, strftime(end_date, {TS}) as end_date, {counts_by()}
+            from spans join ev on ts >= start_date and (end_date is null or ts < end_date) group by start_date, end_date""",
+            _EVENTS,
+            recursive=True,
+        ),
+    ),
     "anchored_91d": (anchored, _sql(f"select {_START_END} from windows")),
     "anchored_91d_tenants": (anchored_tenants, _sql(f"select tenant, {_START_END} from windows", "tenant")),
     "archive_periods": (archives, _sql(f"select {_START_END} from archived")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.scores import round_to
@@ -9,6 +11,7 @@ from plumbline.operators.metrics import (
     CONFIDENCE_BUCKETS,
     LATENCY_BUCKETS,
     confidence_buckets,
+    drift_gauges,
     gauge_last,
     label_text,
     latency_buckets,
@@ -19,10 +22,17 @@ from plumbline.operators.metrics import (
     sentiment_counts,
     sentiment_share,
 )
-from plumbline.plans.views import event_rows, latencies, predictions, table
+from plumbline.operators.lifecycle import lifecycle_gauges
+from plumbline.plans.small import fitted
+from plumbline.plans.views import event_rows, latencies, order_log, predictions, table
+from plumbline.registry import drift, lifecycle, semantic
 from plumbline.registry.sql import TS, counts_by, with_views
 from plumbline.sources.log import log_rows
 
+drift_summary_query, DRIFT_SQL = drift.ENTRIES["drift_summary"]
+semantic_report, SEMANTIC_SQL = semantic.ENTRIES["semantic_drift_report"]
+LIFECYCLE_SQL = lifecycle.ENTRIES["lifecycle_views"][1]
+
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 MINUTE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -77,6 +87,14 @@ def snapshot(spark, sf):
     return out.select("metric", label_text("labels").alias("labels"), round_to("value", 6).alias("value"))
 
 
+def families(spark, sf):
+    """The lifecycle's and the drift's families, which ``metrics_snapshot`` takes as gauges."""
+    summary_ = fitted(drift_summary_query(spark, sf)).df
+    parts = [*lifecycle_gauges(order_log(spark, sf)), *drift_gauges(summary_, semantic_report(spark, sf))]
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    return out.select("metric", label_text("labels").alias("labels"), round_to("value", 6).alias("value"))
+
+
 def _le(column: str, bounds, source: str, by: str = "") -> str:
     """Cumulative bucket rows, one branch per bound."""
     group = f"group by {by}" if by else ""
@@ -98,7 +116,23 @@ _CASES = "".join(
 )
 _BUCKET_COUNTS = ", ".join(f"count(*) filter (where seconds <= {b}::double) as c{i}" for i, b in enumerate(LATENCY_BUCKETS))
 
+_LIFE = [
+    f"select 'inference_view' as metric, 'sentiment={s}' as labels, {s}::double as value from views where view = 'inference' "
+    f"union all select 'accumulation_view', 'sentiment={s}', {s}::double from views where view = 'accumulation' "
+    f"union all select 'memory_view', 'period=' || period || ',sentiment={s}', {s}::double from views where view = 'memory'"
+    for s in ("negative", "neutral", "positive")
+]
+_FAMILIES = f"""
+with views as ({LIFECYCLE_SQL}), drifts as ({DRIFT_SQL}), semantics as ({SEMANTIC_SQL})
+select metric, labels, round(value, 6) as value from (
+  {' union all '.join(_LIFE)}
+  union all select 'accumulation_total', '', total::double from views where view = 'accumulation'
+  union all select 'accumulation_created_at', '', epoch(strptime(period, '%Y-%m-%d')) from views where view = 'accumulation'
+  union all select 'drift_' || signal || '_psi', 'model=' || model, psi from drifts where psi is not null
+  union all select 'semantic_drift_psi', 'model=' || model, psi from semantics where psi is not null)"""
+
 ENTRIES = {
+    "metrics_families": (families, _FAMILIES),
     "prediction_log": (
         logged,
         with_views(

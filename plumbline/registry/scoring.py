@@ -10,11 +10,14 @@ from plumbline.functions.scores import decide, round_to, softmax_argmax
 from plumbline.operators.actions import action_rows
 from plumbline.operators.cache import cache_hit, cache_miss
 from plumbline.operators.evaluate import confusion_matrix, evaluate_overall, evaluate_per_class, evaluation_report
-from plumbline.operators.scoring import PipelineScorer, ensemble_join, predict, score, train_classifier
+from plumbline.operators.prepare import with_text
+from plumbline.operators.scoring import INPUT_LABEL, PipelineScorer, ensemble_join, predict, score, train_classifier
 from plumbline.operators.split import stratified_split
 from plumbline.plans.views import customers, event_rows, logits, reviews, rows_of, scores, table
 from plumbline.registry.prepare import labelled_rows
 from plumbline.registry.sql import with_views
+from plumbline.session import work_path
+from plumbline.sources.results import export_results
 
 
 def softmaxed(spark, sf):
@@ -145,7 +148,27 @@ overall as (
   from classes
 )"""
 
+def export_columns(spark, sf):
+    """An upload with a label of its own, its text in the first column, through the export and back."""
+    upload = table(spark, sf, "documents").select(
+        F.col("text").alias("review"), "doc_id", F.col("source").alias("label"), F.lit("theirs").alias("confidence")
+    )
+    decided_ = with_text(upload).drop("confidence").withColumnRenamed("label", INPUT_LABEL)
+    scored = decided_.withColumns(
+        {"sentiment": F.lit("neutral"), "label": F.lit(1), "confidence": F.lit(0.5), "model_used": F.lit("social")}
+    )
+    path = work_path(spark, "export")
+    export_results(scored, path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select(F.col("doc_id").cast("long"), "review", "label", "sentiment", F.col("confidence").cast("double"), "model_used")
+
+
 ENTRIES = {
+    "export_columns": (
+        export_columns,
+        """select doc_id, text as review, source as label, 'neutral' as sentiment, 0.5::double as confidence, 'social' as model_used
+        from documents""",
+    ),
     "softmax_argmax": (
         softmaxed,
         with_views(

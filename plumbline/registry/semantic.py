@@ -12,6 +12,7 @@ from plumbline.operators.semantic import (
     fit_encoder,
     fit_semantic,
     mean_centroids,
+    model_baselines,
     nearest_centroid,
     semantic_baselines,
     semantic_drift_job,
@@ -21,6 +22,8 @@ from plumbline.plans.small import written
 from plumbline.plans.views import event_rows, rows_of, table
 from plumbline.registry.drift import _GUARD, last_time
 from plumbline.registry.sql import level, psi_of, risk, with_views
+from plumbline.session import work_path
+from plumbline.sources.baselines import load_baselines, save_baselines
 
 K = 10
 
@@ -60,6 +63,23 @@ def drift_report(spark, sf):
     return semantic_drift_job(*log_and_baselines(spark, sf), now=now)
 
 
+def stored_drift(spark, sf):
+    """Each model against the shares of its own past, through the baseline store and back."""
+    clusters = written(clustered(spark, sf), "clusters")
+    vectors = rows_of(table(spark, sf, "embeddings"))
+    log = event_rows(spark, sf).withColumn("vec_id", F.col("row_id") % vectors).join(clusters, "vec_id")
+    split = last_time(event_rows(spark, sf)) - F.expr("interval 168 hours")
+    path = work_path(spark, "semantic-baselines")
+    past = cluster_share(log.where(F.col("ts") < split), K, by=["model_used"])
+    save_baselines(model_baselines(past), path)
+    stored = load_baselines(spark, path, signals=["semantic"])
+    return scored_by(log.where(F.col("ts") >= split), stored)
+
+
+def scored_by(log, baselines):
+    return semantic_psi(log, baselines).select("model", round_to("psi", 6).alias("psi"), "rows")
+
+
 def fitted_shares(spark, sf):
     vectors = table(spark, sf, "embeddings")
     baseline = fit_semantic(vectors, "vec_id", strata=["label"])
@@ -130,6 +150,25 @@ levels as (
 )""",
         ),
     ),
+    "semantic_drift_stored": (
+        stored_drift,
+        with_views(
+            ["v_cluster_log"],
+            "select model, round(psi, 6) as psi, nrows as rows from scored join model_rows using (model)",
+            f"""edge as (select max(ts) - interval 168 hours as t from v_cluster_log),
+past as (select * from v_cluster_log where ts < (select t from edge)),
+expected as (
+  select m.model, k.k as cluster, (select count(*) from past p where p.model_used = m.model and p.cluster = k.k)::double
+    / (select count(*) from past p where p.model_used = m.model) as expected
+  from (select distinct model_used as model from past) m, (select cast(unnest(range({K})) as int) as k) k),
+rws as (select * from v_cluster_log where ts >= (select t from edge)),
+model_rows as (select model_used as model, count(*) as nrows from rws group by 1),
+freq as (
+  select model, expected, (select count(*) from rws r where r.model_used = e.model and r.cluster = e.cluster)::double / nrows as actual
+  from expected e join model_rows using (model)),
+scored as ({psi_of('freq', 'model')})""",
+        ),
+    ),
     "semantic_fit": (fitted_shares, None),
     "semantic_text_clusters": (text_clusters, None),
 }

@@ -80,7 +80,7 @@ def stream_lifecycle(spark, sf):
         F.when(status == "F", "negative").when(status == "O", "neutral").otherwise("positive").alias("sentiment"),
         F.pmod("o_custkey", F.lit(3)).cast("string").alias("tenant"),
     )
-    rows = _sink(spark, lifecycle_stream(log), "lifecycle")
+    rows = _sink(spark, lifecycle_stream(log, tick="1 day"), "lifecycle")
     return rows.withColumns({c: F.date_format(c, DATE) for c in ("start_date", "end_date")})
 
 

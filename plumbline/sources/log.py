@@ -37,27 +37,27 @@ def append_log(df: DataFrame, path: str, batch_ts: str) -> None:
     )
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    """Log columns, ``log_date``, and the whole line where it cannot be parsed."""
+def _read(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
+    """Log columns and the whole line where it cannot be parsed; of dated folders those from ``since`` on."""
     schema = T.StructType([*PREDICTION_LOG.fields, T.StructField(CORRUPT, T.StringType())])
     lines = spark.read.text(path).where(F.trim("value") != "")
-    if "log_date" not in lines.columns:
-        lines = lines.withColumn("log_date", F.lit(None).cast("date"))
+    if since is not None and "log_date" in lines.columns:
+        lines = lines.where(F.col("log_date") >= F.to_date(since))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return lines.select(F.from_json("value", schema, options).alias("r"), "log_date").select("r.*", "log_date")
+    return lines.select(F.from_json("value", schema, options).alias("r")).select("r.*")
 
 
 def read_log(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """The log; unreadable lines are left out, a missing log is empty.
 
-    ``since`` is a UTC time: older dates are not even listed.
+    ``since`` is a UTC time: folders of older dates are not even read.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], PREDICTION_LOG)
-    rows = _read(spark, path)
-    if since is not None:
-        start = F.lit(since).cast("timestamp")
-        rows = rows.where(F.col("log_date") >= F.to_date(start)).where(F.col("timestamp") >= start)
+    start = None if since is None else F.lit(since).cast("timestamp")
+    rows = _read(spark, path, start)
+    if start is not None:
+        rows = rows.where(F.col("timestamp") >= start)
     return rows.where(F.col(CORRUPT).isNull()).select(*PREDICTION_LOG.names)
 
 

@@ -7,25 +7,37 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.actions import action_list, action_share
 from plumbline.operators.evaluate import evaluation_report
-from plumbline.operators.prepare import upload_text
+from plumbline.operators.prepare import with_text
+from plumbline.operators.scoring import INPUT_LABEL
+from plumbline.plans.small import written
 from plumbline.session import path_exists
 
 
-def read_upload(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """An uploaded CSV with its text column named ``text``; the other columns pass through."""
+def read_upload(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """An uploaded CSV with a ``text`` column; all columns pass through.
+
+    ``multi_line=False`` lets a file without line breaks in its fields be read in parallel.
+    """
     raw = (
         spark.read.option("header", True)
         .option("encoding", encoding)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
-    return upload_text(raw)
+    return with_text(raw)
 
 
 def export_results(df: DataFrame, path: str) -> None:
     """The input columns with sentiment, confidence and model_used, as CSV."""
-    df.drop("label").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    exported(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def exported(df: DataFrame) -> DataFrame:
+    """Scored rows under the upload's own columns: no copy of the text, its own label back."""
+    copy = "text" in df.columns and "copy_of" in df.schema["text"].metadata
+    out = df.drop("label", *(["text"] if copy else []))
+    return out.withColumnRenamed(INPUT_LABEL, "label")
 
 
 def export_actions(df: DataFrame, folder: str, id_col: str = "row_id") -> str | None:
@@ -33,7 +45,7 @@ def export_actions(df: DataFrame, folder: str, id_col: str = "row_id") -> str |
 
     The list is capped by definition, so one file is right.
     """
-    listed = action_list(df, id_col)
+    listed = written(action_list(df, id_col), "actions")
     share = action_share(listed, df.count())
     if share == 0.0 and listed.isEmpty():
         return None

@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from plumbline.operators.drift import SIGNALS, Signal, bin_counts, psi_of_counts, signal_keys
-from plumbline.operators.lifecycle import COUNTS, WINDOW_DAYS
+from plumbline.operators.lifecycle import COUNTS, DAY_MICROS, WINDOW_DAYS
 from plumbline.operators.metrics import sentiment_counts
-from plumbline.operators.prepare import upload_text
+from plumbline.operators.prepare import with_text
 from plumbline.operators.scoring import Scorer, predict
 from plumbline.session import ROCKSDB_PROVIDER
 from plumbline.sources.log import log_rows
@@ -47,7 +47,7 @@ def score_stream(uploads: DataFrame, scorers: Mapping[str, Scorer], out_path: st
 
     The file sink commits each micro-batch once, so a retry does not log twice.
     """
-    scored = predict(upload_text(uploads), scorers)
+    scored = predict(with_text(uploads), scorers)
     rows = log_rows(scored, F.current_timestamp()).withColumn("log_date", F.to_date("timestamp"))
     return (
         rows.writeStream.format(fmt)
@@ -113,16 +113,18 @@ def drift_stream(
     counts = drift_counts_stream(log, baselines, signals, ts, width, delay)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scores = psi_of_counts(batch, baselines, ["window_start"])
-        scores.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        batch.persist()  # the stateful plan runs once, however often the scores read the counts
+        try:
+            scores = psi_of_counts(batch, baselines, ["window_start"])
+            scores.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return counts.writeStream.outputMode("append").foreachBatch(write)
 
 
 # ---------------------------------------------------------------- lifecycle
 
-DAY_MICROS = 86_400_000_000
-
 _STATE = T.StructType(
     [
         *[T.StructField(c, T.LongType()) for c in COUNTS],
@@ -178,22 +180,24 @@ def accumulator(days: int = WINDOW_DAYS) -> StatefulProcessor:
 
 
 def lifecycle_stream(
-    log: DataFrame, tenant: str = "tenant", ts: str = "ts", tick: str = "1 day", delay: str = "0 seconds",
+    log: DataFrame, tenant: str = "tenant", ts: str = "ts", tick: str | None = None, delay: str = "0 seconds",
     days: int = WINDOW_DAYS,
 ) -> DataFrame:
     """Archived accumulation windows of each tenant.
 
-    Rows are counted per tick before they reach the state, so a tenant with a
-    third of all rows sends one row per tick. Ticks leave the first step in
+    Rows are counted per batch time, or per ``tick`` if one is named, before they reach the state,
+    so a tenant with a third of all rows sends one row per time. Ticks leave the first step in
     order of the watermark, which is the order the windows need.
     """
     spark = log.sparkSession
     if spark.conf.get(STATE_PROVIDER) != ROCKSDB_PROVIDER:
         spark.conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
-    windowed = log.withWatermark(ts, delay).withColumn("w", F.window(ts, tick))
-    ticks = sentiment_counts(windowed, [F.col(tenant).cast("string").alias("tenant"), "w"]).select(
-        "tenant", F.col("w.start").alias("tick"), *COUNTS
-    )
+    timed, who = log.withWatermark(ts, delay), F.col(tenant).cast("string").alias("tenant")
+    if tick is None:
+        ticks = sentiment_counts(timed, [who, F.col(ts)]).select("tenant", F.col(ts).alias("tick"), *COUNTS)
+    else:
+        windowed = timed.withColumn("w", F.window(ts, tick))
+        ticks = sentiment_counts(windowed, [who, "w"]).select("tenant", F.col("w.start").alias("tick"), *COUNTS)
     return ticks.groupBy("tenant").transformWithStateInPandas(
         statefulProcessor=accumulator(days),
         outputStructType=ARCHIVED,

@@ -46,8 +46,9 @@ def test_reviews_corpus_drops_missing(spark, tmp_path):
 def test_upload_text_column(spark, tmp_path, header, first):
     path = tmp_path / "up.csv"
     path.write_text(f"{header},customer_id\n{first},C1\n,C2\n")
-    rows = read_upload(spark, str(path)).collect()
-    assert [tuple(r) for r in rows] == [(first, "C1")]
+    upload = read_upload(spark, str(path))
+    assert [tuple(r) for r in upload.select("text", "customer_id").collect()] == [(first, "C1")]
+    assert upload.columns[:2] == [header, "customer_id"]  # no column loses its name
     moved = spark.createDataFrame([("C1", "t")], "customer_id string, text string")
     assert upload_text(moved).columns == ["customer_id", "text"]
     assert select_available(moved, ["phone_number", "text"]).columns == ["text"]
