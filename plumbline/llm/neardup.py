@@ -1,12 +1,13 @@
 """Near-duplicates by a signature-coordinate inverted join.
 
-A document's signature has 48 coordinates, each a hash of three minima over its set of
-word shingles, so two documents with Jaccard similarity J agree on a coordinate with
-probability J cubed. Documents are posted under every (coordinate, value). A pair above
-the threshold agrees on at least ``MATCHES`` of the coordinates (at 0.85 all but one pair
-in a billion do), hence on one of any 48 - MATCHES + 1: only this prefix is posted, the
-rest is looked up for pairs that met. Pairs with enough matches are confirmed on their
-full sets.
+A document's signature has 144 minima over its set of word shingles, in 48 coordinates of
+three, so two documents with Jaccard similarity J agree on a coordinate with probability J
+cubed. Documents are posted under every (coordinate, value). A pair above the threshold
+agrees on at least ``MATCHES`` of the coordinates (at 0.85 all but one pair in a trillion do,
+at 0.8 all but three in a billion), hence on one of any 48 - MATCHES + 1: only this prefix is
+posted, the rest is skipped until two documents meet. Then all their minima are compared:
+pairs that agree on fewer than all but one in a billion of similar pairs would are dropped,
+the others are confirmed on their full sets.
 
 Links serve to find components, so a posting list is not expanded into its pairs. Its
 most central member, the one that shares most postings with others, is compared with all
@@ -18,6 +19,7 @@ against each other.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,11 @@ from plumbline.plans.small import written
 
 SHINGLE = 5
 PERCENT, LEAST_PERCENT = 85, 80
-COORDINATES, MINIMA, MATCHES = 48, 3, 8
+COORDINATES, MINIMA, MATCHES = 48, 3, 6
 PREFIX = COORDINATES - MATCHES + 1
 FILTER_BITS = 1 << 26
 BLOCK = 512
+MET_BY_CENTRES = 3  # two centres compare all pairs of so few members
 
 FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, COORDINATES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 63, COORDINATES * MINIMA, dtype=np.uint64)
@@ -47,8 +50,17 @@ def shingles(text: bytes | None, memo: WordHash, size: int = SHINGLE) -> np.ndar
     return np.unique(window_hashes(memo.array(words), min(size, len(words))))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """One 64-bit number per coordinate, different for different coordinates."""
+def least_matches(percent: int, chance: float = 1e-9) -> int:
+    """The most minima that all but ``chance`` of the pairs with this similarity agree on."""
+    n, p, total, k = COORDINATES * MINIMA, percent / 100, 0.0, 0
+    while total <= chance:
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        k += 1
+    return k - 1
+
+
+def signature(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One 64-bit number per coordinate, different for different coordinates; the minima, cut to 16 bits."""
     least = np.full(COORDINATES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(found), 512):
         part = found[i : i + 512, None] * FACTORS[None, :] + ADDENDS[None, :]
@@ -56,11 +68,11 @@ def signature(found: np.ndarray) -> np.ndarray:
     out = np.arange(1, COORDINATES + 1, dtype=np.uint64)
     for k in range(MINIMA):
         out = mixed(out * MIX + least[k::MINIMA])
-    return out
+    return out.view(np.int64), (mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def sketches(docs: DataFrame, text: str, id: str) -> DataFrame:
-    """``(id, n, content, coordinates)`` of every document: size of the set, its digest, the signature."""
+    """``(id, n, content, coordinates, minima)`` of every document: size of the set, its digest, the signature."""
 
     def run(batches):
         memo = WordHash()
@@ -70,15 +82,18 @@ def sketches(docs: DataFrame, text: str, id: str) -> DataFrame:
                 found = shingles(x, memo)
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                signs.append(signature(found).view(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
-                names=["id", "n", "content", "coordinates"],
-            )
+                signs.append(signature(found) if len(found) else (None, None))
+            columns = [
+                pa.array(sizes, pa.int64()),
+                pa.array(keys, pa.binary()),
+                pa.array([x for x, _ in signs], pa.list_(pa.int64())),
+                pa.array([x for _, x in signs], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n", "content", "coordinates", "minima"])
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(col(id).alias("id"), col(text).alias("t")).mapInArrow(
-        run, f"id {kind}, n long, content binary, coordinates array<long>"
+        run, f"id {kind}, n long, content binary, coordinates array<long>, minima binary"
     )
 
 
@@ -124,13 +139,31 @@ def sets_of(docs: DataFrame, text: str, id: str, ids: DataFrame) -> DataFrame:
     return sets.join(ids, "id", "left_semi").groupBy("id", F.xxhash64("shingles").alias("h")).agg(F.first("shingles").alias("shingles")).drop("h")
 
 
+def as_minima(column: pa.Array) -> np.ndarray:
+    """A column of packed minima as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, COORDINATES * MINIMA)
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes and minima allow them to be similar."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("minima").alias(f"m_{c}"))
+    sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes)
+    least = least_matches(percent)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                same = (as_minima(batch.column("m_a")) == as_minima(batch.column("m_b"))).sum(axis=1)
+                yield batch.filter(pa.array(same >= least)).select(["a", "b"])
+
+    kind = dict(classes.dtypes)["id"]
+    return met.select("a", "b", "m_a", "m_b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id: str, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that pass size and match threshold and are similar on their full sets."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"c_{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    matches = F.size(F.array_intersect("c_a", "c_b")) >= MATCHES
-    near = written(near.where(sizes).where(matches).select("a", "b").distinct(), "near-pairs")
+    near = written(near_enough(pairs, classes, percent).distinct(), "near-pairs")
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     sets = sets_of(docs, text, id, ids)
     both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
@@ -160,16 +193,18 @@ def stars(members: DataFrame, second: bool) -> DataFrame:
     return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def leftovers(members: DataFrame, classes: DataFrame) -> DataFrame:
+def leftovers(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that still share a list and have enough matches.
 
     Members of a list's largest component form one side, all others are compared with them and
-    among themselves, in blocks; a pair is taken in the first list its two members share.
+    among themselves, in cells of two blocks; a pair is taken in the first list its two members
+    share. The two centres have met everybody, so lists of up to three members are done.
     """
+    least = least_matches(percent)
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     lists = counts.groupBy("key").agg(
         F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")
-    ).where("parts > 1")
+    ).where(f"parts > 1 and m > {MET_BY_CENTRES}")
     lists = lists.select(
         "key",
         F.col("top.component").alias("core"),
@@ -191,32 +226,64 @@ def leftovers(members: DataFrame, classes: DataFrame) -> DataFrame:
     cells = F.explode(F.when(F.col("is_core"), up).otherwise(F.concat(among, down))).alias("cell")
     kind = dict(classes.dtypes)["id"]
     dealt = rows.select("key", "place", "id", "component", "is_core", "own", cells).join(
-        classes.select("id", "n", "marks"), "id"
+        classes.select("id", "n", "minima"), "id"
     )
-    dealt = dealt.select("key", "cell.*", "place", "is_core", "own", "id", "component", "n", "marks")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        column = lambda c: table.column(c).combine_chunks()
-        ids, home, n = column("id"), column("component").to_numpy(zero_copy_only=False), column("n").to_numpy()
-        core, block = column("is_core").to_numpy(zero_copy_only=False), column("own").to_numpy()
-        sign = column("marks").flatten().to_numpy().reshape(-1, COORDINATES)
-        place, with_core = column("place")[0].as_py(), column("with_core")[0].as_py()
-        apart = not with_core and column("i")[0].as_py() != column("j")[0].as_py()
+    same_cell = ["key", "with_core", "i", "j"]
+    dealt = dealt.select("key", "cell.*", "place", "is_core", "own", "id", "component", "n", "minima")
+
+    def compare(cell: pa.Table) -> tuple[list[int], list[int]]:
+        column = lambda c: cell.column(c).to_numpy()
+        home, n, core, block = column("component"), column("n"), column("is_core"), column("own")
+        minima = as_minima(cell.column("minima"))
+        place, with_core = int(column("place")[0]), column("with_core")[0]
+        apart = not with_core and column("i")[0] != column("j")[0]
         a, b = [], []
         for i in np.flatnonzero(~core):
             js = np.flatnonzero(core) if with_core else np.arange(i + 1, len(n))
             js = js[home[js] != home[i]]
             if apart:
                 js = js[block[js] != block[i]]
-            js = js[100 * np.minimum(n[js], n[i]) >= LEAST_PERCENT * np.maximum(n[js], n[i])]
-            same = sign[js] == sign[i]
-            js = js[(same.sum(axis=1) >= MATCHES) & ~same[:, :place].any(axis=1)]
-            a += [int(i)] * len(js)
-            b += js.tolist()
-        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
-
-    found = dealt.groupBy("key", "i", "j", "with_core").applyInArrow(run, f"a {kind}, b {kind}")
+            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+            if not len(js):
+                continue
+            same = minima[js] == minima[i]
+            js, same = js[found_ := same.sum(axis=1) >= least], same[found_]
+            if len(js):
+                earlier = same[:, : place * MINIMA].reshape(len(js), place, MINIMA).all(axis=2).any(axis=1)
+                js = js[~earlier]
+                a += [int(i)] * len(js)
+                b += js.tolist()
+        return a, b
+
+    def run(batches):
+        """Cells come one after another; one that goes on in the next batch waits for it."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            held = yield from done(held, False)
+        if held is not None:
+            yield from done(held, True)
+
+    def done(table: pa.Table, last: bool):
+        table = table.combine_chunks()
+        keys = [table.column(c).to_numpy() for c in same_cell]
+        change = np.zeros(max(table.num_rows - 1, 0), bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        ends = np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+        whole = len(ends) - (1 if last else 2)
+        ids = table.column("id")
+        for start, stop in zip(ends[:whole], ends[1 : whole + 1]):
+            if stop - start > 1:
+                a, b = compare(table.slice(start, stop - start))
+                if a:
+                    one, two = (ids.take(pa.array(np.array(x) + start)).combine_chunks() for x in (a, b))
+                    yield pa.RecordBatch.from_arrays([one, two], names=["a", "b"])
+        return table.slice(ends[whole])
+
+    cells = dealt.repartition(*same_cell).sortWithinPartitions(*same_cell)
+    found = cells.mapInArrow(run, f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
@@ -241,10 +308,9 @@ def near_duplicates(
     sketched = written(sketches(docs, text, id), "sketches") if sketched is None else sketched
     known = sketched.where("id is not null")
     classes = known.where("n > 0").groupBy("content").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates")
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("coordinates").alias("coordinates"), F.first("minima").alias("minima")
     )
-    marks = F.transform("coordinates", lambda x: F.shiftright(x, 33).cast("int"))
-    classes = written(classes.withColumn("marks", marks), "classes")
+    classes = written(classes, "classes")
     postings = classes.select("id", F.posexplode(F.slice("coordinates", 1, PREFIX)).alias("place", "key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     lists = written(postings.join(shared, "key"), "postings")
@@ -262,7 +328,7 @@ def near_duplicates(
         members = lists.join(found.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left")
         members = members.select("key", "place", "id", "company", F.coalesce("component", "id").alias("component"))
         members = written(members, "members")
-        pairs = leftovers(members, classes) if second is None else stars(members, second)
+        pairs = leftovers(members, classes, percent) if second is None else stars(members, second)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")

@@ -86,6 +86,7 @@ def test_crowds_equal_brute_force(spark, crowd):
 
 def test_blocks_of_leftovers(spark, crowd, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 8)
+    monkeypatch.setattr(M, "MET_BY_CENTRES", 1)
     monkeypatch.setattr(M, "stars", lambda members, second: members.select(F.col("id").alias("a"), F.col("id").alias("b")))
     df = spark.createDataFrame(crowd, "doc_id long, text string")
     assert plain(M.near_duplicates(df).collect()) == brute_force(crowd)
@@ -101,6 +102,10 @@ def test_edge_cases(spark, edge, empty):
     assert M.near_duplicates(edge.where("text is null")).count() == 2
 
 
+def test_least_matches():
+    assert M.least_matches(85) > M.least_matches(80) > 72
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + rnd.randrange(200), 1000 + rnd.randrange(200)) for _ in range(150)]
