@@ -13,7 +13,9 @@ no piece. Words between hard boundaries are independent.
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 
 SPACE = "\u2581"
 SPACE_BYTES = SPACE.encode()
@@ -54,11 +56,19 @@ class Vocabulary:
             else:
                 raise ValueError(f"pieces of kind {p.type} are not supported")
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self.raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for i, b in self.byte_of.items():
+            self.raw[i] = bytes([b])
+        for i in self.control:
+            self.raw[i] = b""
+        for i in self.unknown:
+            self.raw[i] = " \u2047 ".encode()
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character")
         self.chars = {c for p in self.ids for c in p}
         self.longest = max(map(len, self.ids), default=1)
         self.starts = {p[:i] for p in self.ids for i in range(len(p))} | {""}
+        self.one = {p: p for p in self.starts} | {p: p for p in self.ids}  # each text held once
         self.unknown_score = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         runs = {len(p) for p in self.ids if len(p) > 1 and not p.strip(SPACE)}
         self.runs = runs | {1}
@@ -71,7 +81,11 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[str]:
         """Greedy merging of adjacent symbols: best score first, leftmost on ties (for short texts)."""
-        parts = list(text)
+        return self.merged(text)[0]
+
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What merging leaves, and the two parts that merged last."""
+        parts, last = list(text), None
         while len(parts) > 1:
             found = [
                 (-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score
@@ -79,8 +93,9 @@ class Vocabulary:
             if not found:
                 break
             _, i = min(found)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            last = parts[i], parts[i + 1]
+            parts[i : i + 2] = [last[0] + last[1]]
+        return parts, last
 
     def run(self, length: int) -> list[int]:
         """Piece lengths of a run of spaces that no word has taken part of."""
@@ -108,7 +123,7 @@ class Lattice:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether two pieces may be neighbours; an empty one is a hard boundary."""
@@ -116,17 +131,43 @@ class Lattice:
             return True
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.v.merge(left + right) == [left, right]
+            known = self.pairs[left, right] = self.apart(left, right)
         return known
 
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging ``left + right`` ends with these two pieces.
+
+        Their last merges are taken back one by one, worst score first. If the two parts that
+        then meet would merge with a better score than what was taken back, that merge had come
+        first (the left one, of equals) and crossed the boundary.
+        """
+        score, best = self.v.score, float("-inf")
+        while True:
+            across = score.get(left + right)
+            if across is not None and across > best:
+                return False
+            a = score[left] if len(left) > 1 else float("inf")
+            b = score[right] if len(right) > 1 else float("inf")
+            if a < b:
+                best, left = a, self.half(left)[1]
+            elif len(right) > 1:
+                # The same piece on both sides: the left one merged first, so an equal score across loses to it only.
+                best, right = math.nextafter(b, float("-inf")), self.half(right)[0]
+            else:
+                return True
+
+    def half(self, piece: str) -> tuple[str, str]:
+        """The two parts that merge last into a piece."""
+        if piece not in self.halves:
+            parts, last = self.v.merged(piece)
+            self.halves[piece] = last if parts == [piece] else None
+        return self.halves[piece]
+
     def usable(self, piece: str) -> bool:
         """Whether merging the piece's own text gives the piece."""
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = not self.v.merges or self.v.merge(piece) == [piece]
-        return known
+        return len(piece) == 1 or not self.v.merges or self.half(piece) is not None
 
     def at(self, text: str, start: int) -> list[str]:
         """Pieces that begin at a place: one character at least."""
@@ -201,7 +242,7 @@ class Transducer:
     emits what its last place has above it. States are few, as places die once no piece fits.
     """
 
-    def __init__(self, lattice: Lattice, limit: int = 400_000):
+    def __init__(self, lattice: Lattice, limit: int = 220_000):
         self.lattice, self.limit = lattice, limit
         self.reset()
 
@@ -211,11 +252,12 @@ class Transducer:
         self.number = {start: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
         self.last = [0]
+        self.tails: list[tuple[int, bytes] | None] = [None]  # length and packed id of the piece that ends here
 
     def move(self, state: int, char: str) -> tuple[int, int]:
         v, places, new = self.lattice.v, [], None
         for pending, left, n in self.states[state]:
-            piece = pending + char
+            piece = v.one.get(pending + char) or pending + char
             fits = not pending or (piece in v.ids and self.lattice.usable(piece))
             if fits and new is None and self.lattice.compatible(left, piece):
                 new = ("", self.lattice.key(piece), n + v.width(piece))
@@ -230,6 +272,8 @@ class Transducer:
             self.states.append(key)
             self.moves.append({})
             self.last.append(key[-1][2])
+            left = key[-1][1]
+            self.tails.append((len(left), array("i", [v.ids[left]]).tobytes()) if left else None)
         self.moves[state][char] = (to, least)
         return to, least
 
@@ -245,18 +289,36 @@ class Transducer:
 
     def path(self, word: str) -> list[str]:
         """Pieces of a text between hard boundaries: each state knows the piece that ends where it stands."""
-        if len(self.states) > self.limit:
-            self.reset()
-        state, moves, ends, n, out = 0, self.moves, [], len(word), []
-        for char in word:
-            state, _ = moves[state].get(char) or self.move(state, char)
-            ends.append(state)
+        ends, n, out = self.ends(word), len(word), []
         while n:
             piece = self.states[ends[n - 1]][-1][1] or word[n - 1]
             out.append(piece)
             n -= len(piece)
         return out[::-1]
 
+    def ends(self, word: str) -> list[int]:
+        """The state after each character."""
+        if len(self.states) > self.limit:
+            self.reset()
+        state, moves, ends = 0, self.moves, []
+        for char in word:
+            state = (moves[state].get(char) or self.move(state, char))[0]
+            ends.append(state)
+        return ends
+
+    def packed(self, word: str) -> bytes:
+        """Packed ids of a text between hard boundaries."""
+        ends, tails, n, out = self.ends(word), self.tails, len(word), []
+        while n:
+            tail = tails[ends[n - 1]] or self.unknown(word[n - 1])
+            out.append(tail[1])
+            n -= tail[0]
+        out.reverse()
+        return b"".join(out)
+
+    def unknown(self, char: str) -> tuple[int, bytes]:
+        return 1, array("i", self.lattice.v.token_ids(char)).tobytes()
+
     def unit(self, unit: str) -> int:
         """Tokens of a run of spaces (maybe empty) with the word that follows (maybe empty)."""
         v = self.lattice.v
@@ -273,16 +335,20 @@ class Transducer:
 
 
 class Memo(dict):
-    """Results of words, forgotten when there are too many."""
+    """Results of words in two generations: when the young one is full it becomes the old one."""
 
-    def __init__(self, make, limit: int = 500_000):
+    def __init__(self, make, limit: int = 250_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, word: bytes):
         if len(self) >= self.limit:
+            self.old = self.copy()
             self.clear()
-        value = self[word] = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self[word] = value
         return value
 
 
@@ -312,8 +378,9 @@ class Counts:
     def __init__(self, lattice: Lattice):
         self.lattice, self.machine = lattice, Transducer(lattice)
         self.unit = self.machine.unit if lattice.v.merges else lambda u: len(lattice.unit(u))
-        self.led = Memo(lambda w: self.unit(SPACE + w.decode()))
-        self.bare = Memo(lambda w: self.unit(w.decode()))
+        word = self.machine.count if lattice.v.merges else self.unit  # at most one space leads a word
+        self.led = Memo(lambda w: word(SPACE + w.decode()))
+        self.bare = Memo(lambda w: word(w.decode()))
         self.newline = lattice.v.width("\n") if "\n" not in lattice.v.chars else 0
 
     def text(self, text: bytes, first: bool = True) -> int:
@@ -337,18 +404,17 @@ class Encoder:
     """Token ids of texts as packed 32-bit numbers, words remembered."""
 
     def __init__(self, lattice: Lattice):
-        from array import array
-
-        self.lattice, self.array = lattice, array
-        path = Transducer(lattice).path if lattice.v.merges else None
-        self.unit = lambda u: self.pack(lattice.unit(u, path))
-        self.led = Memo(lambda w: self.unit(SPACE + w.decode()))
-        self.bare = Memo(lambda w: self.unit(w.decode()))
+        self.lattice = lattice
+        machine = Transducer(lattice) if lattice.v.merges else None
+        self.unit = lambda u: self.pack(lattice.unit(u, machine and machine.path))
+        word = machine.packed if machine else self.unit  # at most one space leads a word
+        self.led = Memo(lambda w: word(SPACE + w.decode()))
+        self.bare = Memo(lambda w: word(w.decode()))
         apart = "\n" not in lattice.v.chars
         self.newline = self.pack(lattice.v.token_ids("\n")) if apart else b""
 
     def pack(self, ids) -> bytes:
-        return self.array("i", ids).tobytes()
+        return array("i", ids).tobytes()
 
     def text(self, text: bytes, first: bool = True) -> bytes:
         """Ids of a text that begins and ends at hard boundaries; ``first``: the model's own space leads it."""
@@ -369,11 +435,26 @@ class Encoder:
         return b"".join(out)
 
 
-def decode(ids, v: Vocabulary) -> str:
-    """Text of token ids: control ids give nothing; unknown, null and foreign ids give ``" \u2047 "``."""
+def decode(ids, v: Vocabulary, first: bool = True) -> str:
+    """Text of token ids: control ids give nothing; unknown, null and foreign ids give ``" \u2047 "``.
+
+    ``first``: the ids begin a text, so the model's own space is taken off.
+    """
+    try:
+        if min(ids, default=0) < 0:
+            return decode_odd(ids, v, first)
+        raw = b"".join(map(v.raw.__getitem__, ids))
+        lead = next((i for i in ids if i not in v.control), None)
+        return raw[first and v.dummy and lead is not None and v.pieces[lead].startswith(SPACE) :].decode()
+    except (TypeError, IndexError, UnicodeDecodeError):
+        return decode_odd(ids, v, first)
+
+
+def decode_odd(ids, v: Vocabulary, first: bool = True) -> str:
+    """The same for any list, one id at a time."""
     out: list[str] = []
     held = bytearray()
-    first = v.dummy
+    first = first and v.dummy
     for i in ids:
         byte = v.byte_of.get(i)
         if byte is not None:

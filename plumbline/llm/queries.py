@@ -28,7 +28,7 @@ def op1_sentencepiece(spark, sf_dir):
     """Ids of every text and whether decoding gives the text back."""
     model = tokenizer()
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    back = sentencepieces.decode_ids(sentencepieces.encode(docs, model), model, into="decoded", keep=["doc_id", "text", "ids"])
+    back = sentencepieces.encode(docs, model, decoded="decoded")
     marked = F.regexp_replace("text", "\u2581", " ")
     return back.select(
         "doc_id",

@@ -12,6 +12,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,19 +78,33 @@ def traced(piece: dict, entry: tuple, exit_: tuple, model: bytes) -> bytes:
     return b"".join(out)
 
 
-def encoded_chunks(chunks: DataFrame, ways: DataFrame, model) -> DataFrame:
-    """``(digest, chunk, ids)`` of all chunks."""
+def id_rows(lists: pa.Array) -> list:
+    """A list column as Python lists."""
+    values = lists.flatten()
+    if values.null_count or lists.null_count:
+        return lists.to_pylist()
+    flat, ends = values.to_numpy(), np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))
+    return [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def encoded_chunks(chunks: DataFrame, ways: DataFrame, model, decoded: bool) -> DataFrame:
+    """``(digest, chunk, ids, text)`` of all chunks; the text only if asked for."""
 
     def run(batches):
+        v = lattice_of(model.value).v
         for batch in batches:
-            rows = zip(batch.column("piece").to_pylist(), batch.column("entry").to_pylist(), batch.column("exit").to_pylist())
+            pieces = batch.column("piece").to_pylist()
+            rows = zip(pieces, batch.column("entry").to_pylist(), batch.column("exit").to_pylist())
             found = [traced(p, tuple(json.loads(e)), tuple(json.loads(x)), model.value) for p, e, x in rows]
+            ids = id_lists(found)
+            texts = [decode(i, v, p["first"]) if decoded else None for i, p in zip(id_rows(ids), pieces)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest"), batch.column("chunk"), id_lists(found)], names=["digest", "chunk", "ids"]
+                [batch.column("digest"), batch.column("chunk"), ids, pa.array(texts, pa.string())],
+                names=["digest", "chunk", "ids", "text"],
             )
 
     joined = chunks.join(ways.withColumnRenamed("at", "chunk"), ["digest", "chunk"])
-    return joined.mapInArrow(run, "digest string, chunk long, ids array<int>")
+    return joined.mapInArrow(run, "digest string, chunk long, ids array<int>, text string")
 
 
 def encode(
@@ -99,46 +114,58 @@ def encode(
     into: str = "ids",
     chunk: int = C.CHUNK,
     keep: list[str] | None = None,
+    decoded: str | None = None,
 ) -> DataFrame:
     """Documents with the token ids of their whole text, as the library gives them.
 
     No begin, end or special tokens. A text of at most ``chunk`` bytes is one chunk and encoded
     where it is; longer ones are cut and dealt over the cluster. Equal long texts are encoded once.
-    A document's ids come together in one row, as its text does.
+    A document's ids come together in one row, as its text does. ``decoded`` names a further column
+    for the text that the ids decode to, chunk by chunk.
 
     Null texts have null ids, empty texts none. Rows are encoded one by one, repeated rows each;
-    null ids and further columns pass through (a column named ``into`` is replaced).
+    null ids and further columns pass through (those named like the results are replaced).
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
+    results = [into, *([decoded] if decoded else [])]
+    taken = {c.lower() for c in results}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     giant = F.octet_length(col(text)) > chunk
     longest = longest_text(docs, text)
+    both = fresh(docs, "encoded")
+    kind = T.StructType([T.StructField("ids", IDS), T.StructField("text", T.StringType())])
 
     def make():
         encoder = encoder_of(shared.value)
+        v = encoder.lattice.v
 
         def run(texts):
             raw = as_bytes(texts)
-            found = id_lists([encoder.text(x, encoder.lattice.v.dummy) if x else b"" for x in raw])
+            found = id_lists([encoder.text(x, v.dummy) if x else b"" for x in raw])
+            back = pa.array([decode(i, v) for i in id_rows(found)] if decoded else [None] * len(raw), pa.string())
             if texts.null_count:
-                rows = [None if x is None else i for x, i in zip(raw, found.to_pylist())]
-                return pa.array(rows, pa.list_(pa.int32()))
-            return found
+                found = pa.array([None if x is None else i for x, i in zip(raw, found.to_pylist())], pa.list_(pa.int32()))
+                back = pc.if_else(texts.is_valid(), back, None)
+            return pa.StructArray.from_arrays([found, back], names=["ids", "text"])
 
         return run
 
-    out = map_rows(docs.where(F.coalesce(~giant, F.lit(True))), make, [text], into, IDS, keep=keep)
+    def parts(df):
+        fields = zip(("ids", "text"), results)
+        return df.select(*map(col, keep), *(F.col(f"{quoted(both)}.{f}").alias(name) for f, name in fields))
+
+    out = parts(map_rows(docs.where(F.coalesce(~giant, F.lit(True))), make, [text], both, kind, keep=keep))
     if longest <= chunk:
         return out
     digest = fresh(docs, "digest")
     named = docs.where(giant).withColumn(digest, F.sha2(col(text).cast("binary"), 256))
     chunks = C.chunked(named, text, digest, shared, chunk)
     ways = C.ways(C.transferred(chunks, shared, with_counts=False), C.most_chunks(longest, chunk))
-    parts = encoded_chunks(chunks, ways, shared).groupBy("digest")
-    joined = parts.agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    found = joined.select(F.col("digest").alias(digest), F.flatten(F.col("parts.ids")).alias(into))
-    rows = named.select(*map(col, keep), digest).join(found, digest, "left")
-    return out.unionByName(rows.select(*map(col, keep), quoted(into)))
+    rows = encoded_chunks(chunks, ways, shared, bool(decoded)).groupBy("digest")
+    joined = rows.agg(F.array_sort(F.collect_list(F.struct("chunk", "ids", "text"))).alias("parts"))
+    whole = F.struct(F.flatten("parts.ids").alias("ids"), F.array_join("parts.text", "").alias("text"))
+    found = joined.select(F.col("digest").alias(digest), whole.alias(both))
+    return out.unionByName(parts(named.join(found, digest, "left")))
 
 
 def decode_ids(
@@ -154,6 +181,7 @@ def decode_ids(
 
     def make():
         v = lattice_of(shared.value).v
-        return lambda lists: [None if x is None else decode(x, v) for x in lists.to_pylist()]
+
+        return lambda lists: [None if x is None else decode(x, v) for x in id_rows(lists)]
 
     return map_rows(docs, make, [ids], into, T.StringType(), keep=keep)

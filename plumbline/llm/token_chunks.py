@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import as_bytes, col
 from plumbline.llm.pieces import SPACE, Lattice
 
-CHUNK = 16_384
+CHUNK = 65_536
 FAN = 64
 
 OPEN = (0, "")  # the only state at a hard boundary: nothing hangs over

@@ -93,6 +93,18 @@ def test_machine_equals_lattice():
         assert machine.count(word) == sum(map(lattice.v.width, lattice.path(word)))
 
 
+def test_neighbours():
+    lattice, rnd = K.lattice_of(MODEL), random.Random(8)
+    words = [p for p in PIECES if p.strip(K.SPACE) and lattice.usable(p)]
+    tails = [p for p in words if not p.startswith(K.SPACE)]
+    pairs = [(rnd.choice(words), rnd.choice(tails)) for _ in range(4000)]
+    pairs += [(p[:i], p[i:]) for p in rnd.sample(words, 800) for i in range(1, len(p)) if lattice.usable(p[:i]) and lattice.usable(p[i:])]
+    pairs += [(x, y) for x in ("a", "aa", "ab", "s", "ss", "in", "=", "==", "====") for y in ("a", "aa", "ab", "s", "ss", "in", "=", "==", "====")]
+    for a, b in pairs:
+        if a in lattice.v.ids and b in lattice.v.ids:
+            assert lattice.apart(a, b) == (lattice.v.merge(a + b) == [a, b]), (a, b)
+
+
 def test_runs_of_spaces():
     for n in range(150):
         for text in (" " * n, " " * n + "x", "x" + " " * n, "x" + " " * n + "the"):
@@ -137,7 +149,8 @@ def test_giants(spark, edge, chunk):
     rows += [rows[9], rows[9]]
     df = crowded(spark.createDataFrame(rows, edge.schema).repartition(4), "digest", "chunk", "ids", "n_tokens", "piece")
     want = plain((r["doc_id"], None if r["text"] is None else LIB.encode(r["text"])) for r in df.collect())
-    found = E.encode(df, MODEL, chunk=chunk)
+    found = E.encode(df, MODEL, chunk=chunk, decoded="again")
+    assert found.where("not (again <=> replace(text, '\u2581', ' '))").count() == 0
     assert plain(found.select("doc_id", "ids").collect()) == want
     counted = N.token_counts(df, MODEL, chunk=chunk)
     assert plain(counted.select("doc_id", "n_tokens").collect()) == plain((d, len(i or [])) for d, i in want)
