@@ -106,7 +106,27 @@ QUERIES = {
     "op10_divergence": op10_divergence,
 }
 
+_CLEAN = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 SQL = {
+    "op2_decontaminate": f"""
+with d as (select doc_id, {_CLEAN.format("coalesce(text, '')")} as w from documents),
+b as (select item_id, {_CLEAN.format("text")} as w from benchmark where text is not null),
+passages as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + 9], ' ') as x
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+places as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as x
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i
+        from d cross join (select distinct n from passages) where len(w) >= n)),
+hits as (select doc_id, i, n, item_id from places join passages using (x, n)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+items as (
+  select doc_id, count(distinct item_id) as n_items,
+    array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as names from hits group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)""",
     "op8_block_anchors": r"""
 with words as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),

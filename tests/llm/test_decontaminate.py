@@ -1,7 +1,8 @@
+import duckdb
 from conftest_llm import SF, crowded, plain
 
 from plumbline.llm import decontaminate as D
-from plumbline.llm.queries import QUERIES
+from plumbline.llm.queries import QUERIES, SQL
 
 
 def pairs(df, *names):
@@ -19,6 +20,14 @@ def test_query_equals_brute_force(spark, documents, benchmark):
     assert any(r[5] for r in got) and not all(r[5] for r in got)
 
 
+def test_sql(documents, benchmark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    want = D.brute_force(pairs(documents, "doc_id", "text"), [(str(i), t) for i, t in pairs(benchmark, "item_id", "text")])
+    assert plain(con.execute(SQL["op2_decontaminate"]).fetchall()) == plain(want)
+
+
 def test_edge_cases(spark, edge, empty):
     items = [(1, "Quick brown fox jumps over the lazy dog and runs"), (1, "brown, FOX"), (None, "old house"), (3, None),
              (4, "..."), (5, "quick brown fox jumps over the lazy dog and runs away from"), (5, "one")]
