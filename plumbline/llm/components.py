@@ -15,13 +15,12 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    near = _least(down)
+    near = _least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     own = near.select("u", F.col("m").alias("v"))
     return near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
 
@@ -34,6 +33,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     lineage. Only a count and a checksum come to the driver. No edges, or null ones, give no rows.
     """
     edges = written(edges.where("u is not null and v is not null and u != v").select("u", "v").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     before = None
     for _ in range(most_rounds):
         edges = written(small_star(large_star(edges)), "edges")

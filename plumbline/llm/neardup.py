@@ -164,6 +164,8 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id: str, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that pass size and match threshold and are similar on their full sets."""
     near = written(near_enough(pairs, classes, percent).distinct(), "near-pairs")
+    if near.isEmpty():
+        return near
     ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
     sets = sets_of(docs, text, id, ids)
     both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
@@ -205,13 +207,16 @@ def leftovers(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     lists = counts.groupBy("key").agg(
         F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")
     ).where(f"parts > 1 and m > {MET_BY_CENTRES}")
+    # A list of up to a block is one cell of "others"; in a longer one the largest component stands apart.
+    long = F.col("m") > BLOCK
     lists = lists.select(
         "key",
-        F.col("top.component").alias("core"),
+        F.when(long, F.col("top.component")).alias("core"),
         F.ceil(F.col("top.k") / BLOCK).cast("int").alias("cores"),
-        F.ceil((F.col("m") - F.col("top.k")) / BLOCK).cast("int").alias("others"),
+        F.when(long, F.ceil((F.col("m") - F.col("top.k")) / BLOCK)).otherwise(1).cast("int").alias("others"),
     )
-    rows = members.join(lists, "key").withColumn("is_core", F.col("component") == F.col("core"))
+    is_core = F.coalesce(F.col("component") == F.col("core"), F.lit(False))
+    rows = members.join(lists, "key").withColumn("is_core", is_core)
     own = F.pmod(F.xxhash64("id"), F.when(F.col("is_core"), F.col("cores")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("own", own)
 
@@ -223,7 +228,8 @@ def leftovers(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     among = F.transform(each("others"), lambda k: cell(F.least(own, k), F.greatest(own, k), False))
     down = F.transform(each("cores"), lambda j: cell(own, j, True))
     up = F.transform(each("others"), lambda i: cell(i, own, True))
-    cells = F.explode(F.when(F.col("is_core"), up).otherwise(F.concat(among, down))).alias("cell")
+    parts = F.when(F.col("is_core"), up).when(F.col("core").isNull(), among).otherwise(F.concat(among, down))
+    cells = F.explode(parts).alias("cell")
     kind = dict(classes.dtypes)["id"]
     dealt = rows.select("key", "place", "id", "component", "is_core", "own", cells).join(
         classes.select("id", "n", "minima"), "id"
@@ -318,12 +324,11 @@ def near_duplicates(
     lists = written(lists.drop("m").join(company, "id"), "lists")
 
     # Texts of one id that fell into different classes belong together.
-    several = known.where("n > 0").select("id", "content").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    own = known.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("u"), "content").distinct()
-    links = own.join(classes.select("content", F.col("id").alias("v")), "content").select("u", "v")
+    several = known.where("n > 0").groupBy("id").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a != b")
+    own = known.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("u"), "content")
+    links = own.join(classes.select("content", F.col("id").alias("v")), "content").select("u", "v").where("u != v")
     links = written(links, "links")
-    tried = None
-    found = components(links)
+    found, tried = components(links), None
     for second in (False, True, None):
         members = lists.join(found.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left")
         members = members.select("key", "place", "id", "company", F.coalesce("component", "id").alias("component"))
@@ -334,10 +339,12 @@ def near_duplicates(
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        new = linked(pairs, classes, docs, text, id, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = written(links.unionByName(new), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = components(links)
+        new = linked(pairs, classes, docs, text, id, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        new = written(new, "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = components(links)
 
     home = classes.join(found.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left").select(
         "content", F.coalesce("component", "id").alias("component_id")
