@@ -20,6 +20,7 @@ from array import array
 SPACE = "\u2581"
 SPACE_BYTES = SPACE.encode()
 UNKNOWN_PENALTY = 10.0  # fixed value of unigram models
+MARKS = b".,!?;:%$&*#|)\"'-"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -66,6 +67,7 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character")
         self.chars = {c for p in self.ids for c in p}
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.longest = max(map(len, self.ids), default=1)
         self.starts = {p[:i] for p in self.ids for i in range(len(p))} | {""}
         self.one = {p: p for p in self.starts} | {p: p for p in self.ids}  # each text held once
@@ -337,7 +339,7 @@ class Transducer:
 class Memo(dict):
     """Results of words in two generations: when the young one is full it becomes the old one."""
 
-    def __init__(self, make, limit: int = 250_000):
+    def __init__(self, make, limit: int = 300_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -352,6 +354,29 @@ class Memo(dict):
         return value
 
 
+def marks_off(word: bytes, v: Vocabulary) -> int:
+    """Length of a word without its closing marks, if no piece holds the characters where they meet; else 0."""
+    stem = word.rstrip(MARKS)
+    if not stem or len(stem) == len(word):
+        return 0
+    left = chr(stem[-1]) if stem[-1] < 0x80 else stem.decode()[-1]
+    return 0 if left + chr(word[len(stem)]) in v.neighbours else len(stem)
+
+
+def by_words(make, v: Vocabulary) -> tuple[Memo, Memo]:
+    """Memos of words with a space before them and of bare ones; a word with closing marks is put together."""
+
+    def of(lead: str, own):
+        def miss(word: bytes):
+            n = marks_off(word, v)
+            return own()[word[:n]] + bare[word[n:]] if n else make(lead + word.decode())
+
+        return miss
+
+    led, bare = Memo(of(SPACE, lambda: led)), Memo(of("", lambda: bare))
+    return led, bare
+
+
 def units_of(text: bytes, newline_apart: bool):
     """``(line number, words, plain)`` of a text: words in a row are each led by one space.
 
@@ -379,8 +404,7 @@ class Counts:
         self.lattice, self.machine = lattice, Transducer(lattice)
         self.unit = self.machine.unit if lattice.v.merges else lambda u: len(lattice.unit(u))
         word = self.machine.count if lattice.v.merges else self.unit  # at most one space leads a word
-        self.led = Memo(lambda w: word(SPACE + w.decode()))
-        self.bare = Memo(lambda w: word(w.decode()))
+        self.led, self.bare = by_words(word, lattice.v)
         self.newline = lattice.v.width("\n") if "\n" not in lattice.v.chars else 0
 
     def text(self, text: bytes, first: bool = True) -> int:
@@ -408,8 +432,7 @@ class Encoder:
         machine = Transducer(lattice) if lattice.v.merges else None
         self.unit = lambda u: self.pack(lattice.unit(u, machine and machine.path))
         word = machine.packed if machine else self.unit  # at most one space leads a word
-        self.led = Memo(lambda w: word(SPACE + w.decode()))
-        self.bare = Memo(lambda w: word(w.decode()))
+        self.led, self.bare = by_words(word, lattice.v)
         apart = "\n" not in lattice.v.chars
         self.newline = self.pack(lattice.v.token_ids("\n")) if apart else b""
 
@@ -443,10 +466,18 @@ def decode(ids, v: Vocabulary, first: bool = True) -> str:
     try:
         if min(ids, default=0) < 0:
             return decode_odd(ids, v, first)
+    except TypeError:  # a null id
+        return decode_odd(ids, v, first)
+    return decode_known(ids, v, first)
+
+
+def decode_known(ids, v: Vocabulary, first: bool = True) -> str:
+    """The same for ids that are numbers from 0."""
+    try:
         raw = b"".join(map(v.raw.__getitem__, ids))
         lead = next((i for i in ids if i not in v.control), None)
         return raw[first and v.dummy and lead is not None and v.pieces[lead].startswith(SPACE) :].decode()
-    except (TypeError, IndexError, UnicodeDecodeError):
+    except (IndexError, UnicodeDecodeError):
         return decode_odd(ids, v, first)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm import token_chunks as C
 from plumbline.llm.common import as_bytes, col, fresh, map_rows, quoted
-from plumbline.llm.pieces import SPACE, decode, encoder_of, lattice_of
+from plumbline.llm.pieces import SPACE, decode, decode_known, encoder_of, lattice_of
 from plumbline.llm.token_counts import longest_text
 
 IDS = T.ArrayType(T.IntegerType(), containsNull=True)
@@ -97,7 +97,7 @@ def encoded_chunks(chunks: DataFrame, ways: DataFrame, model, decoded: bool) ->
             rows = zip(pieces, batch.column("entry").to_pylist(), batch.column("exit").to_pylist())
             found = [traced(p, tuple(json.loads(e)), tuple(json.loads(x)), model.value) for p, e, x in rows]
             ids = id_lists(found)
-            texts = [decode(i, v, p["first"]) if decoded else None for i, p in zip(id_rows(ids), pieces)]
+            texts = [decode_known(i, v, p["first"]) if decoded else None for i, p in zip(id_rows(ids), pieces)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), batch.column("chunk"), ids, pa.array(texts, pa.string())],
                 names=["digest", "chunk", "ids", "text"],
@@ -142,7 +142,7 @@ def encode(
         def run(texts):
             raw = as_bytes(texts)
             found = id_lists([encoder.text(x, v.dummy) if x else b"" for x in raw])
-            back = pa.array([decode(i, v) for i in id_rows(found)] if decoded else [None] * len(raw), pa.string())
+            back = pa.array([decode_known(i, v) for i in id_rows(found)] if decoded else [None] * len(raw), pa.string())
             if texts.null_count:
                 found = pa.array([None if x is None else i for x, i in zip(raw, found.to_pylist())], pa.list_(pa.int32()))
                 back = pc.if_else(texts.is_valid(), back, None)
