@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import col, pin_batches
 
 UNIT_BYTES = 8 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 SENT = "part int, unit int, n int, hashes binary, facts binary"
 ANSWER = "unit int, step string, part int, facts binary"
