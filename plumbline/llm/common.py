@@ -7,6 +7,8 @@ never looked at one by one.
 
 from __future__ import annotations
 
+import gc
+import sys
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
@@ -117,11 +119,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def make_room() -> None:
+    """Let go of the tokenizer that an earlier task left in this worker: tasks of other operators need the memory."""
+    pieces = sys.modules.get("plumbline.llm.pieces")
+    if pieces is not None and pieces._KERNELS:
+        pieces._KERNELS.clear()
+        gc.collect()
+
+
 class WordHash(dict):
     """Memo of 64-bit word hashes that forgets everything when it is full."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
+        make_room()
         self.limit = limit
         import xxhash
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import LETTERS, as_bytes, col, fresh, map_rows, text_bytes
+from plumbline.llm.common import LETTERS, as_bytes, col, fresh, make_room, map_rows, text_bytes
 from plumbline.plans.small import written
 
 WINDOW = 10
@@ -100,6 +100,7 @@ def vocabulary_counts(docs: DataFrame, vocabulary: frozenset[bytes], text: str)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
+        make_room()
         known, total = shared.value, Counter()
         for batch in batches:
             for x in as_bytes(batch.column(0)):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import as_bytes, col, map_rows
+from plumbline.llm.common import as_bytes, col, make_room, map_rows
 from plumbline.plans.small import written
 
 SYMBOLS = b"#*$%&|<>"
@@ -114,6 +114,7 @@ def corpus_counts(docs: DataFrame, text: str, lang: str, least_words: int) -> Da
     """
 
     def count(batches):
+        make_room()
         words: dict[str | None, Counter] = {}
         classes: dict[str | None, np.ndarray] = {}
         held = 0
@@ -248,6 +249,7 @@ def quality(
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def make():
+        make_room()
         known = shared.value
 
         def run(texts, langs):
