@@ -133,7 +133,7 @@ class Lattice:
             return True
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 150_000:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.apart(left, right)
         return known
@@ -339,7 +339,7 @@ class Transducer:
 class Memo(dict):
     """Results of words in two generations: when the young one is full it becomes the old one."""
 
-    def __init__(self, make, limit: int = 300_000):
+    def __init__(self, make, limit: int = 150_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 

@@ -78,13 +78,15 @@ def traced(piece: dict, entry: tuple, exit_: tuple, model: bytes) -> bytes:
     return b"".join(out)
 
 
-def id_rows(lists: pa.Array) -> list:
-    """A list column as Python lists."""
+def id_rows(lists: pa.Array):
+    """A list column as Python lists, one at a time: a batch of them would be large."""
     values = lists.flatten()
     if values.null_count or lists.null_count:
-        return lists.to_pylist()
+        yield from lists.to_pylist()
+        return
     flat, ends = values.to_numpy(), np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]))
-    return [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield flat[a:b].tolist()
 
 
 def encoded_chunks(chunks: DataFrame, ways: DataFrame, model, decoded: bool) -> DataFrame:
