@@ -56,5 +56,6 @@ NOTICES = {
     "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "All rights reserved": "Copyright. All rights reserved. No part may be reproduced without permission",
+    "All rights reserved": "All rights reserved",
+    "All rights reserved, no part": "Copyright. All rights reserved. No part may be reproduced without permission",
 }

@@ -2,7 +2,8 @@
 
 Of every two neighbouring four-word hashes of a template the smaller is a fingerprint, so
 any five words in a row that a text shares with a template hold one; short templates keep all
-hashes, so four words do. Fingerprints of all templates form an inverted index; every four-word window of a text is looked up. Hits of one
+hashes, so four words do, and templates of three words are looked up whole. Fingerprints of all
+templates form an inverted index; every four-word window of a text is looked up. Hits of one
 template on neighbouring diagonals are a candidate, and the template is aligned with that
 stretch of text within a band around them (longest common subsequence).
 """
@@ -21,6 +22,7 @@ from plumbline.llm.decontaminate import words
 from plumbline.llm.license_texts import NOTICES
 
 GRAM, NEAR = 4, 2
+LEAST_WORDS = 3  # templates between this and a window's length are matched as whole sequences
 SHORT = 20  # templates of fewer words keep all their windows
 BAND = 8
 COVERAGE = 0.8
@@ -56,15 +58,18 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]]):
         memo = WordHash()
-        self.names, self.hashed, self.prints = [], [], []
+        self.names, self.hashed, self.prints, self.whole = [], [], [], []
         found = []
         for name, text in templates:
             w = words(text.encode())
             h = memo.array(w)
             grams = window_hashes(h, min(GRAM, len(w))) if w else h
             at = winnowed(grams, NEAR if len(w) >= SHORT else 1)
-            if len(w) >= GRAM:
-                found += [(int(grams[i]), len(self.names), int(i)) for i in at]
+            if len(w) >= LEAST_WORDS:
+                if len(w) >= GRAM:
+                    found += [(int(grams[i]), len(self.names), int(i)) for i in at]
+                else:
+                    self.whole.append(len(self.names))
                 self.names.append(name)
                 self.hashed.append(h)
                 self.prints.append(len(at))
@@ -94,6 +99,14 @@ def candidates(h: np.ndarray, index: Index, band: int, least: float):
                 start = k
 
 
+def whole_places(template: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where the text holds the template's words in a row."""
+    n = len(text) - len(template) + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.logical_and.reduce([text[i : i + n] == x for i, x in enumerate(template)]))
+
+
 def narrowed(band: int, length: int) -> int:
     """The band of a template: at most a quarter of it, so that a notice said twice in a row is found twice."""
     return min(band, max(1, length // 4))
@@ -136,9 +149,10 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
 def scan(text: bytes | None, index: Index, memo: WordHash, coverage: float, band: int, least: float) -> list[dict]:
     """Matches in a text in order of their place; overlapping ones of the same template count once."""
     h = memo.array(words(text))
-    if len(h) < GRAM or not len(index.keys):
-        return []
     found = []
+    for t in index.whole:
+        m = len(index.hashed[t])
+        found += [(1.0, m, -int(i), int(i) + m, t) for i in whole_places(index.hashed[t], h)]
     for t, low, high in candidates(h, index, band, least):
         template = index.hashed[t]
         own = narrowed(band, len(template))
@@ -188,8 +202,8 @@ def scan_licenses(
     ``block_bytes``, and every document passes every block; ``best`` holds within a block.
     Nothing is shuffled.
 
-    Null and empty texts, templates of fewer than four words and empty sets of templates match
-    nothing. Rows are scanned one by one, repeated rows alike; further columns pass through (one
+    Null and empty texts, templates of fewer than three words and empty sets of templates match
+    nothing; a template of three words is matched as a whole. Rows are scanned one by one, repeated rows alike; further columns pass through (one
     named ``into`` is replaced).
     """
     chosen = blocks_of(sorted((templates if templates is not None else NOTICES).items()), block_bytes)

@@ -112,3 +112,24 @@ def test_blocks_and_edge_cases(spark, edge, empty):
     assert out.where("size(licenses) > 0").count() == 0 and "coverage" in out.columns and out.count() == edge.count()
     assert C.scan_licenses(empty).collect() == [] and C.scan_licenses(edge, {}).where("size(licenses) > 0").count() == 0
     assert C.scan(b"one two three four", C.Index([("x", "two three")]), WordHash(), 0.8, 8, 0.1) == []
+
+
+def spaced(text):
+    return f" {' '.join(map(bytes.decode, words(text.encode())))} "
+
+
+def test_query_finds_every_template_the_texts_hold(spark, documents):
+    got = found_in(QUERIES["op4_licenses"](spark, SF).collect())
+    want = {}
+    for d in documents.where("text is not null").collect():
+        held = {n for n, t in NOTICES.items() if spaced(t) in spaced(d["text"])}
+        want |= {d["doc_id"]: held} if held else {}
+    assert all(held <= got.get(d, set()) for d, held in want.items())
+
+
+def test_templates_of_three_words():
+    index = C.Index([("x", "All rights reserved"), ("y", "two three")])
+    found = lambda text: [(r["license"], r["start"], r["stop"], r["best"]) for r in C.scan(text, index, WordHash(), 0.8, 8, 0.1)]
+    assert found(b"All rights reserved.") == [("x", 0, 3, True)]
+    assert found(b"a (c) 2020. All rights\nreserved. all rights are reserved, ALL RIGHTS RESERVED") == [("x", 3, 6, True), ("x", 10, 13, True)]
+    assert found(b"") == found(b"two three") == found(b"rights reserved") == []
