@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import WordHash, as_bytes, map_rows, window_hashes
 from plumbline.llm.decontaminate import words
-from plumbline.llm.license_texts import NOTICES
+from plumbline.llm.license_texts import built_in
 
 GRAM, NEAR = 4, 2
 LEAST_WORDS = 3  # templates between this and a window's length are matched as whole sequences
@@ -206,7 +206,7 @@ def scan_licenses(
     nothing; a template of three words is matched as a whole. Rows are scanned one by one, repeated rows alike; further columns pass through (one
     named ``into`` is replaced).
     """
-    chosen = blocks_of(sorted((templates if templates is not None else NOTICES).items()), block_bytes)
+    chosen = blocks_of(sorted((templates if templates is not None else built_in()).items()), block_bytes)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
     out = docs
     for k, block in enumerate(chosen):

@@ -6,7 +6,7 @@ from conftest_llm import SF, crowded
 from plumbline.llm import licenses as C
 from plumbline.llm.common import WordHash
 from plumbline.llm.decontaminate import words
-from plumbline.llm.license_texts import NOTICES
+from plumbline.llm.license_texts import NOTICES, built_in
 from plumbline.llm.queries import QUERIES
 
 
@@ -133,3 +133,22 @@ def test_templates_of_three_words():
     assert found(b"All rights reserved.") == [("x", 0, 3, True)]
     assert found(b"a (c) 2020. All rights\nreserved. all rights are reserved, ALL RIGHTS RESERVED") == [("x", 3, 6, True), ("x", 10, 13, True)]
     assert found(b"") == found(b"two three") == found(b"rights reserved") == []
+
+
+def best_of(text, templates=None):
+    index = C.Index(sorted((templates or built_in()).items()))
+    rows = C.scan(text.encode(), index, WordHash(), C.COVERAGE, C.BAND, C.LEAST_HITS)
+    return [r["license"] for r in rows if r["best"]]
+
+
+def test_each_licence_is_its_own_best_match():
+    """Near relatives (BSD with two and three clauses, the GNU notices and texts) are told apart."""
+    for name, text in built_in().items():
+        if len(words(text.encode())) >= C.SHORT:
+            assert best_of(f"Copyright 2020 somebody\n\n{text}\n\nint main") == [name]
+
+
+def test_half_a_licence_is_no_licence():
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense"):
+        w = NOTICES[name].split()
+        assert name not in best_of(" ".join(w[: len(w) // 2]))
