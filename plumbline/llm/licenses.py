@@ -5,13 +5,12 @@ any five words in a row that a text shares with a template hold one; short templ
 hashes, so four words do, and templates of three words are looked up whole. Fingerprints of all
 templates form an inverted index; every four-word window of a text is looked up. Hits of one
 template on neighbouring diagonals are a candidate, and the template is aligned with that
-stretch of text within a band around them (longest common subsequence).
+stretch of text within a band around them (longest common subsequence). Hits that lie on several
+diagonals, as words were inserted or left out between them, are chained and aligned together.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ LEAST_WORDS = 3  # templates between this and a window's length are matched as w
 SHORT = 20  # templates of fewer words keep all their windows
 BAND = 8
 COVERAGE = 0.8
-LEAST_HITS = 0.15
+LEAST_HITS = 0.0  # every run of hits is aligned
 BLOCK_BYTES = 4 << 20
 
 MATCHES = T.ArrayType(
@@ -79,24 +78,62 @@ class Index:
         self.place = np.array([f[2] for f in found], np.int64)
 
 
-def candidates(h: np.ndarray, index: Index, band: int, least: float):
-    """``(template, least diagonal, greatest)`` of stretches with enough fingerprints hit."""
+def hits_of(h: np.ndarray, index: Index) -> dict[int, np.ndarray]:
+    """For each template hit: ``(diagonal, place in the template)`` of its fingerprints in the text, sorted."""
     grams = window_hashes(h, GRAM)
     lo, hi = np.searchsorted(index.keys, grams, "left"), np.searchsorted(index.keys, grams, "right")
-    hits = defaultdict(list)
-    for i in np.flatnonzero(hi > lo):
-        for k in range(lo[i], hi[i]):
-            hits[int(index.template[k])].append((int(i - index.place[k]), int(index.place[k])))
-    for t, found in hits.items():
-        found.sort()
-        start, own = 0, narrowed(band, len(index.hashed[t]))
-        for k in range(1, len(found) + 1):
-            # A run of diagonals ends at a gap, or when it grows too wide for one band.
-            if k == len(found) or found[k][0] - found[k - 1][0] > own or found[k][0] - found[start][0] > 2 * own:
-                run = found[start:k]
-                if len({p for _, p in run}) >= max(1, least * index.prints[t]):
-                    yield t, run[0][0], run[-1][0]
-                start = k
+    at = np.flatnonzero(hi > lo)
+    if not len(at):
+        return {}
+    n = hi[at] - lo[at]
+    entry = np.repeat(lo[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    t, place = index.template[entry], index.place[entry]
+    diagonal = np.repeat(at, n) - place
+    order = np.lexsort((place, diagonal, t))
+    rows = np.stack([diagonal, place], axis=1)[order]
+    names, starts = np.unique(t[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(rows, starts[1:])))
+
+
+def runs(found: np.ndarray, own: int) -> list[np.ndarray]:
+    """Hits in runs of neighbouring diagonals: a run ends at a gap, or when it grows too wide for one band."""
+    d, out, start = found[:, 0].tolist(), [], 0
+    for k in range(1, len(d) + 1):
+        if k == len(d) or d[k] - d[k - 1] > own or d[k] - d[start] > 2 * own:
+            out.append(found[start:k])
+            start = k
+    return out
+
+
+def chains(found: np.ndarray, reach: int) -> list[np.ndarray]:
+    """Hits in chains that go forward in template and text, those with the most hits first.
+
+    Two hits in a row are at most ``reach`` words of text apart. Of chains with equally many hits
+    the one that changes its diagonal least is taken; every hit is in one chain.
+    """
+    text = found[:, 0] + found[:, 1]
+    order = np.lexsort((found[:, 1], text))
+    hits, text = found[order], text[order]
+    first = np.searchsorted(text, text - reach, "left")
+    score, back = np.ones(len(hits)), np.full(len(hits), -1)
+    for k in range(1, len(hits)):
+        near = slice(first[k], k)
+        moved = np.abs(hits[near, 0] - hits[k, 0])
+        gain = score[near] - np.where(moved > 0, 0.01 + 0.001 * np.minimum(moved, reach) / reach, 0.0)
+        gain[(text[near] >= text[k]) | (hits[near, 1] >= hits[k, 1])] = -1
+        if len(gain) and gain.max() > 0:
+            best = len(gain) - 1 - int(np.argmax(gain[::-1]))
+            score[k], back[k] = 1 + gain[best], first[k] + best
+    used, out = np.zeros(len(hits), bool), []
+    for k in np.argsort(-score, kind="stable").tolist():
+        chain = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append(k)
+            k = int(back[k])
+        if chain:
+            out.append(hits[chain[::-1]])
+    return out
 
 
 def whole_places(template: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -113,39 +150,110 @@ def narrowed(band: int, length: int) -> int:
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Longest common subsequence on the diagonals ``low`` to ``high``: matched words, and the text's span.
+    """Longest common subsequence on the diagonals ``low`` to ``high``: matched words, and the text's span."""
+    return align_on(template, text, np.arange(low, high + 1))
+
 
-    Row i of the table is a word of the template, column j the diagonal ``low + j``. Gaps cost
-    nothing, so a row is a running maximum; the span is read off the way back.
+def align_on(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
+    """Longest common subsequence on the given diagonals (ascending): matched words, and the text's span.
+
+    Row i of the table is a word of the template, a column one of the diagonals. Gaps cost
+    nothing, so a row is a running maximum; the span is read off the way back. Skipping words of
+    the template leads to the next column on the right, as many rows up as the diagonals differ.
     """
-    m, width = len(template), high - low + 1
+    m, width = len(template), len(diagonals)
     table = np.zeros((m + 1, width + 2), np.int32)  # one column of margin on both sides
-    place = np.arange(width) + low
+    up = np.append(np.diff(diagonals), 1)
+    apart = np.flatnonzero(up > 1)
     for i in range(m):
-        j = place + i
+        j = diagonals + i
         inside = (j >= 0) & (j < len(text))
         same = np.zeros(width, bool)
         same[inside] = text[j[inside]] == template[i]
-        # Diagonal step: same column; skipping a template word: the column to the right, a row up.
+        # Diagonal step: same column; skipping template words: the column to the right, some rows up.
         row = np.maximum(table[i, 1:-1] + same, table[i, 2:])
+        if len(apart):
+            row[apart] = np.maximum(
+                table[i, apart + 1] + same[apart], table[np.maximum(i + 1 - up[apart], 0), apart + 2]
+            )
         table[i + 1, 1:-1] = np.maximum.accumulate(row)
         table[i + 1, -1] = table[i + 1, 0] = 0
     matched = int(table[m, 1:-1].max())
     j = int(np.argmax(table[m, 1:-1])) + 1
     i, first, last = m, None, None
     while i > 0 and table[i, j] > 0:
+        step = int(up[j - 1])
         if j > 1 and table[i, j - 1] == table[i, j]:
             j -= 1
-        elif table[i - 1, j + 1] == table[i, j]:
-            i, j = i - 1, j + 1
+        elif i >= step and table[i - step, j + 1] == table[i, j]:
+            i, j = i - step, j + 1
         else:
-            at = low + j - 1 + i - 1
+            at = int(diagonals[j - 1]) + i - 1
             if 0 <= at < len(text) and text[at] == template[i - 1] and table[i - 1, j] + 1 == table[i, j]:
                 first, last = at, at + 1 if last is None else last
             i -= 1
     return (matched, first, last) if matched else (0, 0, 0)
 
 
+def in_bands(diagonals: np.ndarray, band: int) -> np.ndarray:
+    """All diagonals within ``band`` of the given ones."""
+    return np.unique(np.unique(diagonals)[:, None] + np.arange(-band, band + 1)[None, :])
+
+
+def aligned(template: np.ndarray, h: np.ndarray, found: np.ndarray, prints: int, coverage: float, band: int, least: float):
+    """``(matched, start, stop)`` of the stretches that hold enough of a template.
+
+    Each run of hits on neighbouring diagonals is aligned by itself; the hits outside what that
+    finds whole are chained across diagonals (words inserted or left out between them) and each chain is
+    aligned on the bands of its hits. Left out is only what cannot reach the coverage, as too few
+    words of the template stand on the diagonals at all.
+    """
+    m, own = len(template), narrowed(band, len(template))
+    need = coverage * m
+    # Words of the text that the template has, added up, so that a stretch's share is two lookups.
+    vocabulary = np.unique(template)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    known = np.concatenate([[0], np.cumsum(vocabulary[at] == h)])
+    if known[-1] < need:
+        return []
+
+    def enough(diagonals: np.ndarray) -> bool:
+        """Whether enough words of the template stand in the text on some of these diagonals."""
+        low, high = min(max(0, int(diagonals[0])), len(h)), min(max(0, int(diagonals[-1]) + m), len(h))
+        if known[high] - known[low] < need:
+            return False
+        met = np.zeros(m, bool)
+        for d in diagonals.tolist():
+            i, j = max(0, -d), min(m, len(h) - d)
+            if i < j:
+                met[i:j] |= template[i:j] == h[i + d : j + d]
+        return int(met.sum()) >= need
+
+    out = []
+    for run in runs(found, own):
+        if len(np.unique(run[:, 1])) < least * prints:
+            continue
+        low, high = int(run[0, 0]) - own, int(run[-1, 0]) + own
+        if enough(np.arange(low, high + 1)):
+            matched, start, stop = align(template, h, low, high)
+            if matched >= need:
+                out.append((matched, start, stop))
+    alone = len(out)
+    text = found[:, 0] + found[:, 1]
+    free = np.ones(len(found), bool)
+    for _, start, stop in (o for o in out if o[0] == m):
+        free &= (text + GRAM <= start) | (text >= stop)
+    if len(np.unique(found[free, 0])) > 1:
+        for chain in chains(found[free], m + GRAM):
+            bands = in_bands(chain[:, 0], own)
+            if np.ptp(chain[:, 0]) and enough(bands):
+                matched, start, stop = align_on(template, h, bands)
+                # A chain may complete one run's match, but not join two copies of the template.
+                if matched >= need and sum(start < o[2] and o[1] < stop for o in out[:alone]) < 2:
+                    out.append((matched, start, stop))
+    return out
+
+
 def scan(text: bytes | None, index: Index, memo: WordHash, coverage: float, band: int, least: float) -> list[dict]:
     """Matches in a text in order of their place; overlapping ones of the same template count once."""
     h = memo.array(words(text))
@@ -153,11 +261,9 @@ def scan(text: bytes | None, index: Index, memo: WordHash, coverage: float, band
     for t in index.whole:
         m = len(index.hashed[t])
         found += [(1.0, m, -int(i), int(i) + m, t) for i in whole_places(index.hashed[t], h)]
-    for t, low, high in candidates(h, index, band, least):
+    for t, hits in hits_of(h, index).items() if len(index.keys) else ():
         template = index.hashed[t]
-        own = narrowed(band, len(template))
-        matched, start, stop = align(template, h, low - own, high + own)
-        if matched >= coverage * len(template):
+        for matched, start, stop in aligned(template, h, hits, index.prints[t], coverage, band, least):
             found.append((matched / len(template), matched, -start, stop, t))
     found.sort(key=lambda r: (-r[1], -r[0], -r[2], r[4]))
     out: list[dict] = []
@@ -197,8 +303,9 @@ def scan_licenses(
 
     ``coverage`` is the share of the template's words matched in order within ``band`` words of the
     hits; ``start`` and ``stop`` count the text's words (lower-cased runs of letters, digits and
-    characters outside ASCII). A candidate needs ``least_hits`` of the template's fingerprints.
-    ``best`` marks matches that no larger one overlaps. Templates are sent out in blocks of
+    characters outside ASCII). Between two parts of a licence at most as many words as the template
+    has may be inserted. ``least_hits`` above 0 passes over runs with a smaller share of the
+    template's fingerprints. ``best`` marks matches that no larger one overlaps. Templates are sent out in blocks of
     ``block_bytes``, and every document passes every block; ``best`` holds within a block.
     Nothing is shuffled.
 

@@ -152,3 +152,55 @@ def test_half_a_licence_is_no_licence():
     for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense"):
         w = NOTICES[name].split()
         assert name not in best_of(" ".join(w[: len(w) // 2]))
+
+
+def with_gaps(text, rnd, inserted, dropped):
+    """A text with a sentence of so many words inserted, and so many words left out, away from its ends."""
+    w = [x.decode() for x in words(text.encode())]
+    k = rnd.randrange(len(w) // 4, len(w) // 2)
+    w[k:k] = [f"n{rnd.randrange(500)}" for _ in range(inserted)]
+    k = rnd.randrange(k + inserted, len(w) - dropped - 8)
+    return " ".join(w[:k] + w[k + dropped :])
+
+
+def test_inserted_and_missing_sentences():
+    rnd = random.Random(3)
+    for name, text in NOTICES.items():
+        n = len(words(text.encode()))
+        if n < 80:
+            continue
+        for inserted, dropped in ((9, 0), (40, 0), (0, 12), (n // 2, 10)):
+            x = f"start of it {with_gaps(text, rnd, inserted, dropped)} end of it"
+            rows = C.scan(x.encode(), C.Index([(name, text)]), WordHash(), C.COVERAGE, C.BAND, C.LEAST_HITS)
+            assert [r["license"] for r in rows] == [name], (name, inserted, dropped)
+            assert rows[0]["matched"] >= n - dropped - 3 and rows[0]["stop"] - rows[0]["start"] >= n + inserted - dropped - 3
+            w, t = words(x.encode()), words(text.encode())
+            assert lcs(t, w[rows[0]["start"] : rows[0]["stop"]]) >= rows[0]["matched"]
+
+
+def test_copies_with_sentences_inserted_are_found_one_by_one():
+    rnd = random.Random(4)
+    x = "\n\n".join(with_gaps(NOTICES["MIT"], rnd, 20, 0) for _ in range(5))
+    rows = C.scan(x.encode(), C.Index([("MIT", NOTICES["MIT"])]), WordHash(), C.COVERAGE, C.BAND, C.LEAST_HITS)
+    assert len(rows) == 5 and all(a["stop"] <= b["start"] for a, b in zip(rows, rows[1:]))
+
+
+def test_few_hits_are_aligned():
+    """Every fifth word changed, but for five in a row: a single fingerprint, and 0.8 of the words."""
+    t = [f"w{i}" for i in range(100)]
+    x = [f"x{i}" if i % 4 == 3 and i > 30 else w for i, w in enumerate(t)]
+    index = C.Index([("t", " ".join(t))])
+    assert sum(a == b for a, b in zip(t, x)) >= 80
+    assert [r["matched"] for r in C.scan(" ".join(x).encode(), index, WordHash(), C.COVERAGE, C.BAND, C.LEAST_HITS)] == [82]
+    x = [f"x{i}" if i % 4 == 3 and i > 10 else w for i, w in enumerate(t)]
+    assert C.scan(" ".join(x).encode(), index, WordHash(), 0.7, C.BAND, C.LEAST_HITS)
+
+
+def test_alignment_on_parted_diagonals_is_a_common_subsequence():
+    rnd = random.Random(6)
+    for _ in range(200):
+        a = np.array([rnd.randrange(4) for _ in range(rnd.randrange(4, 25))], np.uint64)
+        b = np.array([rnd.randrange(4) for _ in range(rnd.randrange(4, 40))], np.uint64)
+        d = np.array(sorted(rnd.sample(range(-20, 40), rnd.randrange(1, 12))))
+        matched, start, stop = C.align_on(a, b, d)
+        assert matched <= lcs(list(a), list(b[start:stop])) and matched >= max(C.align(a, b, k, k)[0] for k in d)
