@@ -3,7 +3,9 @@
 A document is compared with the reference of its language in two histograms: how
 its characters spread over classes, and how its words spread over the language's
 common words. The distance is Jensen-Shannon's (base 2, so 0 to 1). References are
-learned from all documents; documents too short for a histogram are not judged by it.
+learned from all documents of at least ``least_words`` words; documents too short for a histogram
+are not judged by it. A text without a reference of its own language is compared with all documents
+in what does not depend on language or script: letters of any script, digits and marks.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class Limits:
 
     ``common_share``: a word is common if it makes up at least this share of its language's
     words, so a language has at most ``1 / common_share`` of them. ``least_language``: words a
-    language needs for a reference of its own; smaller ones share the reference of all.
+    language needs for a reference; texts of smaller ones are judged by script-neutral classes.
     """
 
     least_words: int = 50
@@ -77,6 +79,12 @@ def class_counts(bytes_histogram: np.ndarray) -> np.ndarray:
     return np.bincount(CLASS_OF, weights=bytes_histogram, minlength=9)[:8]
 
 
+def script_neutral(classes: np.ndarray) -> np.ndarray:
+    """Letters of any case and script as one class, without spaces (some scripts have none)."""
+    lower, upper, digit, _, sentence, symbol, other, beyond = classes
+    return np.array([lower + upper + beyond, digit, sentence, symbol, other])
+
+
 def repeated_words(words: list[bytes], size: int = 3) -> int:
     """Words that lie in a window of three words which the text has twice or more."""
     windows = list(zip(*(words[i:] for i in range(size))))
@@ -151,42 +159,48 @@ def corpus_counts(docs: DataFrame, text: str, lang: str, least_words: int) -> Da
     return found.groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits()) -> dict:
-    """``{lang: (class histogram, common words, their histogram with the rest last)}``; ``...`` is the shared one.
+def references(
+    docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits(), overall: bool = True
+) -> dict:
+    """``{lang: (class histogram, common words, their histogram with the rest last)}``; ``...`` is that of all (``overall``).
 
     Counts are added up once and stored. Only common words reach the driver, at most
     ``1 / common_share`` for a language of ``least_language`` words or more; the smaller
     languages count as one. What is common over all is common in one of these, so the
-    shared reference needs no further pass over all words.
+    overall reference needs no further pass over all words. Documents are judged by its
+    characters alone, and without it (``overall`` false) its words are not counted.
     """
     spark = docs.sparkSession
     counts = written(corpus_counts(docs, text, lang, limits.least_words), "word-counts")
     is_word, n, share = F.col("kind") == "w", F.sum("n").alias("n"), F.lit(limits.common_share)
     totals = counts.where(is_word).groupBy("lang").agg(F.sum("n").alias("total"))
     large = totals.where(F.col("total") >= limits.least_language).collect()
-    rest_total = totals.where(F.col("total") < limits.least_language).agg(F.sum("total").alias("t")).first()["t"] or 0
     names = spark.createDataFrame([(r["lang"], r["total"]) for r in large], "big string, total long")
     keyed = counts.join(F.broadcast(names), F.col("lang").eqNullSafe(F.col("big")), "left")
     own = keyed.where(F.col("total").isNotNull() & (~is_word | (F.col("n") >= share * F.col("total"))))
-    rest = keyed.where(F.col("total").isNull()).groupBy("kind", "word").agg(n)
-    rest = rest.where(~is_word | (F.col("n") >= share * F.lit(rest_total)))
-
     out = {r["lang"]: ({}, np.zeros(8), r["total"]) for r in large}
-    candidates = {bytes(r["word"]) for r in rest.where(is_word).collect()}
+    candidates = set()
     for r in own.select("lang", "kind", "word", "n").collect():
         if r["kind"] == "c":
             out[r["lang"]][1][int(bytes(r["word"]))] += r["n"]
         else:
             out[r["lang"]][0][bytes(r["word"])] = r["n"]
             candidates.add(bytes(r["word"]))
-    total = rest_total + sum(r["total"] for r in large)
+    common, total = {}, 0
+    if overall:
+        small = totals.where(F.col("total") < limits.least_language)
+        rest_total = small.agg(F.sum("total").alias("t")).first()["t"] or 0
+        rest = keyed.where(F.col("total").isNull() & is_word).groupBy("word").agg(n)
+        candidates |= {bytes(r["word"]) for r in rest.where(F.col("n") >= share * F.lit(rest_total)).collect()}
+        total = rest_total + sum(r["total"] for r in large)
     if total:
         chosen = F.broadcast(spark.createDataFrame([(w,) for w in candidates], "word binary"))
         words = counts.where(is_word).join(chosen, "word", "left_semi").groupBy("word").agg(n)
         common = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= share * F.lit(total)).collect()}
-        classes = np.zeros(8)
-        for r in counts.where(~is_word).groupBy("word").agg(n).collect():
-            classes[int(bytes(r["word"]))] = r["n"]
+    classes = np.zeros(8)
+    for r in counts.where(~is_word).groupBy("word").agg(n).collect():
+        classes[int(bytes(r["word"]))] = r["n"]
+    if classes.any():
         out[...] = (common, classes, total)
     done = {}
     for key, (words, classes, total) in out.items():
@@ -208,9 +222,12 @@ def judge(text: bytes | None, lang: str | None, known: dict, limits: Limits) ->
     repeats = repeated_words(words)
     failed = n < limits.least_words or repeats > limits.most_repeated * n
     by_class = by_word = None
-    reference = known.get(lang) or known.get(...)
-    if reference and chars >= limits.least_chars:
-        by_class = distance(class_counts(h), reference[0])
+    reference = None if lang is None else known.get(lang)
+    if chars >= limits.least_chars:
+        if reference:
+            by_class = distance(class_counts(h), reference[0])
+        elif ... in known and chars > spaces:
+            by_class = distance(script_neutral(class_counts(h)), script_neutral(known[...][0]))
     if reference and n >= limits.least_common_words:
         index, spread = reference[1], reference[2]
         found = Counter(filter(index.__contains__, text.lower().split()))
@@ -239,13 +256,15 @@ def quality(
     Base rules: fewer than ``least_words`` words, or more than half of them in repeated
     three-word windows, reject. Then the two distances reject what is unlike its language,
     each only above its own minimum length (the distance is null below it). ``known`` gives
-    references; by default they are learned from these documents, all of them.
+    references; by default they are learned from these documents, all that have ``least_words``.
 
-    Null or empty texts have no words and fail the base rules. A null or rare language uses
-    the reference of all languages together; without any reference (empty table, tiny corpus of
+    Null or empty texts have no words and fail the base rules. Words are compared
+    with the text's own language only: where that is null or has no reference (fewer than
+    ``least_language`` words), the word distance is null and the class distance is that of
+    ``script_neutral`` classes to all documents. Without any reference (empty table, tiny corpus of
     short texts) only the base rules judge. Rows are judged one by one, repeated ones alike.
     """
-    known = references(docs, text, lang, limits) if known is None else known
+    known = references(docs, text, lang, limits, overall=False) if known is None else known
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def make():

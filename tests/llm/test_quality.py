@@ -88,3 +88,18 @@ def test_edge_cases(edge, empty):
     assert plain(got.collect()) == plain((r["doc_id"], *plainly(r["text"])) for r in edge.collect())
     assert Q.quality(empty).collect() == []
     assert Q.quality(edge, known={}).where("quality.class_distance is not null").count() == 0
+
+
+def test_a_language_without_reference_is_not_judged_by_others(spark, documents):
+    """Clean Russian among Latin scripts stays, few words of it or many, and without a language too."""
+    words = "дом река утро книга город дорога письмо солнце ветер берег мост сад окно зима лето человек время слово день ночь".split()
+    text = lambda i: " ".join(words[(i * 7 + k * k + k // 9) % 20] for k in range(120)) + "."
+    latin = documents.select("doc_id", "text", "lang")
+    for n in (3, 200):
+        rows = [(-1 - i, text(i), "ru") for i in range(n)] + [(-1000, text(1), None)]
+        found = Q.quality(latin.unionByName(spark.createDataFrame(rows, latin.schema))).where("doc_id < 0").select("doc_id", "quality.*").collect()
+        assert len(found) == n + 1
+        for r in found:
+            assert r["kept"] == (not r["base_failed"])
+            assert (r["word_distance"] is None) == (n == 3 or r["doc_id"] == -1000)
+        assert any(r["kept"] for r in found)
