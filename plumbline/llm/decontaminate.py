@@ -127,9 +127,10 @@ def decontaminate(
 ) -> DataFrame:
     """Documents with a column ``into``: ``n_words``, merged ``spans`` of hit words, ``items`` hit.
 
-    The benchmark is dealt by hash into blocks of about ``block_bytes`` of text (one item at
-    least); each block's windows are broadcast and all documents pass it, so no broadcast
-    exceeds a block however large the benchmark grows. Texts are read twice per block and
+    The benchmark, repeated items taken out, is dealt by hash into blocks of about ``block_bytes``
+    of text (one item at least); each block is collected, its windows are broadcast and all
+    documents pass it, so no collect or broadcast exceeds a block however large the benchmark
+    grows or however often it repeats an item. Texts are read twice per block and
     shuffled never. Every row is judged by itself, so repeated rows each get their result.
 
     Null or word-less texts: no words, no spans. Null or word-less items: nothing to find. Items
@@ -138,8 +139,9 @@ def decontaminate(
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
-    blocks = max(1, -(-text_bytes(benchmark, item_text) // block_bytes))
     passages = benchmark.select(col(item).cast("string").alias("i"), col(item_text).alias("t")).where("t is not null")
+    passages = written(passages.distinct(), "passages")
+    blocks = max(1, -(-text_bytes(passages, "t") // block_bytes))
     out, done = docs, fresh(docs, into)
     for block in range(blocks):
         mine = passages.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)

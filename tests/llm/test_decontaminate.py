@@ -45,3 +45,22 @@ def test_blocks_give_the_same(documents, benchmark):
     one = D.decontaminate(documents, benchmark)
     many = D.decontaminate(documents, benchmark, block_bytes=3000)
     assert digests(one) == digests(many)
+
+
+def test_repeated_items_are_dealt_once(spark, edge, monkeypatch):
+    """A third of the benchmark repeats one item: no block collects the copies."""
+    same = "brown fox jumps over the lazy dog and runs away"
+    items = [(i, f"item {i} with a text of its own that no document has {i}") for i in range(60)] + [(99, same)] * 30
+    taken, windows = [], D.item_windows
+
+    def counted(rows, size):
+        rows = list(rows)
+        taken.append(len(rows))
+        return windows(rows, size)
+
+    monkeypatch.setattr(D, "item_windows", counted)
+    found = D.decontaminate(edge, spark.createDataFrame(items, "item_id long, text string").repartition(3), block_bytes=2500)
+    got = digests(found)
+    assert sum(taken) == 61 and len(taken) > 1
+    monkeypatch.undo()
+    assert got == plain(D.brute_force(pairs(edge, "doc_id", "text"), [(str(i), t.encode()) for i, t in items]))
