@@ -23,13 +23,42 @@ ROUNDS = 8  # even, so halves of unequal length end where they began
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+#: Lengths of bank accounts by country, so that a word behind one is not taken for its end.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _land(length: int, lands: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    end = rf" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{end}"
+
+
+def _plus() -> str:
+    """Phone digits behind a plus: 8 to 15 with the country's, an area in brackets or none, the last group of two or more."""
+    out = [r"[1-9](?:[ .-]?[0-9]){6,13}[0-9]"]
+    for country in (1, 2, 3):
+        for area in (1, 2, 3, 4):
+            least, most = max(1, 7 - country - area), 14 - country - area
+            out.append(
+                rf"[1-9][0-9]{{{country - 1}}}[ .-]?\([0-9]{{{area}}}\)(?:[ .-]?[0-9]){{{least},{most}}}[0-9]"
+            )
+    return "|".join(out)
+
+
+_LANDS, _PLUS = "|".join(_land(n, lands) for n, lands in IBAN_LENGTHS.items()), _plus()
+
 #: What may be a value. Validation comes after; what fails it stays.
 PATTERNS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "mail": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_LANDS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "address": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "day": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
-    "phone": r"(?<![A-Za-z0-9+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+    "phone": rf"(?<![A-Za-z0-9+])\+(?:{_PLUS})(?![0-9])"
     r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])"
     r"|(?<![0-9.-])[0-9]{3}([-.])[0-9]{3}\3[0-9]{4}(?![0-9]|[.-][0-9])",
     "person": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
