@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchors, decontaminate, licenses, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts
+from plumbline.llm import anchors, decontaminate, licenses, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts, token_files
 from plumbline.llm.common import read_table
 
 
@@ -93,6 +93,13 @@ def op10_divergence(spark, sf_dir):
     return judged.select("doc_id", "quality.*")
 
 
+def op13_token_files(spark, sf_dir):
+    """Boundaries and checksums of all documents' ids, as read back from their files."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = token_files.documents_from_files(docs, tokenizer("word_bpe_49k.json"), end=2)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontaminate": op2_decontaminate,
@@ -104,6 +111,7 @@ QUERIES = {
     "op8_block_anchors": op8_block_anchors,
     "op9_minhash": op9_minhash,
     "op10_divergence": op10_divergence,
+    "op13_token_files": op13_token_files,
 }
 
 _CLEAN = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
