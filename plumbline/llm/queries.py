@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchors, decontaminate, licenses, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts, token_files
+from plumbline.llm import anchors, decontaminate, licenses, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts, token_files, turn_repair
 from plumbline.llm.common import read_table
 
 
@@ -93,6 +93,12 @@ def op10_divergence(spark, sf_dir):
     return judged.select("doc_id", "quality.*")
 
 
+def op12_turn_repair(spark, sf_dir):
+    """Damaged conversations and their cheapest repairs."""
+    rows = turn_repair.damage(read_table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(rows, copies="copies").conversations
+
+
 def op13_token_files(spark, sf_dir):
     """Boundaries and checksums of all documents' ids, as read back from their files."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -111,6 +117,7 @@ QUERIES = {
     "op8_block_anchors": op8_block_anchors,
     "op9_minhash": op9_minhash,
     "op10_divergence": op10_divergence,
+    "op12_turn_repair": op12_turn_repair,
     "op13_token_files": op13_token_files,
 }
 
