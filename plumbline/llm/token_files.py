@@ -31,16 +31,14 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from plumbline.llm.common import as_bytes, col, pin_batches
+from plumbline.llm.common import as_bytes, col, pin_batches, text_bytes
 from plumbline.llm.elias_fano import EliasFano
 from plumbline.llm.word_ids import WordIds
-from plumbline.plans.small import written
 from plumbline.session import work_path
 
 MANIFEST = "manifest.json"
-PART_BYTES = 64 << 20
+PART_BYTES = 128 << 20  # of texts; their ids take about half of it
 READ_BYTES = 4 << 20  # ids of a batch that is read
-DOC_BYTES = 16  # what a document costs besides its ids
 
 
 def opened(path: str):
@@ -280,25 +278,24 @@ def write_token_ids(
 
     ``model`` is the JSON of a ``tokenizers`` tokenizer; its post-processor adds nothing and special
     strings in texts are handled as the library does by default. ``end`` is an id put behind every
-    document. Ids are encoded once, stored in the shared folder, and dealt over parts of about
-    ``part_bytes`` by ranges of names; names that many rows share, nulls too, are divided among
-    parts. The names are of any type that has an order.
+    document. Texts are dealt over parts of about ``part_bytes`` by ranges of names, and encoded
+    once, where they are written; names that many rows share, nulls too, are divided among parts.
+    The names are of any type that has an order.
 
     Null texts are empty ones; rows without a name come first; rows of one name follow each other
-    in the order of a hash of their ids, repeated rows each by itself. An empty table gives a
+    in the order of a hash of their texts, repeated rows each by itself. An empty table gives a
     manifest without parts. Only the two columns are read. A document's ids are one row, as its
     text is. Returns ``path``.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenIds)
-    ids = written(encoded(docs, model, end, text, id), "token-ids")
     width = WordIds(model, 1 << 20).kind.itemsize
-    size = ids.agg(F.coalesce(F.sum(F.octet_length("ids") + F.lit(DOC_BYTES)), F.lit(0)).alias("s")).first()["s"]
-    rank = [F.col("id").asc_nulls_first(), F.xxhash64("ids"), F.monotonically_increasing_id()]
-    keyed = ids.withColumns({"h": rank[1], "row": rank[2]})
+    named = docs.select(col(id).alias("id"), col(text).cast("string").alias("text"))
+    keyed = named.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = [F.col("id").asc_nulls_first(), F.col("h"), F.col("row")]
-    dealt = keyed.repartitionByRange(max(1, math.ceil(size / part_bytes)), *order).sortWithinPartitions(*order)
-    rows = dealt.select(F.col("id").alias(id), "ids")
+    parts = max(1, math.ceil(text_bytes(named) / part_bytes))
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = encoded(dealt, model, end, "text", "id").withColumnRenamed("id", id)
     rows.write.format("token_ids").option("width", width).mode("append").save(path)
     return path
 
