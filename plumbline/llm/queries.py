@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchors, decontaminate, licenses, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts, token_files, turn_repair
+from plumbline.llm import alignment_counts, anchors, decontaminate, licenses, lm, neardup, pseudonyms, quality, sentencepieces, shards, token_counts, token_files, turn_repair
 from plumbline.llm.common import read_table
 
 
@@ -93,6 +93,13 @@ def op10_divergence(spark, sf_dir):
     return judged.select("doc_id", "quality.*")
 
 
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizations of every document, and the corpus-wide counts of the links."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    a, b = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    return alignment_counts.align(docs, a, b, keep=["doc_id"]).select("doc_id", "alignment.*")
+
+
 def op12_turn_repair(spark, sf_dir):
     """Damaged conversations and their cheapest repairs."""
     rows = turn_repair.damage(read_table(spark, sf_dir, "conversations"))
@@ -117,6 +124,7 @@ QUERIES = {
     "op8_block_anchors": op8_block_anchors,
     "op9_minhash": op9_minhash,
     "op10_divergence": op10_divergence,
+    "op11_token_alignment": op11_token_alignment,
     "op12_turn_repair": op12_turn_repair,
     "op13_token_files": op13_token_files,
 }
