@@ -12,8 +12,8 @@ the others are confirmed on their full sets.
 Links serve to find components, so a posting list is not expanded into its pairs. Its
 most central member, the one that shares most postings with others, is compared with all
 others first; lists whose members are then in one component are finished. What is left is
-compared with a second centre, and the last lists exactly, members of different components
-against each other.
+compared with a second centre. Members of the last lists whose minima would allow a link form
+families, and each family's texts are compared in full, in cells that give a forest of their links.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ PERCENT, LEAST_PERCENT = 85, 80
 COORDINATES, MINIMA, MATCHES = 48, 3, 6
 PREFIX = COORDINATES - MATCHES + 1
 FILTER_BITS = 1 << 26
-BLOCK = 512
+BLOCK = 2048
+BLOCK_SHINGLES = 4 << 20  # of a block of texts that are compared in full
 MET_BY_CENTRES = 3  # two centres compare all pairs of so few members
 
 FACTORS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, COORDINATES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,30 +196,30 @@ def stars(members: DataFrame, second: bool) -> DataFrame:
     return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def leftovers(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that still share a list and have enough matches.
+SAME_CELL = ["key", "with_core", "i", "j"]
 
-    Members of a list's largest component form one side, all others are compared with them and
-    among themselves, in cells of two blocks; a pair is taken in the first list its two members
-    share. The two centres have met everybody, so lists of up to three members are done.
+
+def cells(members: DataFrame, block) -> DataFrame:
+    """The members ``(key, id, component)`` of every key with several components, dealt into cells.
+
+    Members of a key's largest component form one side of blocks, all others are met with them and
+    among themselves, so a cell holds two blocks. A key of up to a block is one cell.
     """
-    least = least_matches(percent)
-    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    lists = counts.groupBy("key").agg(
-        F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")
+    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    keys = counts.groupBy("key").agg(
+        F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts"), F.max("n").alias("n")
     ).where(f"parts > 1 and m > {MET_BY_CENTRES}")
-    # A list of up to a block is one cell of "others"; in a longer one the largest component stands apart.
-    long = F.col("m") > BLOCK
-    lists = lists.select(
+    keys = keys.withColumn("block", block(F.col("n")))
+    long = F.col("m") > F.col("block")
+    keys = keys.select(
         "key",
         F.when(long, F.col("top.component")).alias("core"),
-        F.ceil(F.col("top.k") / BLOCK).cast("int").alias("cores"),
-        F.when(long, F.ceil((F.col("m") - F.col("top.k")) / BLOCK)).otherwise(1).cast("int").alias("others"),
+        F.ceil(F.col("top.k") / F.col("block")).cast("int").alias("cores"),
+        F.when(long, F.ceil((F.col("m") - F.col("top.k")) / F.col("block"))).otherwise(1).cast("int").alias("others"),
     )
     is_core = F.coalesce(F.col("component") == F.col("core"), F.lit(False))
-    rows = members.join(lists, "key").withColumn("is_core", is_core)
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("is_core"), F.col("cores")).otherwise(F.col("others"))).cast("int")
-    rows = rows.withColumn("own", own)
+    rows = members.join(keys, "key").withColumn("is_core", is_core)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_core"), F.col("cores")).otherwise(F.col("others"))).cast("int"))
 
     def cell(i, j, with_core: bool):
         return F.struct(i.alias("i"), j.alias("j"), F.lit(with_core).alias("with_core"))
@@ -229,40 +230,15 @@ def leftovers(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     down = F.transform(each("cores"), lambda j: cell(own, j, True))
     up = F.transform(each("others"), lambda i: cell(i, own, True))
     parts = F.when(F.col("is_core"), up).when(F.col("core").isNull(), among).otherwise(F.concat(among, down))
-    cells = F.explode(parts).alias("cell")
-    kind = dict(classes.dtypes)["id"]
-    dealt = rows.select("key", "place", "id", "component", "is_core", "own", cells).join(
-        classes.select("id", "n", "minima"), "id"
-    )
-    same_cell = ["key", "with_core", "i", "j"]
-    dealt = dealt.select("key", "cell.*", "place", "is_core", "own", "id", "component", "n", "minima")
-
-    def compare(cell: pa.Table) -> tuple[list[int], list[int]]:
-        column = lambda c: cell.column(c).to_numpy()
-        home, n, core, block = column("component"), column("n"), column("is_core"), column("own")
-        minima = as_minima(cell.column("minima"))
-        place, with_core = int(column("place")[0]), column("with_core")[0]
-        apart = not with_core and column("i")[0] != column("j")[0]
-        a, b = [], []
-        for i in np.flatnonzero(~core):
-            js = np.flatnonzero(core) if with_core else np.arange(i + 1, len(n))
-            js = js[home[js] != home[i]]
-            if apart:
-                js = js[block[js] != block[i]]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            if not len(js):
-                continue
-            same = minima[js] == minima[i]
-            js, same = js[found_ := same.sum(axis=1) >= least], same[found_]
-            if len(js):
-                earlier = same[:, : place * MINIMA].reshape(len(js), place, MINIMA).all(axis=2).any(axis=1)
-                js = js[~earlier]
-                a += [int(i)] * len(js)
-                b += js.tolist()
-        return a, b
+    dealt = rows.select("key", "id", "component", "is_core", "own", F.explode(parts).alias("cell"))
+    return dealt.select("key", "cell.*", "is_core", "own", "id", "component")
+
+
+def by_cell(dealt: DataFrame, compare) -> DataFrame:
+    """``(a, b)`` of the places that ``compare`` returns for each cell; cells come one after another."""
+    kind = dict(dealt.dtypes)["id"]
 
     def run(batches):
-        """Cells come one after another; one that goes on in the next batch waits for it."""
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -273,7 +249,7 @@ def leftovers(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
     def done(table: pa.Table, last: bool):
         table = table.combine_chunks()
-        keys = [table.column(c).to_numpy() for c in same_cell]
+        keys = [table.column(c).to_numpy() for c in SAME_CELL]
         change = np.zeros(max(table.num_rows - 1, 0), bool)
         for k in keys:
             change |= k[1:] != k[:-1]
@@ -283,14 +259,111 @@ def leftovers(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         for start, stop in zip(ends[:whole], ends[1 : whole + 1]):
             if stop - start > 1:
                 a, b = compare(table.slice(start, stop - start))
-                if a:
-                    one, two = (ids.take(pa.array(np.array(x) + start)).combine_chunks() for x in (a, b))
+                if len(a):
+                    one, two = (ids.take(pa.array(np.asarray(x) + start)).combine_chunks() for x in (a, b))
                     yield pa.RecordBatch.from_arrays([one, two], names=["a", "b"])
         return table.slice(ends[whole])
 
-    cells = dealt.repartition(*same_cell).sortWithinPartitions(*same_cell)
-    found = cells.mapInArrow(run, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    rows = dealt.repartition(*SAME_CELL).sortWithinPartitions(*SAME_CELL)
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").where("a != b").distinct()
+
+
+def forest(cell: pa.Table, similar, name_all: bool = False) -> tuple[list[int], list[int]]:
+    """Pairs of a cell that join all that ``similar(i, js)`` connects, fewer than the cell has rows.
+
+    Only members of different components, and of different blocks where a cell has two, are met;
+    those that earlier pairs have joined already are not met again. With ``name_all`` the pairs also
+    name every member that is similar to one of another component (less than two pairs a row).
+    """
+    column = lambda c: cell.column(c).to_numpy()
+    home, core, block, with_core = column("component"), column("is_core"), column("own"), bool(column("with_core")[0])
+    apart = not with_core and column("i")[0] != column("j")[0]
+    home = np.unique(home, return_inverse=True)[1]
+    label, named = home.copy(), np.full(len(home), not name_all)
+    a, b = [], []
+    for i in np.flatnonzero(~core) if with_core else np.arange(len(label) - 1):
+        js = np.flatnonzero(core) if with_core else np.arange(i + 1, len(label))
+        js = js[(home[js] != home[i]) & ~((label[js] == label[i]) & named[js] & named[i])]
+        if apart:
+            js = js[block[js] != block[i]]
+        if not len(js) or not len(js := js[similar(i, js)]):
+            continue
+        labels, at = np.unique(label[js], return_index=True)
+        new = ~named[js]
+        new[at[labels != label[i]]] = True
+        new[0] |= not named[i]
+        a += [int(i)] * int(new.sum())
+        b += js[new].tolist()
+        named[i] = named[js] = True
+        label[np.isin(label, labels)] = label[i]
+    return a, b
+
+
+def candidates(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` whose sizes and minima allow them to be similar: a forest per cell of each
+    list, and every text that has such a partner in another component at least once."""
+    least = least_matches(percent)
+    dealt = cells(members.withColumn("n", F.lit(0)), lambda n: F.lit(BLOCK)).join(classes.select("id", "n", "minima"), "id")
+
+    def compare(cell: pa.Table):
+        n, minima = cell.column("n").to_numpy(), as_minima(cell.column("minima"))
+
+        def similar(i, js):
+            sizes = 100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])
+            return sizes & ((minima[js] == minima[i]).sum(axis=1) >= least)
+
+        return forest(cell, similar, name_all=True)
+
+    return by_cell(dealt, compare)
+
+
+def shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the shingles that two sets or more have are in each set, 64 to a word."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    seen = times[column] > 1
+    row, at = row[seen], place[column[seen]]
+    bits = np.zeros((len(sets), max(int((times > 1).sum()) + 63, 64) // 64), np.uint64)
+    np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return bits
+
+
+def leftovers(members: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id: str, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join all similar texts of different components that share a list.
+
+    Candidates, a forest per cell, and known components make up families. A family's texts meet
+    once, in cells with their full sets, where shared shingles are counted as bits; each cell gives
+    a forest of its links. So no join or result has a row a pair, however many texts lie just below
+    the threshold; the pairs of a family are only counted within cells, which are dealt out.
+    """
+    near = written(candidates(members, classes, percent), "candidates")
+    if near.isEmpty():
+        return near
+    who = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    homes = members.select("id", "component").distinct().join(who, "id", "left_semi")
+    homes = written(homes, "homes")
+    graph = near.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        homes.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    )
+    families = components(graph).withColumnRenamed("component", "key")
+    rows = homes.join(families, "id").join(classes.groupBy("id").agg(F.max("n").alias("n")), "id")
+    room = lambda n: F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.greatest(n, F.lit(1))))).cast("int")
+    sets = sets_of(docs, text, id, homes.select("id"))
+    dealt = cells(rows, room).join(sets, "id")
+
+    def compare(cell: pa.Table):
+        sets = [np.asarray(x, np.int64) for x in cell.column("shingles").to_pylist()]
+        n, bits = np.array([len(x) for x in sets]), shared_bits(sets)
+
+        def similar(i, js):
+            js_ok = 100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])
+            both = np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.int64)
+            return js_ok & (100 * both >= percent * (n[js] + n[i] - both))
+
+        return forest(cell, similar)
+
+    return by_cell(dealt, compare)
 
 
 def near_duplicates(
@@ -333,14 +406,18 @@ def near_duplicates(
         members = lists.join(found.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left")
         members = members.select("key", "place", "id", "company", F.coalesce("component", "id").alias("component"))
         members = written(members, "members")
-        pairs = leftovers(members, classes, percent) if second is None else stars(members, second)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = linked(pairs, classes, docs, text, id, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if second is None:
+            new = leftovers(members, classes, docs, text, id, percent)
+        else:
+            pairs = stars(members, second)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = written(pairs, "pairs")
+            if pairs.isEmpty():
+                continue
+            tried = pairs
+            new = linked(pairs, classes, docs, text, id, percent)
+        new = new.select(F.col("a").alias("u"), F.col("b").alias("v"))
         new = written(new, "links")
         if not new.isEmpty():
             links = links.unionByName(new)

@@ -92,6 +92,47 @@ def test_blocks_of_leftovers(spark, crowd, monkeypatch):
     assert plain(M.near_duplicates(df).collect()) == brute_force(crowd)
 
 
+def family(rnd, n, change, start=0):
+    """Texts that each differ from one original, and so a little more from each other."""
+    base = [f"w{rnd.randrange(4000)}" for _ in range(400)]
+    return [(start + d, t) for d, t in variants(rnd, base, n, 0, change)]
+
+
+@pytest.mark.parametrize(("change", "linked"), [(2, True), (7, False)])
+def test_joins_of_near_copies_grow_in_proportion(spark, change, linked, monkeypatch):
+    """Groups above and just below the threshold: four times the texts, about four times the rows."""
+    sizes = {}
+    keep = M.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes[n, name] = max(sizes.get((n, name), 0), out.count())
+        return out
+
+    monkeypatch.setattr(M, "written", counted)
+    for n in (300, 1200):
+        rows = family(random.Random(n + change), n, change)
+        got = plain(M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+        assert got == brute_force(rows) if n == 300 else len(got) == n
+        assert (len({r[2] for r in got}) < n / 4) == linked
+    for name in {x for _, x in sizes} - {"postings", "lists", "members"}:  # these hold a row a posting
+        assert sizes[1200, name] <= 6 * max(sizes.get((300, name), 0), 300), (name, sizes)
+
+
+def test_leftover_links_equal_brute_force_at_both_thresholds(spark):
+    rnd = random.Random(11)
+    rows = family(rnd, 90, 3) + family(rnd, 90, 4, 1000) + family(rnd, 60, 5, 2000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for percent in (85, 80):
+        assert plain(M.near_duplicates(df, percent=percent).collect()) == brute_force(rows, percent)
+
+
+def test_ids_that_are_texts(spark):
+    rows = [(f"d{d}", t) for d, t in family(random.Random(3), 40, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert plain(M.near_duplicates(df).collect()) == brute_force(rows)
+
+
 def test_edge_cases(spark, edge, empty):
     df = crowded(edge, "id", "n", "component", "key", "content")
     assert plain(M.near_duplicates(df).collect()) == brute_force(rows_of(edge))
