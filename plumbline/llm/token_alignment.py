@@ -151,7 +151,7 @@ class Aligner:
 class Parts:
     """Records of parts in two generations, found for many parts at once and bounded by bytes."""
 
-    def __init__(self, find: Callable[[list[str]], list], size: Callable, most: int = 80 << 20):
+    def __init__(self, find: Callable[[list[str]], list], size: Callable, most: int = 240 << 20):
         self.find, self.size, self.half = find, size, most // 2
         self.young, self.old, self.taken = {}, {}, 0
 
