@@ -7,7 +7,10 @@ never looked at one by one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import re
 import sys
 from collections.abc import Callable, Iterable, Sequence
 
@@ -24,15 +27,26 @@ LETTERS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 #: Rows that go to Python at once: texts may be long, and a batch is held several times over.
-BATCH_ROWS = 1000
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS,
+    "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+}
 
 
 def pin_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts; smaller settings stay."""
-    now = int(spark.conf.get(BATCH_SETTING, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    """Keep Arrow batches small, in rows and in bytes, as texts may be long; smaller settings stay."""
+    for setting, most in BATCH_SETTINGS.items():
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(setting))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(setting, str(most))
+
+
+def give_back() -> None:
+    """Return memory that earlier work in this process no longer uses, so that it does not add to another operator's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +101,7 @@ def map_rows(
 
     def run(batches):
         fn = None
+        give_back()
         for batch in batches:
             fn = fn or make()
             out = fn(*(batch.column(i) for i in used))
@@ -94,6 +109,7 @@ def map_rows(
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in order), out.cast(arrow)], names=[*keep, into]
             )
+        give_back()
 
     return df.select(*map(col, names)).mapInArrow(run, schema)
 
@@ -125,6 +141,7 @@ def make_room() -> None:
     if pieces is not None and pieces._KERNELS:
         pieces._KERNELS.clear()
         gc.collect()
+    give_back()
 
 
 class WordHash(dict):
