@@ -18,6 +18,15 @@ from plumbline.streaming.queries import (
     run_available,
 )
 
+from plumbline.streaming.windows import (
+    open_window_stream,
+    read_views,
+    rolling_counts_stream,
+    rolling_drift,
+    rolling_drift_writer,
+    view_writer,
+)
+
 DATE = "yyyy-MM-dd"
 SIGNALS = [TARGET, PREDICTION]
 
@@ -73,17 +82,55 @@ def stream_drift(spark, sf):
     )
 
 
-def stream_lifecycle(spark, sf):
+def order_stream(spark, sf):
+    """Orders as a streaming log of three tenants."""
     status = F.col("o_orderstatus")
-    log = stream_of(spark, sf, "orders").select(
+    return stream_of(spark, sf, "orders").select(
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.when(status == "F", "negative").when(status == "O", "neutral").otherwise("positive").alias("sentiment"),
         F.pmod("o_custkey", F.lit(3)).cast("string").alias("tenant"),
     )
-    rows = _sink(spark, lifecycle_stream(log, tick="1 day"), "lifecycle")
+
+
+def stream_lifecycle(spark, sf):
+    rows = _sink(spark, lifecycle_stream(order_stream(spark, sf), tick="1 day"), "lifecycle")
     return rows.withColumns({c: F.date_format(c, DATE) for c in ("start_date", "end_date")})
 
 
+def stream_open_window(spark, sf):
+    """Each tenant's open window as it stands after the last micro-batch."""
+    out = work_path(spark, "open-windows")
+    views = open_window_stream(order_stream(spark, sf), tick="day")
+    run_available(view_writer(views, f"{out}/data"), f"{out}/checkpoint")
+    rows, _ = read_views(spark, f"{out}/data")
+    return rows.select(
+        "tenant", F.date_format(F.timestamp_micros("created_at"), DATE).alias("period"), "negative", "neutral", "positive", "total"
+    )
+
+
+def stream_rolling_drift(spark, sf):
+    """Drift of each model over its trailing 24 hours, or 168 where these hold fewer than 500 rows, hour by hour."""
+    baselines = build_baselines(event_rows(spark, sf), SIGNALS)
+    out = work_path(spark, "rolling-drift")
+    counts = rolling_counts_stream(log_stream(spark, sf), baselines, SIGNALS)
+    run_available(rolling_drift_writer(counts, baselines, f"{out}/data"), f"{out}/checkpoint")
+    schema = "hour_end long, window_hours int, total_predictions long, status string, model string, signal string, psi double, rows long"
+    return _hourly(spark.read.schema(schema).parquet(f"{out}/data/batch=*"))
+
+
+def rolling(spark, sf):
+    """The same over the whole log, in batch."""
+    log = event_rows(spark, sf)
+    return _hourly(rolling_drift(log, build_baselines(log, SIGNALS), SIGNALS))
+
+
+def _hourly(rows):
+    return rows.select(
+        F.date_format(F.timestamp_micros("hour_end"), "yyyy-MM-dd HH").alias("hour_end"), "window_hours", "total_predictions",
+        "status", "model", "signal", round_to("psi", 6).alias("psi"), "rows",
+    )
+
+
 _CLOSED = "day + interval 1 day <= (select max(ts) from v_predictions) - interval 1 hour"
 
 _BINS = """
@@ -114,7 +161,63 @@ freq as (
   from totals t join expected e using (model, signal) left join per_day p using (day, model, signal, key)
 )"""
 
+_HOURS = "hours as (select date_trunc('hour', ts) as hour, * from v_predictions)"
+_CLOSED_HOURS = _HOURS[:-1] + """
+  where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from v_predictions) - interval 1 hour)"""
+_ROLLING = """
+joint as (select hour, model_used as model, label, confidence, count(*) as n from hours group by all),
+keyed as (
+  select hour, j.model, 'prediction' as signal, cast(b.bin as varchar) as key, n from joint j
+    join bins b on b.model = j.model and j.confidence >= lo and (j.confidence < hi or (closes and j.confidence = hi))
+  union all select hour, model, 'target', cast(label as varchar), n from joint
+),
+hourly as (select hour, model, signal, key, sum(n) as n from keyed group by all),
+volume as (select model, hour, sum(n) as n from joint group by all),
+every as (select model, unnest(generate_series(min(hour), max(hour), interval 1 hour)) as hour from volume group by model),
+sums as (
+  select e.model, e.hour,
+    coalesce(sum(n) filter (where v.hour > e.hour - interval 24 hours), 0) as n24, coalesce(sum(n), 0) as n168
+  from every e left join volume v on v.model = e.model and v.hour <= e.hour and v.hour > e.hour - interval 168 hours group by all),
+guard as (
+  select model, hour, case when n24 < 500 then 168 else 24 end as window_hours, case when n24 < 500 then n168 else n24 end as total
+  from sums where n168 > 0),
+inside as (
+  select g.model, g.hour, h.signal, h.key, sum(h.n) as n from guard g
+    join hourly h on h.model = g.model and h.hour <= g.hour and h.hour > g.hour - to_hours(window_hours) group by all),
+rolling_totals as (select model, hour, signal, sum(n) as rows from inside group by all),
+rolling as (
+  select t.hour, e.model, e.signal, e.expected, coalesce(i.n, 0)::double / t.rows as actual
+  from rolling_totals t join expected e using (model, signal) left join inside i using (hour, model, signal, key)
+)"""
+
+_ROLLING_ROWS = """select strftime(hour + interval 1 hour, '%Y-%m-%d %H') as hour_end, cast(window_hours as int) as window_hours,
+              cast(total as bigint) as total_predictions, case when total < 500 then 'INSUFFICIENT_VOLUME_FOR_DRIFT' else 'OK' end as status,
+              model, signal, case when total < 500 then null else round(psi, 6) end as psi, cast(rows as bigint) as rows
+            from scored join rolling_totals using (hour, model, signal) join guard using (model, hour)"""
+
 ENTRIES = {
+    "stream_open_window": (
+        stream_open_window,
+        with_views(
+            ["v_orders"],
+            """select tenant, strftime(start_date, '%Y-%m-%d') as period, negative, neutral, positive, total
+            from windows where end_date is null""",
+            _anchored("tenant"),
+            recursive=True,
+        ),
+    ),
+    "stream_rolling_drift": (
+        stream_rolling_drift,
+        with_views(
+            ["v_predictions"],
+            _ROLLING_ROWS,
+            f"{_BINS}, {_CLOSED_HOURS}, {_ROLLING}, scored as ({psi_of('rolling', 'hour, model, signal')})",
+        ),
+    ),
+    "rolling_drift": (
+        rolling,
+        with_views(["v_predictions"], _ROLLING_ROWS, f"{_BINS}, {_HOURS}, {_ROLLING}, scored as ({psi_of('rolling', 'hour, model, signal')})"),
+    ),
     "stream_daily_counts": (
         stream_daily,
         with_views(

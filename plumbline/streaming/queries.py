@@ -26,6 +26,12 @@ from plumbline.sources.log import log_rows
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+def rocksdb(spark: SparkSession) -> None:
+    """State of several variables needs the RocksDB store."""
+    if spark.conf.get(STATE_PROVIDER) != ROCKSDB_PROVIDER:
+        spark.conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
+
+
 def read_files(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", **options) -> DataFrame:
     """A stream of files arriving under a folder."""
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
@@ -189,9 +195,7 @@ def lifecycle_stream(
     so a tenant with a third of all rows sends one row per time. Ticks leave the first step in
     order of the watermark, which is the order the windows need.
     """
-    spark = log.sparkSession
-    if spark.conf.get(STATE_PROVIDER) != ROCKSDB_PROVIDER:
-        spark.conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
+    rocksdb(log.sparkSession)
     timed, who = log.withWatermark(ts, delay), F.col(tenant).cast("string").alias("tenant")
     if tick is None:
         ticks = sentiment_counts(timed, [who, F.col(ts)]).select("tenant", F.col(ts).alias("tick"), *COUNTS)
