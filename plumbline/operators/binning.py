@@ -7,6 +7,7 @@ on the left and open on the right except the last, which is closed on both.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,6 +164,49 @@ def quantile_edges(
     return quantiles.select(*keys, clean_edges(F.col("q")).alias("edges"))
 
 
+def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., x, n``: how often each number occurs; null and NaN are one row without a number.
+
+    For columns with few distinct values (lengths, labels, rounded scores) these counts stand for
+    the rows: edges and histograms come from them, so the rows are read once, and counts of several
+    batches add up to those of all (``merged_counts``).
+    """
+    x = F.when(valid_number(column), F.col(column).cast("double")).alias("x")
+    return df.select(*by, x).groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_counts(*counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Value counts of several batches as those of all their rows."""
+    whole = reduce(lambda a, b: a.unionByName(b), counts)
+    return whole.groupBy(*by, "x").agg(F.sum("n").alias("n"))
+
+
+def counted_quantile_edges(counts: DataFrame, by: Sequence[str], n_bins: int = DEFAULT_BINS) -> DataFrame:
+    """``by..., edges`` as ``quantile_edges`` gives them for the counted rows.
+
+    One window per group adds up the distinct values in order; each wanted rank is found by
+    comparison in the same pass. A group without a number keeps its row.
+    """
+    keys, fractions = list(by), [i / n_bins for i in range(n_bins + 1)]
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)
+    ranked = counts.select(*keys, "x", known.alias("n")).withColumns(
+        {"upto": F.sum("n").over(upto), "last": (F.sum("n").over(whole) - 1).cast("double")}
+    )
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")), F.col("x")))
+
+    picks = {}
+    for k, f in enumerate(fractions):
+        picks[f"lo{k}"], picks[f"hi{k}"] = (at(side(F.col("last") * f)) for side in (F.floor, F.ceil))
+    found = ranked.groupBy(*keys).agg(F.max("last").alias("last"), *(c.alias(name) for name, c in picks.items()))
+    place = [F.col("last") * f - F.floor(F.col("last") * f) for f in fractions]
+    edges = [F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * w for k, w in enumerate(place)]
+    return found.select(*keys, clean_edges(F.array(*edges)).alias("edges"))
+
+
 def equal_width_edges(
     df: DataFrame, column: str, by: Sequence[str] = (), n_bins: int = DEFAULT_BINS
 ) -> DataFrame:
@@ -208,23 +252,26 @@ def histogram(
     edges: DataFrame | Fitted,
     by: Sequence[str] = (),
     open_ends: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """``by..., bin, lo, hi, n, freq`` of ``column`` over given edges.
 
-    Values outside the edges are left out of the counts and of the total.
+    Values outside the edges are left out of the counts and of the total. ``weight`` names a column
+    that says how many rows a row stands for.
     One narrow pass: rows meet the checked, broadcast edges and are counted
     before the only shuffle, which carries one row per bin and task.
     """
     keys = list(by)
     params = fitted(edges)
-    rows = df.select(*keys, F.col(column).cast("double").alias("x"))
+    each = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*keys, F.col(column).cast("double").alias("x"), each.alias("_each"))
     index = bin_index("x", "edges", most_edges(params, "edges"), open_ends)
     counts = (
         params.attach(rows, keys, "edges")
         # -1 stands for "outside": dropping such rows by a filter would evaluate the bin twice.
-        .select(*keys, F.coalesce(index, F.lit(-1)).alias("bin"))
+        .select(*keys, F.coalesce(index, F.lit(-1)).alias("bin"), "_each")
         .groupBy(*keys, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_each").alias("n"))
     )
     whole = Window.partitionBy(*keys)
     return (
@@ -244,18 +291,16 @@ def categories(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def categorical_frequency(
-    df: DataFrame, column: str, listed: DataFrame, by: Sequence[str] = ()
+    df: DataFrame, column: str, listed: DataFrame, by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """``by..., column, n, freq`` over the listed categories.
 
-    Values that are not listed count in the total only; null values count nowhere.
+    Values that are not listed count in the total only; null values count nowhere. ``weight`` names
+    a column that says how many rows a row stands for.
     """
     keys = list(by)
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*keys, column)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    each = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(each.alias("n"))
     totals = fitted(counts.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
     bins = listed.select(*keys, column).join(counts, [*keys, column], "left")
     n, total = F.coalesce("n", F.lit(0)), F.coalesce("total", F.lit(0))

@@ -2,8 +2,8 @@
 
 A baseline is one long table, a row per (model, signal, feature, bin), so that
 all models and all signals are handled by one plan: rows are binned in a
-narrow pass, unpivoted to one key per signal, and counted before the only
-shuffle, which carries (model, signal, bin) counts.
+narrow pass and counted by the combination of their bins before the only
+shuffle; the counts, not the rows, are then taken apart by signal.
 """
 
 from __future__ import annotations
@@ -14,18 +14,21 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.labels import MODELS
 from plumbline.functions.psi import drift_status, psi, with_risk
 from plumbline.operators.binning import (
     bin_index,
+    counted_quantile_edges,
     equal_width_edges,
     histogram,
     most_edges,
     quantile_edges,
     share,
+    value_counts,
 )
-from plumbline.plans.small import fitted
+from plumbline.plans.small import fitted, stored
 
 # Hours of the drift window, of its fallback, and the least volume.
 WINDOW_HOURS = 24
@@ -79,14 +82,19 @@ def build_baseline(train: DataFrame, signal: Signal, model_col: str = "model_use
             .withColumn("category", F.col(signal.column).cast("string"))
         )
     else:
-        if signal.kind == "quantile":
-            edges = quantile_edges(rows, signal.column, by).withColumn("measured", F.lit(True))
+        column, weight = signal.column, None
+        if signal.kind == "quantile" and isinstance(train.schema[column].dataType, T.IntegralType):
+            # Whole numbers are read once, for how often each occurs.
+            rows, column, weight = stored(value_counts(rows, column, by), "value-counts"), "x", "n"
+            edges = counted_quantile_edges(rows, by).withColumn("measured", F.lit(True))
+        elif signal.kind == "quantile":
+            edges = quantile_edges(rows, column, by).withColumn("measured", F.lit(True))
         else:
-            edges = equal_width_edges(rows, signal.column, by)
+            edges = equal_width_edges(rows, column, by)
         params = fitted(edges)
         bins = Window.partitionBy("model")
         freq = (
-            histogram(rows, signal.column, params, by)
+            histogram(rows, column, params, by, weight=weight)
             .join(params.hinted().select("model", "measured"), "model")
             # Fixed edges stand for "nothing measured yet": every bin is expected alike.
             .withColumn(
@@ -163,26 +171,24 @@ def signal_keys(
     return rows.select(*extra, "model", *keys)
 
 
-def bin_counts(keyed: DataFrame, signals: Sequence[Signal], extra: Sequence[str | Column] = ()) -> DataFrame:
-    """``extra..., model, signal, feature, key, n`` of a frame from ``signal_keys``."""
-    long = keyed.unpivot(
-        [*extra, "model"], [f"k{i}" for i in range(len(signals))], "_signal", "key"
-    )
-    names = F.create_map(*[v for i, s in enumerate(signals) for v in (F.lit(f"k{i}"), F.lit(s.name))])
-    columns = F.create_map(*[v for i, s in enumerate(signals) for v in (F.lit(f"k{i}"), F.lit(s.column))])
-    return (
-        long.groupBy(*extra, "model", "_signal", "key")
-        # A row without a key counts zero but shows that the model had rows.
-        .agg(F.count("key").alias("n"))
-        .select(
-            *extra,
-            "model",
-            F.element_at(names, F.col("_signal")).alias("signal"),
-            F.element_at(columns, F.col("_signal")).alias("feature"),
-            "key",
-            "n",
-        )
-    )
+def joint_counts(keyed: DataFrame, signals: Sequence[Signal], extra: Sequence[str | Column] = ()) -> DataFrame:
+    """``extra..., model, k0, k1, ..., n``: rows by the combination of their keys.
+
+    A row is counted once for all signals; the combinations are few, and hold every signal's counts
+    as well as the number of rows.
+    """
+    return keyed.groupBy(*extra, "model", *(f"k{i}" for i in range(len(signals)))).agg(F.count(F.lit(1)).alias("n"))
+
+
+def per_signal(joint: DataFrame, signals: Sequence[Signal], extra: Sequence[str] = ()) -> DataFrame:
+    """``extra..., model, signal, feature, key, n`` of joint counts: counts are repeated per signal, rows never were."""
+    each = [
+        F.struct(F.lit(s.name).alias("signal"), F.lit(s.column).alias("feature"), F.col(f"k{i}").alias("key"))
+        for i, s in enumerate(signals)
+    ]
+    long = joint.select(*extra, "model", "n", F.explode(F.array(*each)).alias("_s")).select(*extra, "model", "_s.*", "n")
+    # A row without a key counts zero but shows that the model had rows.
+    return long.groupBy(*extra, *KEYS, "key").agg(F.sum(F.when(F.col("key").isNotNull(), F.col("n")).otherwise(0)).alias("n"))
 
 
 def psi_of_counts(counts: DataFrame, baselines: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -203,6 +209,13 @@ def psi_of_counts(counts: DataFrame, baselines: DataFrame, extra: Sequence[str]
     return totals.join(scores, by, "left")
 
 
+def production_counts(
+    log: DataFrame, baselines: DataFrame, signals: Sequence[Signal] = SIGNALS, model_col: str = "model_used"
+) -> DataFrame:
+    """The joint counts of a log, evaluated once: scores and volumes come out of them."""
+    return stored(joint_counts(signal_keys(log, baselines, signals, model_col), signals), "joint-counts")
+
+
 def production_psi(
     log: DataFrame,
     baselines: DataFrame,
@@ -213,9 +226,7 @@ def production_psi(
 
     A model without a baseline has a null score.
     """
-    keyed = signal_keys(log, baselines, signals, model_col)
-    counts = fitted(bin_counts(keyed, signals)).df
-    return psi_of_counts(counts, baselines)
+    return psi_of_counts(per_signal(production_counts(log, baselines, signals, model_col), signals), baselines)
 
 
 # ---------------------------------------------------------------- summary
@@ -231,10 +242,12 @@ def drift_summary(
     """Scores per model and signal, and the ensemble, which is the worst model.
 
     Several features of a signal count by their worst as well. Models without
-    rows or without a baseline are reported with their reason.
+    rows or without a baseline are reported with their reason. The log is read
+    once: a model's volume is the sum of its counts.
     """
-    scores = production_psi(log, baselines, signals, model_col)
-    volume = log.groupBy(F.col(model_col).alias("model")).agg(F.count(F.lit(1)).alias("n"))
+    joint = production_counts(log, baselines, signals, model_col)
+    scores = psi_of_counts(per_signal(joint, signals), baselines)
+    volume = joint.groupBy("model").agg(F.sum("n").alias("n"))
     return summarise(scores, volume, [s.name for s in signals], models)
 
 

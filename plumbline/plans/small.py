@@ -62,6 +62,12 @@ def fitted(df: DataFrame | Fitted, max_rows: int = MAX_FITTED_ROWS) -> Fitted:
     return Fitted(local, rows=table.to_pylist())
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A frame that is evaluated once: as local rows if it is small, else as a table in the work folder."""
+    found = fitted(df)
+    return found.df if found.small else written(df, name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared work folder.
 

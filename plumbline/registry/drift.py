@@ -10,9 +10,11 @@ from plumbline.functions.text import text_length
 from plumbline.operators.binning import (
     categorical_frequency,
     categories,
+    counted_quantile_edges,
     equal_width_edges,
     histogram,
     quantile_edges,
+    value_counts,
 )
 from plumbline.operators.drift import (
     DATA,
@@ -54,7 +56,8 @@ def _edges_long(edges, by):
 
 
 def quantile_bins(spark, sf):
-    return _edges_long(quantile_edges(lengths(spark, sf), "text_length", ["lang"]), ["lang"])
+    counts = value_counts(lengths(spark, sf), "text_length", ["lang"])
+    return _edges_long(counted_quantile_edges(counts, ["lang"]), ["lang"])
 
 
 def event_value_bins(spark, sf):
@@ -67,31 +70,49 @@ def width_bins(spark, sf):
     return _edges_long(edges, ["model_used"])
 
 
+BASE = "en"
+_BASE_KEY = '{"lang":"en"}'
+
+
+def _by_language(df):
+    """Rows with ``key``, which names their language; a missing one has a name too."""
+    return df.withColumn("key", F.to_json(F.struct("lang")))
+
+
+def _named(df):
+    return df.withColumn("lang", F.from_json("key", "lang string")["lang"]).drop("key")
+
+
 def _length_frames(spark, sf):
-    """English lengths as the baseline, French ones as production, on one set of edges."""
-    rows = lengths(spark, sf)
-    base = rows.where(F.col("lang") == "en")
-    edges = fitted(quantile_edges(base, "text_length")).df
-    expected = histogram(base, "text_length", edges)
-    actual = histogram(rows.where(F.col("lang") == "fr"), "text_length", edges)
-    return expected, actual
+    """English lengths as the baseline, those of every other language as production, on one set of edges.
+
+    Texts are read once, for how often each length occurs.
+    """
+    counts = written(value_counts(_by_language(lengths(spark, sf)), "text_length", ["key"]), "length-counts")
+    base, others = counts.where(F.col("key") == _BASE_KEY), counts.where(F.col("key") != _BASE_KEY)
+    edges = fitted(counted_quantile_edges(base, ["key"]))
+    expected = histogram(base, "x", edges, ["key"], weight="n").drop("key")
+    one = fitted(edges.df.select("edges"))
+    each = fitted(one.attach(others.select("key").distinct(), [], "edges"))
+    return expected, histogram(others, "x", each, ["key"], weight="n")
 
 
 def histogram_freq(spark, sf):
     _, actual = _length_frames(spark, sf)
-    return actual.select(
-        "bin", round_to("lo", 6).alias("lo"), round_to("hi", 6).alias("hi"), "n", round_to("freq", 6).alias("freq")
+    return _named(actual).select(
+        "lang", "bin", round_to("lo", 6).alias("lo"), round_to("hi", 6).alias("hi"), "n", round_to("freq", 6).alias("freq")
     )
 
 
 def psi_numeric(spark, sf):
-    """Has the way people write changed? English against French text lengths."""
+    """Do people write differently elsewhere? English text lengths against those of every other language."""
     expected, actual = _length_frames(spark, sf)
-    bins = expected.select("bin", F.col("freq").alias("expected")).join(
-        actual.select("bin", F.col("freq").alias("actual")), "bin"
+    bins = actual.select("key", "bin", F.col("freq").alias("actual")).join(
+        expected.select("bin", F.col("freq").alias("expected")), "bin"
     )
-    scored = psi(bins, [])
+    scored = _named(psi(bins, ["key"]))
     return scored.select(
+        "lang",
         F.lit("text_length").alias("feature"),
         round_to("psi", 6).alias("psi"),
         psi_level("psi").alias("level"),
@@ -100,25 +121,29 @@ def psi_numeric(spark, sf):
 
 
 def _source_frames(spark, sf):
-    rows = table(spark, sf, "documents").select("lang", "source")
-    base = rows.where(F.col("lang") == "en")
+    """Shares of the sources that English documents come from, there and in every other language."""
+    counts = _by_language(table(spark, sf, "documents")).groupBy("key", "source").agg(F.count(F.lit(1)).alias("n"))
+    counts = fitted(counts).df
+    base, others = counts.where(F.col("key") == _BASE_KEY), counts.where(F.col("key") != _BASE_KEY)
     listed = categories(base, "source")
-    expected = categorical_frequency(base, "source", listed)
-    actual = categorical_frequency(rows.where(F.col("lang") == "fr"), "source", listed)
+    expected = categorical_frequency(base.drop("key"), "source", listed, weight="n")
+    # Every other language is held against the whole list.
+    each = F.explode(F.lit([r[0] for r in fitted(listed).df.collect()]).cast("array<string>")).alias("source")
+    actual = categorical_frequency(others, "source", others.select("key").distinct().select("key", each), ["key"], weight="n")
     return expected, actual
 
 
 def categorical_freq(spark, sf):
     _, actual = _source_frames(spark, sf)
-    return actual.select("source", "n", round_to("freq", 6).alias("freq"))
+    return _named(actual).select("lang", "source", "n", round_to("freq", 6).alias("freq"))
 
 
 def psi_categorical(spark, sf):
     expected, actual = _source_frames(spark, sf)
-    bins = expected.select("source", F.col("freq").alias("expected")).join(
-        actual.select("source", F.col("freq").alias("actual")), "source"
+    bins = actual.select("key", "source", F.col("freq").alias("actual")).join(
+        expected.select("source", F.col("freq").alias("expected")), "source"
     )
-    return psi(bins, []).select(F.lit("source").alias("feature"), round_to("psi", 6).alias("psi"))
+    return _named(psi(bins, ["key"])).select("lang", F.lit("source").alias("feature"), round_to("psi", 6).alias("psi"))
 
 
 def category_rows(spark, sf):
@@ -210,22 +235,31 @@ _LENGTH_CTES = f"""
 lens as (select doc_id, lang, length(text) as x from documents),
 edges as (select 1 as g, {sql_quantile_edges('x')} as e from lens where lang = 'en'),
 bins as ({bins_of('edges', 'g')}),
-counted as (
-  select bin, lo, hi, count(doc_id) filter (where lang = 'en') as n_en, count(doc_id) filter (where lang = 'fr') as n_fr
-  from bins left join lens on {in_bin('x')} group by all
+langs as (select distinct lang from documents where lang is distinct from 'en'),
+base as (select bin, lo, hi, count(x) as n from bins left join lens on lang = 'en' and {in_bin('x')} group by all),
+now as (
+  select l.lang, bin, lo, hi, count(x) as n from langs l cross join bins left join lens d on d.lang is not distinct from l.lang and {in_bin('x')}
+  group by all
 ),
 freq as (
-  select 1 as g, bin, lo, hi, n_en, n_fr, n_en::double / sum(n_en) over () as expected, n_fr::double / sum(n_fr) over () as actual
-  from counted
+  select now.lang, bin, now.lo, now.hi, now.n, base.n::double / sum(base.n) over (partition by now.lang) as expected,
+    case when sum(now.n) over (partition by now.lang) = 0 then 0.0001::double / count(*) over (partition by now.lang)
+      else now.n::double / sum(now.n) over (partition by now.lang) end as actual
+  from now join base using (bin)
 )"""
 
 _SOURCE_CTES = """
 listed as (select distinct source from documents where lang = 'en' and source is not null),
+langs as (select lang, count(source) as total from documents where lang is distinct from 'en' group by lang),
+base as (select source, count(*)::double / (select count(source) from documents where lang = 'en') as expected
+  from documents join listed using (source) where lang = 'en' group by source),
+now as (
+  select l.lang, b.source, expected, total, count(d.source) as n from langs l cross join base b
+    left join documents d on d.lang is not distinct from l.lang and d.source = b.source group by all
+),
 freq as (
-  select 1 as g, l.source, count(*) filter (where d.lang = 'en') as n_en, count(*) filter (where d.lang = 'fr') as n_fr,
-    (count(*) filter (where d.lang = 'en'))::double / (select count(source) from documents where lang = 'en') as expected,
-    (count(*) filter (where d.lang = 'fr'))::double / (select count(source) from documents where lang = 'fr') as actual
-  from listed l join documents d using (source) group by l.source
+  select lang, source, n, expected, case when total = 0 then 0.0001::double / count(*) over (partition by lang) else n::double / total end as actual
+  from now
 )"""
 
 
@@ -338,21 +372,21 @@ ENTRIES = {
     ),
     "histogram_freq": (
         histogram_freq,
-        "with " + _LENGTH_CTES.strip() + " select bin, round(lo, 6) as lo, round(hi, 6) as hi, n_fr as n, round(actual, 6) as freq from freq",
+        "with " + _LENGTH_CTES.strip() + " select lang, bin, round(lo, 6) as lo, round(hi, 6) as hi, n, round(actual, 6) as freq from freq",
     ),
     "categorical_freq": (
         categorical_freq,
-        "with " + _SOURCE_CTES.strip() + " select source, n_fr as n, round(actual, 6) as freq from freq",
+        "with " + _SOURCE_CTES.strip() + " select lang, source, n, round(actual, 6) as freq from freq",
     ),
     "psi_numeric": (
         psi_numeric,
-        "with " + _LENGTH_CTES.strip() + f", scored as ({psi_of('freq', 'g')}) "
-        f"select 'text_length' as feature, round(psi, 6) as psi, {level('psi')} as level, {risk('psi')} as risk_pct from scored",
+        "with " + _LENGTH_CTES.strip() + f", scored as ({psi_of('freq', 'lang')}) "
+        f"select lang, 'text_length' as feature, round(psi, 6) as psi, {level('psi')} as level, {risk('psi')} as risk_pct from scored",
     ),
     "psi_categorical": (
         psi_categorical,
-        "with " + _SOURCE_CTES.strip() + f", scored as ({psi_of('freq', 'g')}) "
-        "select 'source' as feature, round(psi, 6) as psi from scored",
+        "with " + _SOURCE_CTES.strip() + f", scored as ({psi_of('freq', 'lang')}) "
+        "select lang, 'source' as feature, round(psi, 6) as psi from scored",
     ),
     "categories": (category_rows, "select distinct source from documents where source is not null"),
     "psi_risk": (

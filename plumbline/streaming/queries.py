@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from plumbline.operators.drift import SIGNALS, Signal, bin_counts, psi_of_counts, signal_keys
+from plumbline.operators.drift import SIGNALS, Signal, joint_counts, per_signal, psi_of_counts, signal_keys
 from plumbline.operators.lifecycle import COUNTS, DAY_MICROS, WINDOW_DAYS
 from plumbline.operators.metrics import sentiment_counts
 from plumbline.operators.prepare import with_text
@@ -92,14 +92,15 @@ def drift_counts_stream(
     delay: str = "1 hour",
     model_col: str = "model_used",
 ) -> DataFrame:
-    """``window_start, model, signal, feature, key, n`` of closed windows.
+    """``window_start, model, k0, k1, ..., n`` of closed windows: rows by the combination of their bins.
 
-    State holds one counter per window, model, signal and bin.
+    State holds one counter per window, model and combination that occurs; a row is counted once
+    for all signals.
     """
     windowed = log.withWatermark(ts, delay).withColumn("w", F.window(ts, width))
     keyed = signal_keys(windowed, baselines, signals, model_col, ["w"])
-    counts = bin_counts(keyed, signals, ["w"])
-    return counts.select(F.col("w.start").alias("window_start"), "model", "signal", "feature", "key", "n")
+    counts = joint_counts(keyed, signals, ["w"])
+    return counts.select(F.col("w.start").alias("window_start"), *(c for c in counts.columns if c != "w"))
 
 
 def drift_stream(
@@ -121,7 +122,7 @@ def drift_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # the stateful plan runs once, however often the scores read the counts
         try:
-            scores = psi_of_counts(batch, baselines, ["window_start"])
+            scores = psi_of_counts(per_signal(batch, signals, ["window_start"]), baselines, ["window_start"])
             scores.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         finally:
             batch.unpersist()

@@ -24,10 +24,13 @@ from plumbline.operators.drift import (
     SIGNALS,
     WINDOW_HOURS,
     Signal,
+    joint_counts,
+    per_signal,
     psi_of_counts,
     signal_keys,
 )
 from plumbline.operators.lifecycle import COUNTS, DAY_MICROS, WINDOW_DAYS
+from plumbline.plans.small import stored
 from plumbline.streaming.queries import rocksdb
 
 HOUR_MICROS = 3_600_000_000
@@ -183,8 +186,7 @@ def hourly_joint_counts(
 ) -> DataFrame:
     """``w, model, k0, k1, ..., n``: rows by the combination of their bins, so no row is repeated per signal."""
     hourly = log.withWatermark(ts, delay).withColumn("w", F.window(ts, "1 hour"))
-    keyed = signal_keys(hourly, baselines, signals, model_col, ["w"])
-    return keyed.groupBy("w", "model", *(f"k{i}" for i in range(len(signals)))).agg(F.count(F.lit(1)).alias("n"))
+    return joint_counts(signal_keys(hourly, baselines, signals, model_col, ["w"]), signals, ["w"])
 
 
 def rolling_processor(signals: Sequence[Signal], hours: int, fallback: int, min_rows: int) -> StatefulProcessor:
@@ -330,14 +332,9 @@ def rolling_drift(
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """The same scores of a whole log, in batch: rows are counted per hour once, windows are sums of those counts."""
-    keys = [f"k{i}" for i in range(len(signals))]
     timed = log.where(F.col(ts).isNotNull()).withColumn("hour", F.floor(F.unix_micros(ts) / F.lit(HOUR_MICROS)).cast("long"))
-    joint = signal_keys(timed, baselines, signals, model_col, ["hour"]).groupBy("hour", "model", *keys).agg(F.count(F.lit(1)).alias("n"))
-    each = [
-        F.struct(F.lit(s.name).alias("signal"), F.lit(s.column).alias("feature"), F.col(f"k{i}").alias("key")) for i, s in enumerate(signals)
-    ]
-    per_bin = joint.select("hour", "model", "n", F.explode(F.array(*each)).alias("s")).groupBy("model", "s.signal", "s.feature", "s.key", "hour")
-    per_bin = per_bin.agg(F.sum("n").alias("n")).withColumn("bin_n", F.when(F.col("key").isNotNull(), F.col("n")).otherwise(0))
+    joint = stored(joint_counts(signal_keys(timed, baselines, signals, model_col, ["hour"]), signals, ["hour"]), "hourly-counts")
+    per_bin = per_signal(joint, signals, ["hour"]).withColumnRenamed("n", "bin_n")
     volume = joint.groupBy("model", "hour").agg(F.sum("n").alias("n"))
     span = volume.groupBy("model").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
     every = span.select("model", F.explode(F.sequence("a", "b")).alias("hour"))

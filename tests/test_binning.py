@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from plumbline.operators.binning import (
     DEFAULT_CONFIDENCE_EDGES,
     categorical_frequency,
+    counted_quantile_edges,
     equal_width_edges,
     histogram,
+    merged_counts,
     quantile_edges,
+    value_counts,
 )
 
 NAN = float("nan")
@@ -107,3 +110,28 @@ def test_categories_outside_the_list_count_in_the_total(spark):
     assert got == {"a": 0.5, "b": 0.25, "q": 0.0}
     empty = categorical_frequency(rows.where(F.lit(False)), "c", listed).collect()
     assert all(abs(r.freq - 1e-4 / 3) < 1e-15 for r in empty)
+
+
+def test_value_counts_stand_for_the_rows(spark):
+    rng = np.random.default_rng(5)
+    data = [(["a", "b", None][i % 3], None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(rng.integers(0, 60))) for i in range(4_000)]
+    data += [("empty", None)] * 5
+    rows = spark.createDataFrame(data, "g string, v double").repartition(6)
+    counts = value_counts(rows, "v", ["g"])
+    got = {r.g: r.edges for r in counted_quantile_edges(counts, ["g"]).collect()}
+    want = {r.g: r.edges for r in quantile_edges(rows.where("g is not null"), "v", ["g"]).collect()}
+    assert {g: e for g, e in got.items() if g is not None} == want and got["empty"] == [0.0, 1.0] and None in got
+    first, second = rows.where("v < 30 or v is null"), rows.where("not (v < 30 or v is null)")
+    merged = merged_counts(value_counts(first, "v", ["g"]), value_counts(second, "v", ["g"]), by=["g"])
+    assert sorted(map(str, merged.collect())) == sorted(map(str, counts.collect()))
+    edges = quantile_edges(rows.where("g = 'a'"), "v")
+    plain = histogram(rows.where("g = 'a'"), "v", edges).collect()
+    assert histogram(counts.where("g = 'a'"), "x", edges, weight="n").collect() == plain
+
+
+def test_category_counts_stand_for_the_rows(spark):
+    rows = spark.createDataFrame([("x",)] * 3 + [("y",)] * 2 + [(None,)] + [("odd",)], "c string")
+    listed = spark.createDataFrame([("x",), ("y",), ("z",)], "c string")
+    counts = rows.groupBy("c").count().withColumnRenamed("count", "n")
+    plain = sorted(map(tuple, categorical_frequency(rows, "c", listed).collect()))
+    assert sorted(map(tuple, categorical_frequency(counts, "c", listed, weight="n").collect())) == plain
