@@ -62,50 +62,46 @@ SIGNALS = (DATA, TARGET, PREDICTION)
 # ---------------------------------------------------------------- baselines
 
 
-def build_baseline(train: DataFrame, signal: Signal, model_col: str = "model_used") -> DataFrame:
-    """Expected shares of one signal for every model in the training frame."""
-    rows = train.withColumnRenamed(model_col, "model")
+def _category_bins(counts: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Bins of ``model, category, n``: the categories are stored with a baseline, so one small count is all it takes."""
+    of_model = Window.partitionBy("model")
+    none = F.lit(None).cast("double")
+    return counts.select(
+        "model",
+        (F.row_number().over(of_model.orderBy(*order)) - 1).alias("bin"),
+        none.alias("lo"),
+        none.alias("hi"),
+        "category",
+        (F.col("n").cast("double") / F.sum("n").over(of_model).cast("double")).alias("freq"),
+    )
+
+
+def _numeric_bins(rows: DataFrame, column: str, kind: str, counted: bool) -> DataFrame:
+    """Bins of a number; ``counted`` rows are value counts ``model, x, n`` and stand for ``n`` rows each."""
     by = ["model"]
-    if signal.kind == "category":
-        # The categories of a baseline are stored with it, so one small count is all it takes.
-        counts = fitted(
-            rows.where(F.col(signal.column).isNotNull())
-            .groupBy("model", signal.column)
-            .agg(F.count(F.lit(1)).alias("n"))
-        ).df
-        of_model = Window.partitionBy("model")
-        freq = (
-            counts.withColumn("bin", F.row_number().over(of_model.orderBy(signal.column)) - 1)
-            .withColumn("freq", F.col("n").cast("double") / F.sum("n").over(of_model).cast("double"))
-            .withColumn("lo", F.lit(None).cast("double"))
-            .withColumn("hi", F.lit(None).cast("double"))
-            .withColumn("category", F.col(signal.column).cast("string"))
-        )
+    if kind == "width":
+        edges = equal_width_edges(rows, column, by)
     else:
-        column, weight = signal.column, None
-        if signal.kind == "quantile" and isinstance(train.schema[column].dataType, T.IntegralType):
-            # Whole numbers are read once, for how often each occurs.
-            rows, column, weight = stored(value_counts(rows, column, by), "value-counts"), "x", "n"
-            edges = counted_quantile_edges(rows, by).withColumn("measured", F.lit(True))
-        elif signal.kind == "quantile":
-            edges = quantile_edges(rows, column, by).withColumn("measured", F.lit(True))
-        else:
-            edges = equal_width_edges(rows, column, by)
-        params = fitted(edges)
-        bins = Window.partitionBy("model")
-        freq = (
-            histogram(rows, column, params, by, weight=weight)
-            .join(params.hinted().select("model", "measured"), "model")
-            # Fixed edges stand for "nothing measured yet": every bin is expected alike.
-            .withColumn(
-                "freq",
-                F.when(F.col("measured"), F.col("freq")).otherwise(
-                    F.lit(1.0) / F.count(F.lit(1)).over(bins)
-                ),
-            )
-            .withColumn("category", F.lit(None).cast("string"))
+        edges = counted_quantile_edges(rows, by) if counted else quantile_edges(rows, column, by)
+        edges = edges.withColumn("measured", F.lit(True))
+    params = fitted(edges)
+    bins = Window.partitionBy("model")
+    return (
+        histogram(rows, column, params, by, weight="n" if counted else None)
+        .join(params.hinted().select("model", "measured"), "model")
+        # Fixed edges stand for "nothing measured yet": every bin is expected alike.
+        .withColumn(
+            "freq",
+            F.when(F.col("measured"), F.col("freq")).otherwise(
+                F.lit(1.0) / F.count(F.lit(1)).over(bins)
+            ),
         )
-    return freq.select(
+        .withColumn("category", F.lit(None).cast("string"))
+    )
+
+
+def _as_baseline(bins: DataFrame, signal: Signal) -> DataFrame:
+    return bins.select(
         "model",
         F.lit(signal.name).alias("signal"),
         F.lit(signal.column).alias("feature"),
@@ -118,6 +114,58 @@ def build_baseline(train: DataFrame, signal: Signal, model_col: str = "model_use
     )
 
 
+def build_baseline(train: DataFrame, signal: Signal, model_col: str = "model_used") -> DataFrame:
+    """Expected shares of one signal for every model in the training frame."""
+    rows, column = train.withColumnRenamed(model_col, "model"), signal.column
+    if signal.kind == "category":
+        known = rows.where(F.col(column).isNotNull())
+        counts = known.groupBy("model", F.col(column).alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+        counts = fitted(counts.withColumn("category", F.col("_c").cast("string"))).df
+        return _as_baseline(_category_bins(counts, ["_c"]), signal)
+    if signal.kind == "quantile" and isinstance(train.schema[column].dataType, T.IntegralType):
+        # Whole numbers are read once, for how often each occurs.
+        counts = stored(value_counts(rows, column, ["model"]), "value-counts")
+        return _as_baseline(_numeric_bins(counts, "x", signal.kind, True), signal)
+    return _as_baseline(_numeric_bins(rows, column, signal.kind, False), signal)
+
+
+def baseline_counts(
+    train: DataFrame, signals: Sequence[Signal] = SIGNALS, model_col: str = "model_used"
+) -> DataFrame:
+    """``model, signal, feature, x, category, n``: what the baselines of a training batch are made of.
+
+    Numbers are counted by value, so this is for features with few distinct values (lengths, labels,
+    rounded scores). Counts of several batches add up to those of all their rows, exactly.
+    """
+    rows = train.withColumnRenamed(model_col, "model")
+    parts = []
+    for s in signals:
+        name = [F.lit(s.name).alias("signal"), F.lit(s.column).alias("feature")]
+        if s.kind == "category":
+            number = isinstance(train.schema[s.column].dataType, T.NumericType)
+            x = F.col(s.column).cast("double") if number else F.lit(None).cast("double")
+            own = rows.where(F.col(s.column).isNotNull()).select("model", x.alias("x"), F.col(s.column).cast("string").alias("category"))
+            counts = own.groupBy("model", "x", "category").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            counts = value_counts(rows, s.column, ["model"]).withColumn("category", F.lit(None).cast("string"))
+        parts.append(counts.select("model", *name, "x", "category", "n"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def baselines_of_counts(counts: DataFrame, signals: Sequence[Signal] = SIGNALS) -> DataFrame:
+    """The baseline table of counts, those of several batches added up: equal to that of all their rows."""
+    whole = stored(counts.groupBy(*KEYS, "x", "category").agg(F.sum("n").alias("n")), "baseline-counts")
+    parts = []
+    for s in signals:
+        own = whole.where((F.col("signal") == s.name) & (F.col("feature") == s.column))
+        if s.kind == "category":
+            bins = _category_bins(own, ["x", "category"])
+        else:
+            bins = _numeric_bins(own.select("model", "x", "n"), "x", s.kind, True)
+        parts.append(_as_baseline(bins, s))
+    return fitted(reduce(lambda a, b: a.unionByName(b), parts)).df
+
+
 def build_baselines(
     train: DataFrame, signals: Sequence[Signal] = SIGNALS, model_col: str = "model_used"
 ) -> DataFrame:

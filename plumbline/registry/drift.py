@@ -21,6 +21,8 @@ from plumbline.operators.drift import (
     PREDICTION,
     SIGNALS,
     TARGET,
+    baseline_counts,
+    baselines_of_counts,
     build_baselines,
     drift_summary,
     guarded_window,
@@ -30,6 +32,8 @@ from plumbline.operators.drift import (
 )
 from plumbline.plans.small import fitted, written
 from plumbline.plans.views import event_rows, predictions, table
+from plumbline.session import work_path
+from plumbline.sources.baselines import add_training_counts, load_training_counts
 from plumbline.registry.sql import (
     TS,
     bins_of,
@@ -202,6 +206,18 @@ def _baseline_query(signal):
     return run
 
 
+def baseline_merged(spark, sf):
+    """Baselines of all signals out of a store to which two halves of the training rows were added apart."""
+    past, _ = windows(narrow_log(spark, sf))
+    store = work_path(spark, "training-counts")
+    for half in (0, 1):
+        add_training_counts(baseline_counts(past.where(F.pmod("row_id", F.lit(2)) == half)), store, f"half-{half}")
+    return baselines_of_counts(load_training_counts(spark, store)).select(
+        "signal", "model", "bin", round_to("lo", 6).alias("lo"), round_to("hi", 6).alias("hi"), "category",
+        round_to("expected", 6).alias("expected"),
+    )
+
+
 def _drift_query(signal):
     def run(spark, sf):
         past, week = windows(narrow_log(spark, sf, [signal]))
@@ -409,6 +425,23 @@ ENTRIES = {
         ),
     ),
     "baseline_prediction": (_baseline_query(PREDICTION), _baseline_sql("prediction", PREDICTION_CTES)),
+    "baseline_merged": (
+        baseline_merged,
+        with_views(
+            ["v_train", "v_recent"],
+            " union all ".join(
+                [
+                    *(
+                        f"select '{name}' as signal, model, bin, round(lo, 6) as lo, round(hi, 6) as hi, cast(null as varchar) as category, "
+                        f"round(expected, 6) as expected from {name}_expected"
+                        for name in ("data", "prediction")
+                    ),
+                    "select 'target', model, bin, cast(null as double), cast(null as double), category, round(expected, 6) from target_expected",
+                ]
+            ),
+            ",".join([DATA_CTES, TARGET_CTES, PREDICTION_CTES]),
+        ),
+    ),
     "drift_data": (_drift_query(DATA), _drift_sql("data", "text_length", DATA_CTES)),
     "drift_target": (_drift_query(TARGET), _drift_sql("target", "label", TARGET_CTES)),
     "drift_prediction": (_drift_query(PREDICTION), _drift_sql("prediction", "confidence", PREDICTION_CTES)),

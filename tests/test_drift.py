@@ -128,3 +128,23 @@ def test_window_edge_is_inside(spark):
     df = log_at(spark, [0, 24, 24.001])
     assert recent(df).count() == 2
     assert recent(df, 24, F.lit("2024-01-31").cast("timestamp")).count() == 2
+
+
+def test_baselines_of_added_batches_equal_those_of_all_rows(spark, tmp_path):
+    from plumbline.operators.drift import baseline_counts, baselines_of_counts
+    from plumbline.sources.baselines import add_training_counts, load_training_counts
+
+    rng = np.random.default_rng(9)
+    data = [
+        (["social", "reviews"][i % 2], int(rng.integers(1, 90)), int(rng.integers(0, 12)), round(float(rng.uniform(0.3, 1)), 2) if i % 17 else None)
+        for i in range(3_000)
+    ] + [("empty", None, None, None)] * 3
+    train = spark.createDataFrame(data, "model_used string, text_length int, label int, confidence double").repartition(5)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    whole = rows(build_baselines(train))
+    path = str(tmp_path / "counts")
+    for batch, part in (("a", "text_length < 20"), ("b", "not (text_length < 20) or text_length is null"), ("a", "text_length < 20")):
+        add_training_counts(baseline_counts(train.where(part)), path, batch)
+    assert rows(baselines_of_counts(load_training_counts(spark, path))) == whole
+    assert rows(baselines_of_counts(load_training_counts(spark, path, ["a"]))) == rows(build_baselines(train.where("text_length < 20")))
+    assert load_training_counts(spark, str(tmp_path / "none")).isEmpty()
