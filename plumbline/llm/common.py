@@ -155,6 +155,12 @@ class WordHash(dict):
 
         self.hash = xxhash.xxh3_64_intdigest
 
+    def __del__(self):
+        """An idle worker keeps nothing of it."""
+        self.clear()
+        with contextlib.suppress(Exception):  # the interpreter may be going down
+            give_back()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()

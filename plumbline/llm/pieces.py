@@ -17,10 +17,16 @@ import math
 import re
 from array import array
 
+from plumbline.llm.memo import Memo
+
 SPACE = "\u2581"
 SPACE_BYTES = SPACE.encode()
 UNKNOWN_PENALTY = 10.0  # fixed value of unigram models
 MARKS = b".,!?;:%$&*#|)\"'-"
+#: What is remembered besides the machine's states.
+LED_BYTES, BARE_BYTES, PAIRS = 56 << 20, 12 << 20, 80_000
+#: States that a machine may hold, about 600 bytes each, before it starts again.
+STATES = 220_000
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -133,7 +139,7 @@ class Lattice:
             return True
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 150_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.apart(left, right)
         return known
@@ -244,8 +250,9 @@ class Transducer:
     emits what its last place has above it. States are few, as places die once no piece fits.
     """
 
-    def __init__(self, lattice: Lattice, limit: int = 220_000):
+    def __init__(self, lattice: Lattice, limit: int = STATES):
         self.lattice, self.limit = lattice, limit
+        self.known: dict[str, tuple[int, bytes]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -274,11 +281,16 @@ class Transducer:
             self.states.append(key)
             self.moves.append({})
             self.last.append(key[-1][2])
-            left = key[-1][1]
-            self.tails.append((len(left), array("i", [v.ids[left]]).tobytes()) if left else None)
+            self.tails.append(self.tail(key[-1][1]))
         self.moves[state][char] = (to, least)
         return to, least
 
+    def tail(self, piece: str) -> tuple[int, bytes] | None:
+        """Length and packed id of a piece, one object for all states that it ends in."""
+        if piece and piece not in self.known:
+            self.known[piece] = len(piece), array("i", [self.lattice.v.ids[piece]]).tobytes()
+        return self.known.get(piece)
+
     def count(self, word: str) -> int:
         """Tokens of a text between hard boundaries."""
         if len(self.states) > self.limit:
@@ -336,24 +348,6 @@ class Transducer:
         return len(v.run(spaces)) + bare if alone else len(v.run(spaces - 1)) + whole
 
 
-class Memo(dict):
-    """Results of words in two generations: when the young one is full it becomes the old one."""
-
-    def __init__(self, make, limit: int = 150_000):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, word: bytes):
-        if len(self) >= self.limit:
-            self.old = self.copy()
-            self.clear()
-        value = self.old.get(word)
-        if value is None:
-            value = self.make(word)
-        self[word] = value
-        return value
-
-
 def marks_off(word: bytes, v: Vocabulary) -> int:
     """Length of a word without its closing marks, if no piece holds the characters where they meet; else 0."""
     stem = word.rstrip(MARKS)
@@ -363,7 +357,7 @@ def marks_off(word: bytes, v: Vocabulary) -> int:
     return 0 if left + chr(word[len(stem)]) in v.neighbours else len(stem)
 
 
-def by_words(make, v: Vocabulary) -> tuple[Memo, Memo]:
+def by_words(make, v: Vocabulary, size=len) -> tuple[Memo, Memo]:
     """Memos of words with a space before them and of bare ones; a word with closing marks is put together."""
 
     def of(lead: str, own):
@@ -373,7 +367,8 @@ def by_words(make, v: Vocabulary) -> tuple[Memo, Memo]:
 
         return miss
 
-    led, bare = Memo(of(SPACE, lambda: led)), Memo(of("", lambda: bare))
+    led = Memo(of(SPACE, lambda: led), LED_BYTES, size)
+    bare = Memo(of("", lambda: bare), BARE_BYTES, size)
     return led, bare
 
 
@@ -404,7 +399,7 @@ class Counts:
         self.lattice, self.machine = lattice, Transducer(lattice)
         self.unit = self.machine.unit if lattice.v.merges else lambda u: len(lattice.unit(u))
         word = self.machine.count if lattice.v.merges else self.unit  # at most one space leads a word
-        self.led, self.bare = by_words(word, lattice.v)
+        self.led, self.bare = by_words(word, lattice.v, lambda n: 0)
         self.newline = lattice.v.width("\n") if "\n" not in lattice.v.chars else 0
 
     def text(self, text: bytes, first: bool = True) -> int:
@@ -427,9 +422,9 @@ class Counts:
 class Encoder:
     """Token ids of texts as packed 32-bit numbers, words remembered."""
 
-    def __init__(self, lattice: Lattice):
+    def __init__(self, lattice: Lattice, states: int = STATES):
         self.lattice = lattice
-        machine = Transducer(lattice) if lattice.v.merges else None
+        machine = Transducer(lattice, states) if lattice.v.merges else None
         self.unit = lambda u: self.pack(lattice.unit(u, machine and machine.path))
         word = machine.packed if machine else self.unit  # at most one space leads a word
         self.led, self.bare = by_words(word, lattice.v)
@@ -536,7 +531,7 @@ def counts_of(model: bytes) -> Counts:
     return lattice.counts
 
 
-def encoder_of(model: bytes) -> Encoder:
+def encoder_of(model: bytes, states: int = STATES) -> Encoder:
     lattice = lattice_of(model)
-    lattice.encoder = lattice.encoder or Encoder(lattice)
+    lattice.encoder = lattice.encoder or Encoder(lattice, states)
     return lattice.encoder

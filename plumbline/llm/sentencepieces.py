@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm import token_chunks as C
 from plumbline.llm.common import as_bytes, col, fresh, map_rows, quoted
-from plumbline.llm.pieces import SPACE, decode, decode_known, encoder_of, lattice_of
+from plumbline.llm.pieces import SPACE, STATES, decode, decode_known, encoder_of, lattice_of
 from plumbline.llm.token_counts import longest_text
 
 IDS = T.ArrayType(T.IntegerType(), containsNull=True)
@@ -117,13 +117,15 @@ def encode(
     chunk: int = C.CHUNK,
     keep: list[str] | None = None,
     decoded: str | None = None,
+    states: int = STATES,
 ) -> DataFrame:
     """Documents with the token ids of their whole text, as the library gives them.
 
     No begin, end or special tokens. A text of at most ``chunk`` bytes is one chunk and encoded
     where it is; longer ones are cut and dealt over the cluster. Equal long texts are encoded once.
     A document's ids come together in one row, as its text does. ``decoded`` names a further column
-    for the text that the ids decode to, chunk by chunk.
+    for the text that the ids decode to, chunk by chunk. ``states`` bounds what a worker remembers of
+    the tokenizer (about 600 bytes each): fewer take more time, the ids are the same.
 
     Null texts have null ids, empty texts none. Rows are encoded one by one, repeated rows each;
     null ids and further columns pass through (those named like the results are replaced).
@@ -138,7 +140,7 @@ def encode(
     kind = T.StructType([T.StructField("ids", IDS), T.StructField("text", T.StringType())])
 
     def make():
-        encoder = encoder_of(shared.value)
+        encoder = encoder_of(shared.value, states)
         v = encoder.lattice.v
 
         def run(texts):
