@@ -13,6 +13,10 @@ from plumbline.llm.queries import QUERY_KEY, tokenizer
 from plumbline.plans.small import written
 
 
+#: The tokenizer's states that a worker holds here: it runs beside what earlier stages have left.
+STATES = 90_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and look like their language."""
     verdict = fresh(docs, "verdict")
@@ -65,7 +69,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, how many there are, and whether decoding them gives the text back."""
     ids, back = fresh(docs, "ids"), fresh(docs, "decoded")
-    coded = sentencepieces.encode(docs, tokenizer(), into=ids, decoded=back)
+    coded = sentencepieces.encode(docs, tokenizer(), into=ids, decoded=back, states=STATES)
     same = col(back).eqNullSafe(F.regexp_replace("text", "▁", " "))
     n, trip = fresh(docs, "n_tokens"), fresh(docs, "round_trip")
     return coded.withColumns({n: F.coalesce(F.size(ids), F.lit(0)).cast("long"), trip: same}).drop(back)
