@@ -131,7 +131,84 @@ QUERIES = {
 
 _CLEAN = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of plain text in SQL: each byte is mixed in, then eight steps of one bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    bit = "case when b >= 0 then xor(x, b) when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda x, b: {bit}), 4294967295)"
+
+
+def _moved(state: str, cost: str, letters: str, lines: str) -> str:
+    return f"case when {state} is not null then {{'c': {state}.c + {cost}, 'a': {state}.a || {letters}, 'o': {state}.o || {lines}}} end"
+
+
+def _least(*options: str) -> str:
+    return "list_min([" + ", ".join(options) + "])"
+
+
+def _repair_sql() -> str:
+    """The repair by its definition: four states a conversation, turn after turn."""
+    user, both, reply = "'user:' || chr(10)", "'user:' || chr(10) || 'assistant:' || chr(10)", "'assistant:' || chr(10)"
+    opened = {
+        "t0": "s0",
+        "t1": "s1",
+        "t2": _least("s2", *(_moved(s, "3", "'I'", user) for s in ("s0", "s1", "s3"))),
+        "t3": _least("s3", _moved("s2", "3", "'I'", reply), *(_moved(s, "6", "'II'", both) for s in ("s0", "s1"))),
+    }
+    own, line = "more", "role || ':' || text || chr(10)"
+    keep = lambda s, i: f"case when stays and initial = '{i}' then {_moved(s, own, chr(39) + 'K' + chr(39), line)} end"
+    name = lambda s, r: f"case when stays then {_moved(s, own + ' + 3', chr(39) + 'R' + chr(39), repr(r + ':') + ' || text || chr(10)')} end"
+    gone = lambda s: _moved(s, "4", "'D'", "''")
+    done = {
+        "s0": gone("t0"),
+        "s1": _least(gone("t1"), keep("t0", "s")),
+        "s2": _least(gone("t2"), *(f(s, x) for s in ("t0", "t1", "t3") for f, x in ((keep, "u"), (name, "user")))),
+        "s3": _least(gone("t3"), keep("t2", "a"), name("t2", "assistant")),
+    }
+    ends = _least("s0", "s3", _moved("s2", "3", "'I'", reply), _moved("s1", "6", "'II'", both))
+    listed = lambda d: ", ".join(f"{v} as {k}" for k, v in d.items())
+    none = "cast(null as struct(c bigint, a varchar, o varchar))"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+with recursive given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as kind from conversations),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when kind = 3 then 2 else 1 end)) as copy from given where kind != 0),
+ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again,
+    rtrim(text, {blanks}) as body, left(role, 1) as initial from damaged),
+turns as (
+  select *, body = '' as blank, body != '' and again as duplicate,
+    body != '' and not again and right(body, 1) not in ('.', '!', '?') as truncated,
+    coalesce(lag(initial) over (partition by conv_id order by i) || initial not in ('su', 'ua', 'au'), false) as illegal from ordered),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank,
+    count_if(duplicate) as duplicate, count_if(truncated) as truncated, count_if(illegal) as illegal, count(*) as n from turns group by conv_id),
+steps as (select conv_id, i, role, text, initial, not blank and not duplicate as stays, case when truncated then 3 else 0 end as more from turns),
+run as (
+  select conv_id, n, cast(0 as bigint) as i, {{'c': cast(0 as bigint), 'a': '', 'o': ''}} as s0, {none} as s1, {none} as s2, {none} as s3 from counts
+  union all
+  select conv_id, n, i, {listed(done)} from (
+    select r.conv_id, r.n, s.i, s.role, s.text, s.initial, s.stays, s.more, {listed(opened)}
+    from run r join steps s on s.conv_id is not distinct from r.conv_id and s.i = r.i + 1)),
+ends as (select conv_id, {ends} as e from run where i = n),
+named as (select distinct conv_id from conversations)
+select named.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank,
+  cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated,
+  cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(e.c, 0) as bigint) as cost, coalesce(e.a, '') as audit,
+  sha256(coalesce(left(e.o, length(e.o) - 1), '')) as repaired_sha256
+from named left join counts on counts.conv_id is not distinct from named.conv_id
+  left join ends on ends.conv_id is not distinct from named.conv_id"""
+
+
 SQL = {
+    "op12_turn_repair": _repair_sql(),
     "op2_decontaminate": f"""
 with d as (select doc_id, {_CLEAN.format("coalesce(text, '')")} as w from documents),
 b as (select item_id, {_CLEAN.format("text")} as w from benchmark where text is not null),

@@ -219,3 +219,15 @@ def test_empty_and_all_dropped(spark):
     none = spark.createDataFrame([("a", 1, "user", "x.", 0), ("b", 1, "user", "x.", None)], "conv_id string, turn long, role string, text string, n long")
     got = as_dict(R.repair(none, copies="n").conversations)
     assert got == {c: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) for c in "ab"}
+
+
+def test_sql(spark):
+    import duckdb
+
+    from plumbline.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    rows = con.execute("select conv_id, turn, role, text from conversations").fetchall()
+    want = {c: plain_row(t) for c, t in damaged(rows).items()}
+    assert {r[0]: tuple(r[1:]) for r in con.execute(SQL["op12_turn_repair"]).fetchall()} == want
