@@ -1,4 +1,9 @@
-"""Corpus preparation as stages, each written as Parquet and read again as the next one's documents."""
+"""Corpus preparation as stages, each written as Parquet and read again as the next one's documents.
+
+Every stage keeps the columns it gets, however they are called, and gives no rows for an empty
+table. Repeated rows are judged one by one, but for ``near_duplicates``, to which rows of one id are
+one document. A text is one row in one task in all stages but the last, which cuts long ones.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +23,10 @@ STATES = 90_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and look like their language."""
+    """Documents that pass the base rules and look like their language.
+
+    Null and empty texts have no words and go; a null language is judged by letters of any script.
+    """
     verdict = fresh(docs, "verdict")
     judged = quality.quality(docs, into=verdict)
     return judged.where(f"{quoted(verdict)}.kept").select(*map(col, docs.columns))
@@ -27,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-copies; rows without an id stay.
 
-    Of rows that share an id, which are one document, the one with the least text stays.
+    Null texts and texts without words are like nothing and stay. Of rows that share an id, which are one document, the one with the least text stays.
     """
     found = written(neardup.near_duplicates(docs, percent=neardup.LEAST_PERCENT), "near-duplicates")
     names = [col(c) for c in docs.columns]
@@ -45,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word of a benchmark passage."""
+    """Documents without a word of a benchmark passage; null and empty texts have none and stay."""
     found = fresh(docs, "found")
     marked = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), into=found)
     return marked.where(f"size({quoted(found)}.spans) = 0").select(*map(col, docs.columns))
@@ -54,7 +62,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal values replaced by pseudonyms; ``n_chars`` follows where it was the text's length.
 
-    ``PLUMBLINE_KEY`` holds the secret key; without it the key of the registered query is used.
+    Null texts stay null, empty ones empty. ``PLUMBLINE_KEY`` holds the secret key; without it the key of the registered query is used.
     """
     before = fresh(docs, "before")
     sized = docs.withColumn(before, F.length("text"))
@@ -67,7 +75,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, how many there are, and whether decoding them gives the text back."""
+    """Documents with their token ids, how many there are, and whether decoding them gives the text back.
+
+    Null texts have null ids, no tokens, and are given back; empty texts have no ids. The new columns
+    are ``ids``, ``n_tokens`` and ``round_trip``, lengthened by ``_`` where a document has such a column.
+    """
     ids, back = fresh(docs, "ids"), fresh(docs, "decoded")
     coded = sentencepieces.encode(docs, tokenizer(), into=ids, decoded=back, states=STATES)
     same = col(back).eqNullSafe(F.regexp_replace("text", "▁", " "))
