@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import rank_key
+from plumbline.functions.hashing import content_key, rank_key
 from plumbline.plans.small import Fitted, fitted
 
 # Hex digits of the hash that form a prefix: 65,536 prefixes per stratum.
@@ -23,6 +23,40 @@ PREFIX = 4
 
 KEY = "_stratum"
 
+#: Copies of one row that a task writes at once.
+COPIES = 10_000
+
+
+def numbered_copies(df: DataFrame, columns: Sequence[str], into: str = "_id", copies: int = COPIES) -> DataFrame:
+    """The rows of ``columns`` with an id made of their content and a number among exact copies.
+
+    The ids depend on nothing but the rows, however these are laid out. Copies are counted, not
+    ranked: they collapse per task before the shuffle, and a row that occurs more than ``copies``
+    times is written out again by several tasks. Nulls count as values of their own. Only
+    ``columns`` and the id come back, as copies do not differ in anything else.
+    """
+    n, block = fresh_names(columns, "_n", "_block")
+    parts = [F.coalesce(content_key(F.col(c).cast("string")), F.lit("-")) for c in columns]
+    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(n))
+    first = F.col(block) * copies
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / copies)))
+    few = counts.where(F.col(n) <= copies).withColumn(block, F.lit(0).cast("long"))
+    many = counts.where(F.col(n) > copies).withColumn(block, blocks).repartition(*columns, block)
+    number = F.explode(F.sequence(first, F.least(first + copies, F.col(n)) - 1))
+    both = few.unionByName(many).select(*columns, F.sha2(F.concat(*parts), 256).alias(into), number.alias(n))
+    return both.select(*columns, F.concat_ws("-", into, F.col(n).cast("string")).alias(into))
+
+
+def fresh_names(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, lengthened until none is among ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
 
 def _with_stratum(df: DataFrame, strata: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Add the stratum as one struct, so that null values join like any other."""

@@ -8,19 +8,21 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import content_key
 from plumbline.functions.labels import MODELS
-from plumbline.operators.drift import SIGNALS, WINDOW_HOURS, Signal, build_baselines, drift_summary
+from plumbline.operators.drift import FALLBACK_HOURS, SIGNALS, WINDOW_HOURS, Signal, build_baselines, drift_summary
 from plumbline.operators.metrics import sentiment_counts
 from plumbline.operators.prepare import drop_missing, to_labelled
 from plumbline.operators.scoring import Scorer, predict, score
 from plumbline.operators.semantic import SemanticBaseline, assign_clusters, fit_semantic, model_baselines, semantic_drift_job
-from plumbline.operators.split import stratified_split
-from plumbline.plans.small import written
+from plumbline.operators.split import numbered_copies, stratified_split
+from plumbline.plans.small import lookup_join, written
 from plumbline.sources.baselines import load_baselines, load_semantic, save_baselines, save_semantic
 from plumbline.sources.corpora import read_split, write_splits
+from plumbline.sources.embeddings import add_embeddings, embeddings_of
 from plumbline.sources.log import append_log, read_log
 from plumbline.sources.results import export_actions, export_results, write_drift_report, write_evaluation
 
@@ -37,11 +39,11 @@ def prepare_corpus(
 ) -> DataFrame:
     """Recode, split and store a raw corpus; returns the rows per split.
 
-    Raw rows carry no id, so the labelled rows are written once with a number
-    each: later passes see the same numbers and do not parse the CSV again.
+    Raw rows carry no id, so the labelled rows are written once with one made of
+    their content: the same corpus gives the same split in whatever files it comes.
     """
     labelled = drop_missing(to_labelled(raw, text_col, label), ["label"])
-    numbered = written(labelled.withColumn("_id", F.monotonically_increasing_id()), "corpus")
+    numbered = written(numbered_copies(labelled, ["text", "label"]), "corpus")
     split = stratified_split(numbered, "_id", "label" if stratify else None, holdout, test_share, seed)
     return write_splits(split.drop("_id"), path)
 
@@ -98,6 +100,15 @@ def store_baselines(
     return baselines
 
 
+NO_PREDICTIONS = "no_predictions"
+REPORT = "model string, signal string, psi double, level string, risk_pct double, status string, n long"
+
+
+def hours_before(spark: SparkSession, now: str, hours: int) -> str:
+    """The UTC time ``hours`` before ``now``."""
+    return spark.sql(f"select cast(timestamp '{now}' - interval {int(hours)} hours as string) as t").first().t
+
+
 def drift_job(
     spark: SparkSession,
     log_path: str,
@@ -106,14 +117,22 @@ def drift_job(
     now: str,
     hours: int = WINDOW_HOURS,
     models: Sequence[str] = MODELS,
+    say_why: bool = False,
 ) -> DataFrame | None:
-    """Score the last ``hours`` before ``now`` against the baselines; nothing without rows."""
-    since = spark.sql(f"select cast(timestamp '{now}' - interval {int(hours)} hours as string) as t").first().t
-    window = read_log(spark, log_path, since)
-    if window.isEmpty():
+    """Score the last ``hours`` before ``now`` against the baselines.
+
+    The report states its window and how many predictions that holds. Without any there is nothing to
+    report; with ``say_why`` that itself is reported, as one row of status ``no_predictions``.
+    """
+    window = read_log(spark, log_path, hours_before(spark, now, hours))
+    if not window.isEmpty():
+        summary = drift_summary(window, load_baselines(spark, baselines_path), models=models)
+    elif say_why:
+        summary = spark.createDataFrame([("ensemble", "all", None, "unknown", 0.0, NO_PREDICTIONS, 0)], REPORT)
+    else:
         return None
-    summary = drift_summary(window, load_baselines(spark, baselines_path), models=models)
-    report = written(summary.withColumn("window_hours", F.lit(hours)), "report")
+    total = F.max(F.when(F.col("model") == "ensemble", F.col("n"))).over(Window.partitionBy())
+    report = written(summary.withColumns({"window_hours": F.lit(hours), "total_predictions": total}), "report")
     write_drift_report(report, report_path, now)
     return report
 
@@ -131,6 +150,21 @@ def store_semantic_baseline(
     return baseline
 
 
+def stored_clusters(
+    rows: DataFrame, baseline: SemanticBaseline, store: str, name: str, encode: Encode, batch: str
+) -> DataFrame:
+    """``ts, model_used, cluster`` of log rows: every distinct text is encoded and assigned once.
+
+    Rows meet their cluster by content key; a text that makes up a large share of them is spread.
+    """
+    add_embeddings(rows, store, name, encode, batch)
+    keyed = written(rows.select("ts", "model_used", content_key("text").alias("content_key")), "log-keys")
+    vectors = embeddings_of(keyed, store, name)
+    clusters = written(assign_clusters(vectors, baseline.model).select("content_key", "cluster"), "key-clusters")
+    found = lookup_join(keyed, clusters, "content_key", spread=F.monotonically_increasing_id())
+    return found.select("ts", "model_used", "cluster")
+
+
 def semantic_drift_run(
     spark: SparkSession,
     log_path: str,
@@ -138,29 +172,38 @@ def semantic_drift_run(
     encoders: Mapping[str, Encode],
     report_path: str,
     now: str,
+    store: str | None = None,
     **options,
 ) -> DataFrame:
     """Meaning drift of every model against its own stored baseline.
 
     Each model's rows pass its encoder and its clusters. A model without a stored baseline is
     reported as such, and too few rows as too few. ``options`` go to ``semantic_drift_job``.
+
+    Of the log only the longer window before ``now`` is read. With ``store``, a folder of embeddings
+    by content, only texts that it lacks are encoded, once each, and are added to it.
     """
-    log = read_log(spark, log_path).withColumnRenamed("timestamp", "ts")
+    end = F.lit(now).cast("timestamp")
+    longest = max(options.get("hours", WINDOW_HOURS), options.get("fallback", FALLBACK_HOURS))
+    log = read_log(spark, log_path, hours_before(spark, now, longest)).withColumnRenamed("timestamp", "ts")
     parts, expected = [], []
     for name, encode in encoders.items():
-        mine = log.where(F.col("model_used") == name)
+        mine = log.where((F.col("model_used") == name) & (F.col("ts") <= end))
         baseline = load_semantic(spark, baselines_path, name)
         if baseline is None:
             mine = mine.withColumn("cluster", F.lit(None).cast("int"))
         else:
-            mine = assign_clusters(encode(mine.where(F.col("text").isNotNull())), baseline.model)
+            mine = mine.where(F.col("text").isNotNull())
+            if store is None:
+                mine = assign_clusters(encode(mine), baseline.model)
+            else:
+                mine = stored_clusters(mine, baseline, store, name, encode, now)
             expected.append(baseline.expected.withColumn("model_used", F.lit(name)))
         parts.append(mine.select("ts", "model_used", "cluster"))
     clustered = written(reduce(lambda a, b: a.unionByName(b), parts), "clustered")
     none = "model string, signal string, feature string, kind string, bin int, lo double, hi double, category string, expected double"
     baselines = reduce(lambda a, b: a.unionByName(b), map(model_baselines, expected)) if expected else spark.createDataFrame([], none)
-    end = F.lit(now).cast("timestamp")
-    report = semantic_drift_job(clustered.where(F.col("ts") <= end), baselines, tuple(encoders), now=end, **options)
+    report = semantic_drift_job(clustered, baselines, tuple(encoders), now=end, **options)
     report = written(report, "semantic-report")
     write_drift_report(report, report_path, now)
     return report

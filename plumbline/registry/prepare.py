@@ -17,7 +17,7 @@ from plumbline.functions.text import (
 )
 from plumbline.operators.metrics import distinct_values, profile_columns
 from plumbline.operators.prepare import drop_missing, to_labelled, upload_text
-from plumbline.operators.split import split_counts, stratified_sample, stratified_split
+from plumbline.operators.split import numbered_copies, split_counts, stratified_sample, stratified_split
 from plumbline.plans.views import reviews, table
 from plumbline.registry.sql import with_views
 
@@ -94,6 +94,13 @@ def split_plain(spark, sf):
     return stratified_split(reviews(spark, sf).select("doc_id"), "doc_id", None, holdout=0.1, test_share=0.5)
 
 
+def split_content(spark, sf):
+    """Texts without ids: numbered by content, so that files and partitions do not matter."""
+    docs = table(spark, sf, "documents").select("text", F.coalesce("lang", F.lit("")).alias("label"))
+    split = stratified_split(numbered_copies(docs, ["text", "label"], "row_key"), "row_key", "label", holdout=0.2, test_share=0.5)
+    return split.select("row_key", "label", "split")
+
+
 def sample_rows(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     return stratified_sample(docs, "doc_id", SAMPLE_ROWS, ["lang"])
@@ -165,6 +172,10 @@ def _split_sql(rows: str, by: str, holdout: float, test: float) -> str:
 _LABEL_ROWS = (
     "select doc_id, cast(case when toxic = 1 then 0 when quality = 0 then 1 else 2 end as int) as label from labels"
 )
+_CONTENT_ROWS = (
+    "select sha256(concat(coalesce(sha256(text), '-'), sha256(label))) || '-' || (row_number() over (partition by text, label) - 1) as doc_id, "
+    "label from (select text, coalesce(lang, '') as label from documents)"
+)
 _STAR_LABEL = "cast(case when 1 + doc_id % 5 <= 2 then 0 when 1 + doc_id % 5 = 3 then 1 else 2 end as int)"
 
 
@@ -243,6 +254,10 @@ ENTRIES = {
         split_plain,
         "with " + _split_sql("select doc_id from documents", "", 0.1, 0.5) + " select doc_id, split from assigned",
     ),
+    "split_by_content": (
+        split_content,
+        "with " + _split_sql(_CONTENT_ROWS, "label", 0.2, 0.5) + " select doc_id as row_key, label, split from assigned",
+    ),
     "split_counts": (
         lambda spark, sf: split_counts(split_rows(spark, sf)),
         "with " + _split_sql(_LABEL_ROWS, "label", 0.2, 0.5) + " select split, count(*) as n from assigned group by split",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import content_key
 from plumbline.functions.scores import round_to
 from plumbline.operators.semantic import (
     assign_clusters,
@@ -19,11 +20,12 @@ from plumbline.operators.semantic import (
     semantic_psi,
 )
 from plumbline.plans.small import written
-from plumbline.plans.views import event_rows, rows_of, table
+from plumbline.plans.views import event_rows, predictions, rows_of, table
 from plumbline.registry.drift import _GUARD, last_time
 from plumbline.registry.sql import level, psi_of, risk, with_views
 from plumbline.session import work_path
 from plumbline.sources.baselines import load_baselines, save_baselines
+from plumbline.sources.embeddings import add_embeddings, embeddings_of, load_embeddings
 
 K = 10
 
@@ -80,6 +82,23 @@ def scored_by(log, baselines):
     return semantic_psi(log, baselines).select("model", round_to("psi", 6).alias("psi"), "rows")
 
 
+def embedded_log(spark, sf):
+    """The log in two runs, three days and the rest: which run encoded a text, its vector, and the rows it serves."""
+    log, path = predictions(spark, sf).select("ts", "text"), work_path(spark, "embeddings")
+    start = event_rows(spark, sf).agg(F.min("ts")).scalar()
+    early = F.col("ts") < start + F.expr("interval 72 hours")
+    lengths = F.array(F.length("text").cast("double"), F.octet_length("text").cast("double"))
+    for batch, rows in (("first", log.where(early)), ("second", log.where(~early)), ("second", log.where(~early))):
+        add_embeddings(rows, path, "lengths", lambda df: df.withColumn("embedding", lengths), batch)
+    keyed = log.select(content_key("text").alias("content_key"))
+    vectors = embeddings_of(keyed, path, "lengths")
+    rows = keyed.groupBy("content_key").agg(F.count(F.lit(1)).alias("n"))
+    added = load_embeddings(spark, path, "lengths").select("content_key", "batch")
+    return added.join(vectors, "content_key").join(rows, "content_key").select(
+        "content_key", "batch", "n", F.get("embedding", F.lit(0)).alias("chars"), F.get("embedding", F.lit(1)).alias("bytes")
+    )
+
+
 def fitted_shares(spark, sf):
     vectors = table(spark, sf, "embeddings")
     baseline = fit_semantic(vectors, "vec_id", strata=["label"])
@@ -169,6 +188,15 @@ freq as (
 scored as ({psi_of('freq', 'model')})""",
         ),
     ),
+    "embedding_store": (
+        embedded_log,
+        with_views(
+            ["v_predictions"],
+            """select sha256(text) as content_key, count(*) as n, length(text)::double as chars, strlen(text)::double as bytes,
+              case when min(ts) < (select min(ts) from v_predictions) + interval 72 hours then 'first' else 'second' end as batch
+            from v_predictions where text is not null group by text""",
+        ),
+    ),
     "semantic_fit": (fitted_shares, None),
     "semantic_text_clusters": (text_clusters, None),
 }

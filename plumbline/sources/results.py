@@ -76,12 +76,25 @@ def latest_drift_report(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest row per model and signal, or nothing before the first run."""
     if not path_exists(spark, path):
         return None
-    history = spark.read.parquet(path).drop("run_date")
+    history = spark.read.option("mergeSchema", True).parquet(path).drop("run_date")
     columns = [c for c in history.columns if c not in ("model", "signal")]
     newest = F.max_by(F.struct(*columns), "run_ts").alias("r")
     return history.groupBy("model", "signal").agg(newest).select("model", "signal", "r.*")
 
 
+def latest_drift_run(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the newest run, or nothing before the first; of the history only its last date is read."""
+    if not path_exists(spark, path):
+        return None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    dates = [f.getPath().getName() for f in listed if f.getPath().getName().startswith("run_date=")]
+    if not dates:
+        return None
+    last = spark.read.option("mergeSchema", True).parquet(f"{path}/{max(dates)}")
+    return last.where(F.col("run_ts") == last.agg(F.max("run_ts")).scalar())
+
+
 def write_snapshot(metrics: DataFrame, path: str, run_ts: str) -> None:
     """Append a metrics snapshot with the time it was taken."""
     stamped = metrics.withColumn("ts", F.lit(run_ts).cast("timestamp"))
