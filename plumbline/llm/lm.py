@@ -10,7 +10,8 @@ weights are learned by expectation-maximisation on deleted counts: each training
 held out in turn, so its estimates use the counts less one. For this the training tokens are
 gathered in a table of how often each combination of (context count, word count, bigram
 count) occurs, with counts above a few rounded to eighths of an octave; the table's size is bounded
-by these steps, whatever the corpus, and covers every training token.
+by these steps, whatever the corpus, and covers every training token. Each bucket of contexts learns
+its weights by itself.
 
 Counts meet in exchanges between units of documents (``units``).
 """
@@ -32,6 +33,8 @@ STEPS = 8  # per octave
 FIELD = 10  # bits of a step: counts up to 2 ** 127
 BUCKETS = 48
 ROUNDS = 100
+LEARNED = "bucket int, facts binary"
+LEARNED_TABLE = pa.schema([("bucket", pa.int32()), ("facts", pa.binary())])
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -227,18 +230,33 @@ def scores(
         for batch in batches:
             for facts in batch.column("facts").to_pylist():
                 cells, times = np.frombuffer(facts, "<i8").reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times)], names=["cell", "times"])
+                where = bucket(np.rint(np.maximum(VALUE[cells >> 2 * FIELD] - 1, 0))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(cells), pa.array(times)], names=["bucket", "cell", "times"])
 
-    def to_weights(table: pa.Table) -> pa.Table:
-        """All combinations of steps, which are few, and the totals: the weights."""
+    def to_weights(table: pa.Table, totals: pa.Table) -> pa.Table:
+        """One context bucket's combinations of steps and the totals: the bucket's weights."""
+        if not table.num_rows:
+            return LEARNED_TABLE.empty_table()
         table = table.combine_chunks()
-        sums = np.frombuffer(table.column("sums")[0].as_py(), "<i8")
+        sums = np.frombuffer(totals.column("facts")[0].as_py(), "<i8")
         cells, times = table.column("cell").to_numpy(), table.column("times").to_numpy().astype(float)
         order = np.argsort(cells)
         cells, times = cells[order], times[order]
         low = (1 << FIELD) - 1
         split = np.stack([cells >> 2 * FIELD, (cells >> FIELD) & low, cells & low], axis=1)
-        weights = learn(split, times, float(sums[0]), float(sums[1]))
+        k = table.column("bucket")[0].as_py()
+        mine = learn(split, times, float(sums[0]), float(sums[1]))[k]
+        return pa.table({"bucket": pa.array([k], pa.int32()), "facts": pa.array([mine.astype("<f8").tobytes()], pa.binary())})
+
+    def all_weights(table: pa.Table) -> pa.Table:
+        """Weights of all buckets, at most ``BUCKETS`` rows; one without tokens takes those of the next rarer."""
+        learned = {k: np.frombuffer(x, "<f8") for k, x in zip(table.column("bucket").to_pylist(), table.column("facts").to_pylist())}
+        weights = learn(np.empty((0, 3), int), np.empty(0), 1, 0)
+        for k in range(BUCKETS):
+            if k in learned:
+                weights[k] = learned[k]
+            elif k > 1:
+                weights[k] = weights[k - 1]
         return pa.table({"facts": pa.array([weights.astype("<f8").tobytes()], pa.binary())})
 
     def give(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -272,10 +290,11 @@ def scores(
     sums = words.where("step = 'sums'").groupBy(F.lit(0).alias("one")).applyInArrow(add_sums, "facts binary")
     first = words.where("unit >= 0").unionByName(to_all(sums, "totals"))
     pairs = by_unit.cogroup(first.groupBy("unit")).applyInArrow(send_pairs, U.SENT).groupBy("part").applyInArrow(add_pairs, U.ANSWER)
-    cells = pairs.where("step = 'cells'").select("facts").mapInArrow(to_rows, "cell long, times long")
-    cells = cells.groupBy("cell").agg(F.sum("times").alias("times"))
-    weights = cells.crossJoin(F.broadcast(sums.withColumnRenamed("facts", "sums"))).groupBy(F.lit(0).alias("one"))
-    weights = weights.applyInArrow(to_weights, "facts binary")
+    cells = pairs.where("step = 'cells'").select("facts").mapInArrow(to_rows, "bucket int, cell long, times long")
+    cells = cells.groupBy("bucket", "cell").agg(F.sum("times").alias("times"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket")
+    weights = cells.groupBy("bucket").cogroup(sums.select(every, "facts").groupBy("bucket")).applyInArrow(to_weights, LEARNED)
+    weights = weights.groupBy(F.lit(0).alias("one")).applyInArrow(all_weights, "facts binary")
     replies = first.unionByName(pairs.where("unit >= 0")).unionByName(to_all(weights, "weights"))
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by_unit.cogroup(replies.groupBy("unit")).applyInArrow(give, schema)
