@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.psi import EPSILON, valid_number
-from plumbline.plans.small import Fitted, fitted
+from plumbline.plans.small import Fitted, fitted, written
 
 # Edges of the confidence bins used while there is no training score.
 DEFAULT_CONFIDENCE_EDGES = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0)
 DEFAULT_BINS = 10
+# Rows of one slice that a task may sort, and the parts a larger slice is cut into.
+BAND_ROWS, PARTS = 1_000_000, 12
 # Up to this many edges are matched by flat comparisons.
 FLAT_EDGES = 17
 
@@ -84,14 +86,17 @@ def quantile_edges(
     n_bins: int = DEFAULT_BINS,
     slack: float = 0.001,
     accuracy: int = 10_000,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """``by..., edges`` with exact interpolated quantiles of ``column``.
 
     Nothing holds a whole column in one place. A mergeable sketch places a
     narrow band around each wanted rank, one counting pass over the bands and
     gaps tells which of them contains which rank and how many rows lie before
-    it, and only those few bands are sorted, each on its own. The sketch only
-    decides how narrow the bands are; the counts make the result exact.
+    it, and only those few bands are sorted, each on its own. A band of more
+    than ``band_rows`` rows is narrowed first, so no task sorts a fixed share of
+    the column. The sketch only decides how narrow the bands are; the counts
+    make the result exact.
     """
     keys = list(by)
     rows = df.select(*keys, F.col(column).cast("double").alias("x"))
@@ -112,7 +117,7 @@ def quantile_edges(
     before = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
         sliced.groupBy(*keys, "slice")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("varied"))
         .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("last", (F.sum("n").over(group) - 1).cast("double"))
     )
@@ -131,24 +136,24 @@ def quantile_edges(
         )
     ).alias("w")
     targets = fitted(
-        slices.select(*keys, "slice", "n", "offset", wanted)
-        .select(*keys, "slice", "n", "offset", "w.*")
+        slices.select(*keys, F.col("slice").cast("long").alias("slice"), "n", "varied", "offset", wanted)
+        .select(*keys, "slice", "n", "varied", "offset", "w.*")
         .where((F.col("rank") >= F.col("offset")) & (F.col("rank") < F.col("offset") + F.col("n")))
         .withColumn("rank", F.col("rank") - F.col("offset"))
-        .drop("n", "offset")
+        .drop("offset")
     )
-    bands = targets.df.select(*keys, "slice").distinct()
+    sliced, targets = narrowed(sliced.withColumn("slice", F.col("slice").cast("long")), targets, keys, band_rows, accuracy)
     upto = Window.partitionBy(*keys, "slice").orderBy("x").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     running = (
-        sliced.join(F.broadcast(bands) if targets.small else bands, [*keys, "slice"], "left_semi")
+        in_bands(sliced, targets, keys)
         .groupBy(*keys, "slice", "x")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(upto))
     )
     picked = (
-        running.join(targets.hinted(), [*keys, "slice"])
+        running.join(targets.hinted().drop("n", "varied"), [*keys, "slice"])
         .where((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
         .groupBy(*keys, "k", "weight")
         .agg(
@@ -164,6 +169,49 @@ def quantile_edges(
     return quantiles.select(*keys, clean_edges(F.col("q")).alias("edges"))
 
 
+def in_bands(sliced: DataFrame, targets: Fitted, keys: Sequence[str]) -> DataFrame:
+    """The rows of those slices that hold a wanted rank."""
+    bands = targets.df.select(*keys, "slice").distinct()
+    return sliced.join(F.broadcast(bands) if targets.small else bands, [*keys, "slice"], "left_semi")
+
+
+def narrowed(
+    sliced: DataFrame, targets: Fitted, keys: Sequence[str], band_rows: int, accuracy: int
+) -> tuple[DataFrame, Fitted]:
+    """Rows and wanted ranks in slices that hold at most ``band_rows`` rows or a single value.
+
+    Each round writes the rows of the wanted slices, a fraction of the last round's, cuts every
+    slice by a sketch of its own and keeps the parts that hold a rank. A value that a slice is cut
+    at is a part by itself, so a frequent value is no obstacle and every round makes progress.
+    """
+    group = [*keys, "slice"]
+    probes = [i / PARTS for i in range(PARTS + 1)]
+    while targets.small and any(r["varied"] and r["n"] > band_rows for r in targets.rows):
+        inside = written(in_bands(sliced, targets, keys).select(*group, "x"), "bands")
+        cuts = fitted(
+            inside.groupBy(*group).agg(F.array_distinct(F.percentile_approx("x", probes, accuracy)).alias("cuts"))
+        )
+        place = " + ".join(count_reached("x", "cuts", op, 0, PARTS) for op in (">", ">="))
+        parts = cuts.attach(inside, group, "cuts").select(*group, "x", F.expr(place).alias("part"))
+        before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = (
+            parts.groupBy(*group, "part")
+            .agg(F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("varied"))
+            .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        )
+        held = fitted(
+            sizes.join(F.broadcast(targets.df.drop("n", "varied")), group)
+            .where((F.col("rank") >= F.col("offset")) & (F.col("rank") < F.col("offset") + F.col("n")))
+            .withColumn("rank", F.col("rank") - F.col("offset"))
+            .drop("offset")
+        )
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy("slice", "part")).cast("long")
+        numbers = fitted(held.df.select(*group, "part").distinct().withColumn("to", number)).hinted()
+        targets = fitted(held.df.join(numbers, [*group, "part"]).withColumn("slice", F.col("to")).drop("part", "to"))
+        sliced = parts.join(numbers, [*group, "part"]).select(*keys, "x", F.col("to").alias("slice"))
+    return sliced, targets
+
+
 def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """``by..., x, n``: how often each number occurs; null and NaN are one row without a number.
 

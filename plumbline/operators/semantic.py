@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.labels import MODELS
@@ -29,7 +29,7 @@ from plumbline.operators.drift import (
     summarise,
     volume_guardrail,
 )
-from plumbline.operators.split import stratified_sample
+from plumbline.operators.split import fresh_names, stratified_sample
 from plumbline.plans.small import fitted, written
 
 # Baseline size.
@@ -159,43 +159,77 @@ def nearest_centroid(
 ) -> DataFrame:
     """Add the cluster with the least squared distance; the lower cluster wins a tie.
 
-    Centroids travel with the task in blocks of at most ``CENTROID_NUMBERS``
-    coordinates; each block is compared with the best so far. Distances are
-    computed per Arrow batch, because array lambdas would be interpreted for
-    every coordinate of every centroid. A row without a vector has no cluster.
+    Centroids are written once and travel in blocks of at most ``CENTROID_NUMBERS``
+    coordinates, each a broadcast of its own. A plan meets ``BLOCKS_AT_ONCE`` of them;
+    beyond that the rows are written with their best so far. A row without a vector has
+    no cluster.
     """
-    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("w")).first()
+    spark = df.sparkSession
+    table = written(centroids.select("cluster", "centroid"), "centroids")
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("w")).first()
     blocks = max(1, -(-size["n"] * (size["w"] or 1) // CENTROID_NUMBERS))
-    best = F.lit(None).cast("struct<distance:double,cluster:int>")
+    best, rows = fresh_names([*df.columns, out], "_best")[0], df
+    none = F.lit(None).cast("struct<distance:double,cluster:int>")
     for block in range(blocks):
-        mine = centroids.where(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == block).collect()
-        if mine:
-            found = nearest_of(sorted((r["cluster"], r["centroid"]) for r in mine))(F.col(embedding))
-            nearer = best.isNull() | (found["distance"] < best["distance"]) | (
-                (found["distance"] == best["distance"]) & (found["cluster"] < best["cluster"])
+        mine = table.where(F.pmod(F.xxhash64("cluster"), F.lit(blocks)) == block).collect()
+        if not mine:
+            continue
+        found = nearest_of(spark, sorted((r["cluster"], r["centroid"]) for r in mine))(F.col(embedding))
+        if best in rows.columns:
+            old = F.col(best)
+            nearer = old.isNull() | (found["distance"] < old["distance"]) | (
+                (found["distance"] == old["distance"]) & (found["cluster"] < old["cluster"])
             )
-            best = F.when(found["cluster"].isNotNull() & nearer, found).otherwise(best) if block else found
-    return df.withColumn(out, best["cluster"])
+            found = F.when(found["cluster"].isNotNull() & nearer, found).otherwise(old)
+        rows = rows.withColumn(best, found)
+        if block % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1 and block < blocks - 1:
+            rows = written(rows, "nearest")
+    if best not in rows.columns:
+        rows = rows.withColumn(best, none)
+    return rows.withColumn(out, F.col(best)["cluster"]).drop(best)
 
 
-#: Coordinates of centroids that one task holds: 16 MB.
-CENTROID_NUMBERS = 1 << 21
+#: Coordinates of centroids that a block holds (16 MB), blocks in one plan, distances held at once (32 MB).
+CENTROID_NUMBERS, BLOCKS_AT_ONCE, DISTANCES = 1 << 21, 8, 1 << 22
 
 
-def nearest_of(centroids: list):
+def nearest_rows(x: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest point of every row, the first of equals, and its squared distance.
+
+    One matrix product gives all distances but for rounding; points that this leaves within its
+    error of the least are compared again by their differences, which decides.
+    """
+    squares, scale = (points**2).sum(axis=1), np.sqrt((points**2).sum(axis=1).max())
+    at, least = np.empty(len(x), np.int64), np.empty(len(x))
+    step = max(1, DISTANCES // len(points))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        own = (part**2).sum(axis=1)
+        rough = squares - 2 * (part @ points.T)
+        error = 8 * (x.shape[1] + 4) * np.finfo(float).eps * (np.sqrt(own) + scale) ** 2
+        row, point = np.nonzero(~(rough > (rough.min(axis=1) + error)[:, None]))
+        most = max(1, DISTANCES // x.shape[1])
+        pieces = [slice(i, i + most) for i in range(0, len(row), most)]
+        exact = np.concatenate([((part[row[p]] - points[point[p]]) ** 2).sum(axis=1) for p in pieces])
+        order = np.lexsort((point, exact, row))
+        first = order[np.searchsorted(row[order], np.arange(len(part)))]
+        at[a : a + step], least[a : a + step] = point[first], exact[first]
+    return at, least
+
+
+def nearest_of(spark: SparkSession, centroids: list):
     """A function of a vector column to the nearest of these centroids and its distance."""
     names = np.array([c for c, _ in centroids], dtype="int32")
-    points = np.array([p for _, p in centroids], dtype=float)
+    shared = spark.sparkContext.broadcast((names, np.array([p for _, p in centroids], dtype=float)))
 
     @F.pandas_udf("distance double, cluster int")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
+        names, points = shared.value
         present = vectors.notna().to_numpy()
         out = pd.DataFrame({"distance": np.nan, "cluster": pd.array([None] * len(vectors), dtype="Int32")})
         if present.any():
-            x = np.stack(vectors[present].to_numpy()).astype(float)
-            distance = np.stack([((x - p) ** 2).sum(axis=1) for p in points], axis=1)
-            at = distance.argmin(axis=1)
-            out.loc[present, "distance"] = distance[np.arange(len(at)), at]
+            at, least = nearest_rows(np.stack(vectors[present].to_numpy()).astype(float), points)
+            out.loc[present, "distance"] = least
             out.loc[present, "cluster"] = names[at]
         return out
 

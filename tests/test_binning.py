@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import binning
 from plumbline.operators.binning import (
     DEFAULT_CONFIDENCE_EDGES,
     categorical_frequency,
@@ -135,3 +136,31 @@ def test_category_counts_stand_for_the_rows(spark):
     counts = rows.groupBy("c").count().withColumnRenamed("count", "n")
     plain = sorted(map(tuple, categorical_frequency(rows, "c", listed).collect()))
     assert sorted(map(tuple, categorical_frequency(counts, "c", listed, weight="n").collect())) == plain
+
+
+def test_no_task_sorts_a_wide_band(spark, monkeypatch):
+    """A million distinct values: bands are narrowed until they are small, and the result stays exact."""
+    n, seen = 1_000_000, []
+    plain = binning.narrowed
+
+    def spy(*args):
+        sliced, targets = plain(*args)
+        bands = binning.in_bands(sliced, targets, []).groupBy("slice").agg(F.count_distinct("x").alias("n"))
+        seen.append(bands.agg(F.max("n")).first()[0])
+        return sliced, targets
+
+    monkeypatch.setattr(binning, "narrowed", spy)
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.sqrt(F.col("id").cast("double"))).alias("x"))
+    got = quantile_edges(df, "x", band_rows=200).first().edges
+    values = np.where(np.arange(n) % 3 == 0, 0.0, np.sqrt(np.arange(n, dtype=float)))
+    np.testing.assert_allclose(got, numpy_edges(values), rtol=1e-12)
+    assert len(seen) == 1 and seen[0] <= 200
+
+
+def test_narrow_bands_with_groups_and_a_poor_sketch(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v)) for v in rng.integers(0, 40, 900)] + [("b", float(v)) for v in rng.normal(size=700)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.edges for r in quantile_edges(df, "x", ["g"], accuracy=20, slack=0.2, band_rows=10).collect()}
+    for g in ("a", "b"):
+        np.testing.assert_allclose(got[g], numpy_edges([v for k, v in rows if k == g]), rtol=1e-12)

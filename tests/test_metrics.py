@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import (
     LATENCY_BUCKETS,
@@ -11,6 +12,8 @@ from plumbline.operators.metrics import (
     mean_confidence,
     metrics_snapshot,
     profile_columns,
+    profile_of_sketches,
+    profile_sketches,
     sentiment_counts,
     sentiment_share,
 )
@@ -68,3 +71,28 @@ def test_profile(spark):
     df = spark.createDataFrame([(1, None), (1, "x"), (2, None)], "a int, b string")
     assert {r.column: (r.n_null, r.n_distinct) for r in profile_columns(df).collect()} == {"a": (0, 2), "b": (2, 1)}
     assert {r.column: r.n_null for r in profile_columns(df, approximate=True).collect()} == {"a": 0, "b": 2}
+
+
+def test_profile_without_copies_of_rows(spark):
+    rows = [(1, "a", 1.0), (2, "a", float("nan")), (2, None, float("nan")), (None, None, -0.0), (3, "b", 0.0)]
+    df = spark.createDataFrame(rows, "`a.b` int, s string, x double")
+    exact = profile_columns(df)
+    assert sorted(map(tuple, exact.collect())) == [("a.b", 1, 3), ("s", 2, 2), ("x", 0, 3)]
+    assert "Expand" not in exact._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, profile_columns(df.where("false")).collect())) == [("a.b", 0, 0), ("s", 0, 0), ("x", 0, 0)]
+    assert {r["column"]: r["n_null"] for r in profile_columns(df, approximate=True).collect()} == {"a.b": 1, "s": 2, "x": 0}
+
+
+def test_sketches_of_days_merge(spark, tmp_path):
+    df = spark.range(20_000).select("id", (F.col("id") % 500).cast("string").alias("few"), F.lit(None).cast("int").alias("none"))
+    for day, part in (("1", df.where("id < 12000")), ("2", df.where("id >= 8000"))):  # the days overlap
+        profile_sketches(part).write.parquet(str(tmp_path / day))
+    days = [spark.read.parquet(str(tmp_path / d)) for d in ("1", "2")]
+    merged = {r["column"]: r for r in profile_of_sketches(*days).collect()}
+    whole = {r["column"]: r for r in profile_of_sketches(profile_sketches(df)).collect()}
+    assert {c: r["n"] for c, r in merged.items()} == dict.fromkeys(("id", "few", "none"), 24_000)
+    assert merged["none"]["n_null"] == 24_000 and merged["none"]["n_distinct"] == 0
+    for c, n in (("id", 20_000), ("few", 500)):
+        assert abs(merged[c]["n_distinct"] - n) <= 0.06 * n and abs(merged[c]["n_distinct"] - whole[c]["n_distinct"]) <= 0.03 * n
+    plan = profile_sketches(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from plumbline.operators import semantic
 from plumbline.operators.drift import INSUFFICIENT
 from plumbline.operators.semantic import (
     assign_clusters,
@@ -110,3 +111,28 @@ def test_component_count_is_bounded_by_rows(spark):
     )
     assert len(out.select(vector_to_array("_reduced").alias("r")).first().r) == 2
 
+
+
+def test_nearest_rows_equal_plain_differences():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(300, 8))
+    points[200:] = points[:100]  # exact ties: the first counts
+    x = np.concatenate([rng.normal(size=(500, 8)), points[:50], 1e8 + rng.normal(size=(50, 8)), np.zeros((1, 8))])
+    want = np.stack([((x - p) ** 2).sum(axis=1) for p in points], axis=1)
+    at, least = semantic.nearest_rows(x, points)
+    assert (at == want.argmin(axis=1)).all() and (least == want.min(axis=1)).all()
+
+
+@pytest.mark.parametrize("numbers", [1 << 21, 40, 4])
+def test_blocks_of_centroids_do_not_matter(spark, monkeypatch, numbers):
+    """All centroids at once, ten of them, and one by one, so that rows are written in between."""
+    rng = np.random.default_rng(4)
+    x, centres = rng.normal(size=(60, 4)), rng.normal(size=(20, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None)], "_best int, embedding array<double>")
+    monkeypatch.setattr(semantic, "CENTROID_NUMBERS", numbers)
+    centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster int, centroid array<double>")
+    got = semantic.nearest_centroid(df, centroids)
+    assert got.columns == ["_best", "embedding", "cluster"]
+    want = {i: int(((v - centres) ** 2).sum(axis=1).argmin()) for i, v in enumerate(x)} | {-1: None}
+    assert {r["_best"]: r["cluster"] for r in got.collect()} == want
+    assert semantic.nearest_centroid(df, centroids.where("false")).where("cluster is not null").count() == 0
