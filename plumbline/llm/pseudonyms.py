@@ -3,8 +3,9 @@
 Validated personal numbers, dates and the names of mail addresses are replaced by
 keyed permutations of themselves within their own format: Feistel rounds whose round
 function is a SHA-512 of the key, the kind of value and the other half. Equal values get
-equal pseudonyms in every document and, as phone digits or days, in every notation;
-different values of a kind get different ones. Only the key can undo it.
+equal pseudonyms in every document, days in every notation; a phone number is linked across
+notations only where its country prefix is set off alike. Different values of a kind get
+different ones. Only the key can undo it.
 
 The text is split at the matches and put together again with what they become, so a
 replacement is never looked at twice.
