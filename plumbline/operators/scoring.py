@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scores import argmax, decide
 from plumbline.functions.text import SPACE_PATTERN
+from plumbline.plans.small import written
 from plumbline.session import path_exists
 
 # Class weights of the training loss.
@@ -141,7 +142,10 @@ def train_classifier(
     features: int = 1 << 14,
     max_iter: int = 20,
 ) -> PipelineModel:
-    """Multinomial text classifier with a weight per class in its loss."""
+    """Multinomial text classifier with a weight per class in its loss.
+
+    The rows are evaluated once, whatever joins they come from.
+    """
     weights = CLASS_WEIGHTS if weights is None else weights
     weight = F.lit(1.0)
     for label, value in weights.items():
@@ -151,9 +155,13 @@ def train_classifier(
         F.col(label_col).cast("double").alias("_label"),
         weight.alias("_weight"),
     ).dropna()
-    stages = [
+    words = [
         RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=SPACE_PATTERN),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
+    ]
+    # Fitting reads its rows several times; written, they are counts of words instead of joins and texts.
+    counted = PipelineModel(stages=words).transform(rows).select("_tf", "_label", "_weight")
+    learnt = [
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(
             featuresCol="_features",
@@ -164,7 +172,7 @@ def train_classifier(
             regParam=0.01,
         ),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    return PipelineModel(stages=[*words, *Pipeline(stages=learnt).fit(written(counted, "training")).stages])
 
 
 def save_scorer(model: PipelineModel, models_dir: str, name: str, tuned: bool = True) -> str:

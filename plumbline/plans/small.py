@@ -79,6 +79,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter that ``likely`` broadcasts, in at most 262,144 rows of 64.
+FILTER_BITS = 1 << 24
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be one of ``wanted``; an inner join on the key then decides.
+
+    Wanted keys set one bit each of a filter of fixed size, which is broadcast, so that wide rows
+    that no key asks for stay out of the shuffle. A key that is wanted always passes.
+    """
+    if rows.schema[key].dataType != wanted.schema[key].dataType:
+        return rows  # other types, other hashes
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    word, place = F.shiftright(bit, 6).alias("_filter_word"), bit.bitwiseAND(F.lit(63)).cast("int")
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_place"))).alias("_filter_bits")
+    filled = wanted.where(F.col(key).isNotNull()).select(word, place.alias("_place")).groupBy("_filter_word").agg(bits)
+    met = rows.withColumn("_filter_word", word).join(F.broadcast(filled), "_filter_word")
+    return met.where(F.getbit("_filter_bits", place) == 1).select(*rows.columns)
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,

@@ -76,3 +76,15 @@ def test_large_parameter_frames_stay_lazy(spark):
     assert not big.small and big.df.count() == 50
     rows = spark.range(50).toDF("g")
     assert big.attach(rows, ["g"], "v").count() == 50
+
+
+def test_wanted_rows_pass_the_filter_and_few_others(spark):
+    rows = spark.range(20_000).select((F.col("id") - 7).alias("id"), F.lit("wide").alias("text"))
+    wanted = spark.createDataFrame([(5,), (5,), (None,), (-3,), (19_000,), (10**12,)], "id long")
+    met = small.likely(rows, wanted, "id")
+    assert met.columns == rows.columns
+    ids = [r.id for r in met.collect()]
+    assert {5, -3, 19_000} <= set(ids) and len(ids) == len(set(ids)) < 100
+    assert small.likely(rows, wanted.where("false"), "id").isEmpty()
+    other = wanted.select(F.col("id").cast("int").alias("id"))  # hashes of other types differ
+    assert small.likely(rows, other, "id").count() == 20_000

@@ -120,3 +120,19 @@ def test_filter_on_the_outcome_does_not_repeat_the_model(spark):
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert filters and not any("UDF(" in line for line in filters)
     assert kept.count() == 16
+
+
+def test_training_evaluates_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    df = spark.createDataFrame(TEXTS, "text string, label int")
+    model = train_classifier(df.select(read.asNondeterministic()("text").alias("text"), "label"), max_iter=5)
+    assert seen.value == len(TEXTS)
+    assert [type(s).__name__ for s in model.stages] == [
+        "RegexTokenizer", "HashingTF", "IDFModel", "LogisticRegressionModel",
+    ]
