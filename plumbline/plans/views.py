@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import content_key
 from plumbline.functions.labels import label_id
 from plumbline.functions.scores import argmax, round_to, softmax
 from plumbline.functions.text import text_length
@@ -51,18 +52,26 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``v_predictions``: every event with the text it is about; all documents take part in turn."""
+def _events_about(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    """Every event with expressions on the text it is about; all documents take part in turn."""
     documents = table(spark, sf_dir, "documents")
-    texts = documents.select(
-        F.col("doc_id").alias("text_id"), "text", text_length("text").alias("text_length")
-    )
+    texts = documents.select(F.col("doc_id").alias("text_id"), *columns)
     events = event_rows(spark, sf_dir).withColumn("text_id", F.col("row_id") % rows_of(documents))
-    return events.join(texts, "text_id").select(
+    return events.join(texts, "text_id")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_predictions``: every event with the text it is about."""
+    return _events_about(spark, sf_dir, "text", text_length("text").alias("text_length")).select(
         "row_id", "ts", "text", "text_length", "sentiment", "label", "confidence", "model_used"
     )
 
 
+def prediction_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time and content key of every row of ``v_predictions``; no text meets an event."""
+    return _events_about(spark, sf_dir, content_key("text").alias("content_key")).select("row_id", "ts", "content_key")
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passthrough columns of an upload."""
     return table(spark, sf_dir, "customer").select(

@@ -71,6 +71,32 @@ def test_a_text_is_encoded_once(spark, tmp_path):
     assert load_embeddings(spark, path, "e").count() == 4
 
 
+def test_texts_from_a_table_of_their_own(spark, tmp_path):
+    """Rows carry keys; of the table each text that they name is encoded once, copies and all."""
+    path = str(tmp_path / "store")
+    encode, seen = counting(spark)
+    table = texts(spark, "a", "a", "bb", "ccc", None, "", "unused").withColumn("content_key", F.sha2("text", 256))
+    keys = lambda *values: texts(spark, *values).select(F.sha2("text", 256).alias("content_key"))
+    add_embeddings(keys("a", "a", "bb", None, ""), path, "e", encode, "2024-05-01 10:00:00", texts=table)
+    assert seen.value == 3
+    for _ in range(2):  # again: replaces itself
+        add_embeddings(keys("bb", "ccc", "a", "gone"), path, "e", encode, "2024-05-02 10:00:00", texts=table)
+    assert seen.value == 5
+    stored = {(r.batch[8:10], r.embedding[0]) for r in load_embeddings(spark, path, "e").collect()}
+    assert stored == {("01", 1.0), ("01", 2.0), ("01", 0.0), ("02", 3.0)}
+
+
+def test_no_sort_of_copies_before_encoding(spark, tmp_path):
+    plans = []
+
+    def encode(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.select("content_key", F.array(F.length("text").cast("double")).alias("embedding"))
+
+    add_embeddings(texts(spark, "a", "a"), str(tmp_path / "store"), "e", encode, "2024-05-01 10:00:00")
+    assert "SortAggregate" not in plans[0] and "HashAggregate" in plans[0]
+
+
 def log_rows(spark, n, model="social", word="a"):
     return spark.createDataFrame(
         [(word * (1 + i % 9), "neutral", 1, 0.5, model) for i in range(n)],
