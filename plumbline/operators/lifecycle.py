@@ -1,9 +1,9 @@
 """Metric lifecycle: last run, anchored accumulation windows, archive, trends.
 
-Rows are first reduced to counts per batch time (or per tick, when a unit is
-named), so the ordered part of the work sees one row per batch and tenant. It
-reads them in order, one tenant after another, with one start as its state;
-no list of times is gathered.
+A tick is a batch's exact time, or its unit when one is named. The ordered part
+of the work sees cells of time with their first and last tick, not the ticks:
+each pass narrows the cells that can hold the start of a window until every
+start is one tick. Rows are never gathered or sorted by time.
 """
 
 from __future__ import annotations
@@ -11,67 +11,119 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.labels import SENTIMENTS
 from plumbline.operators.metrics import sentiment_counts, series
+from plumbline.plans.small import fitted, written
 
 # Length of an accumulation window and archives kept.
 WINDOW_DAYS = 91
 DAY_MICROS = 86_400_000_000
 ARCHIVES_KEPT = 100
 COUNTS = (*SENTIMENTS, "total")
+#: Cells of a window's length in the first pass, and parts of a cell in each further pass.
+CELLS, PARTS = 4096, 64
 
 
-def tick_counts(log: DataFrame, ts: str = "ts", tick: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """``by..., tick, negative, neutral, positive, total``; a tick is a batch's exact time unless a unit is named."""
+def ticked(log: DataFrame, ts: str = "ts", tick: str | None = None) -> DataFrame:
+    """The rows that have a time, with their ``tick``: the exact time unless a unit is named."""
     time = F.col(ts) if tick is None else F.date_trunc(tick, ts)
-    return sentiment_counts(log.where(F.col(ts).isNotNull()).withColumn("tick", time), [*by, "tick"])
+    return log.where(F.col(ts).isNotNull()).withColumn("tick", time)
+
+
+def tick_counts(log: DataFrame, ts: str = "ts", tick: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., tick, negative, neutral, positive, total``."""
+    return sentiment_counts(ticked(log, ts, tick), [*by, "tick"])
+
+
+def _tenant(by: Sequence[str]) -> Column:
+    """All columns of a tenant as one key that is never null."""
+    return F.to_json(F.struct(*by)) if by else F.lit("")
+
+
+def _cell(micros: str, width: int) -> Column:
+    """Where the cell of a time begins."""
+    return F.col(micros) - F.pmod(F.col(micros), F.lit(width))
+
 
+def chain(first: np.ndarray, last: np.ndarray, span: int) -> tuple[list[int], list[int]]:
+    """The least and the greatest tick that each start in turn can be.
 
-def with_starts(ticks: DataFrame, by: Sequence[str] = (), days: int = WINDOW_DAYS) -> DataFrame:
-    """Ticks with the ``start_date`` of their window, in one ordered pass per tenant.
+    Cells come in order, with their first and last tick. A start is the first tick ``span`` or more
+    after the one before; cells tell it exactly, or up to the cell that it falls into.
+    """
+    low, high = [int(first[0])], [int(first[0])]
+    while True:
+        i, j = np.searchsorted(last, [low[-1] + span, high[-1] + span])
+        if i == len(last):
+            return low, high
+        least = max(low[-1] + span, int(first[i]))
+        if j == len(last):
+            most = int(last[-1])
+        else:
+            most = int(first[j]) if first[j] >= high[-1] + span else int(last[j])
+        low.append(least)
+        high.append(most)
+
+
+def window_starts(rows: DataFrame, by: Sequence[str] = (), days: int = WINDOW_DAYS) -> DataFrame:
+    """``_tenant, start_date, end_date, _start`` of the windows of rows with a ``tick``.
 
     The first tick opens a window, and so does each first tick ``days`` or more after the last
-    start. Elapsed time counts, not calendar days.
+    start. Elapsed time counts, not calendar days. A window ends where the next one of its tenant
+    starts; the open one has no end.
+
+    Ticks collapse to cells of time before any shuffle, and a tenant's cells are read in order.
+    Where they leave a start open, the cells it can fall into are parted and read again, down to
+    a microsecond at most; the other ticks are out by then.
     """
-    span, tenant, columns = int(days) * DAY_MICROS, "_tenant", list(ticks.columns)
-    keyed = ticks.withColumn(tenant, F.to_json(F.struct(*by)) if by else F.lit(""))
-    dealt = keyed.repartition(tenant) if by else keyed.coalesce(1)
-    ordered = dealt.sortWithinPartitions(tenant, "tick").select(*columns, tenant, F.unix_micros("tick").alias("_micros"))
-    schema = ordered.drop(tenant, "_micros").schema.add("_start", "long")
-
-    def fold(batches):
-        now, start = None, None
-        for batch in batches:
-            tenants, micros = batch.column(tenant).to_pylist(), batch.column("_micros").to_numpy()
-            out = np.empty(batch.num_rows, np.int64)
-            for i, (who, t) in enumerate(zip(tenants, micros.tolist())):
-                if who != now or t - start >= span:
-                    now, start = who, t
-                out[i] = start
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(out)], names=[*columns, "_start"]
-            )
-
-    folded = ordered.mapInArrow(fold, schema)
-    return folded.withColumn("start_date", F.timestamp_micros("_start")).drop("_start")
-
-
-def assign_windows(ticks: DataFrame, by: Sequence[str] = (), days: int = WINDOW_DAYS) -> DataFrame:
-    """Ticks with ``start_date`` and ``end_date`` of their window; the open one has no end.
-
-    A window ends where the next one of its tenant starts; there are four a year.
+    span = int(days) * DAY_MICROS
+    times = rows.select(_tenant(by).alias("_tenant"), F.unix_micros("tick").alias("_micros"))
+
+    def starts(cells: pd.DataFrame) -> pd.DataFrame:
+        ordered = cells.sort_values("_first")
+        low, high = chain(ordered["_first"].to_numpy(), ordered["_last"].to_numpy(), span)
+        return pd.DataFrame({"_tenant": cells["_tenant"].iloc[0], "_start": low, "_most": high})
+
+    width = max(1, span // CELLS)
+    while True:
+        cells = times.groupBy("_tenant", _cell("_micros", width).alias("_cell")).agg(
+            F.min("_micros").alias("_first"), F.max("_micros").alias("_last")
+        )
+        narrow = cells.select("_tenant", "_first", "_last").groupBy("_tenant")
+        found = written(narrow.applyInPandas(starts, "_tenant string, _start long, _most long"), "starts")
+        if found.where(F.col("_start") < F.col("_most")).isEmpty():
+            break
+        reach = F.explode(F.sequence(_cell("_start", width), F.col("_most"), F.lit(width).cast("long")))
+        held = fitted(found.select("_tenant", reach.alias("_cell")).distinct())
+        met = times.withColumn("_cell", _cell("_micros", width)).join(held.hinted(), ["_tenant", "_cell"], "left_semi")
+        times, width = met.drop("_cell"), max(1, width // PARTS)
+    order = Window.partitionBy("_tenant").orderBy("_start")
+    return found.select(
+        "_tenant",
+        F.timestamp_micros("_start").alias("start_date"),
+        F.timestamp_micros(F.lead("_start").over(order)).alias("end_date"),
+        "_start",
+    )
+
+
+def assign_windows(
+    rows: DataFrame, windows: DataFrame, by: Sequence[str] = (), days: int = WINDOW_DAYS
+) -> DataFrame:
+    """Rows with a ``tick``, with ``start_date`` and ``end_date`` of their window.
+
+    All ticks of a window are less than ``days`` after its start, so it meets two slots of that length.
     """
-    started = with_starts(ticks, by, days)
-    order = Window.partitionBy(*by).orderBy("start_date")
-    ends = started.select(*by, "start_date").distinct().withColumn("end_date", F.lead("start_date").over(order))
-    same = F.col("s.start_date") == F.col("e.start_date")
-    for c in by:
-        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}"))
-    return started.alias("s").join(ends.alias("e"), same).select("s.*", "e.end_date")
+    span = int(days) * DAY_MICROS
+    slot = _cell("_start", span)
+    slots = fitted(windows.withColumn("_slot", F.explode(F.array(slot, slot + F.lit(span)))))
+    keyed = rows.withColumns({"_tenant": _tenant(by), "_micros": F.unix_micros("tick")})
+    met = keyed.withColumn("_slot", _cell("_micros", span)).join(slots.hinted(), ["_tenant", "_slot"])
+    inside = (F.col("_micros") >= F.col("_start")) & (F.col("_micros") - F.col("_start") < span)
+    return met.where(inside).select(*rows.columns, "start_date", "end_date")
 
 
 def anchored_windows(
@@ -83,8 +135,10 @@ def anchored_windows(
     or more later, which opens the next one. It is neither a fixed grid nor a
     session: the anchor moves with the data.
     """
-    ticks = assign_windows(tick_counts(log, ts, tick, by), by, days)
-    return ticks.groupBy(*by, "start_date", "end_date").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    rows = ticked(log, ts, tick).select(*by, "tick", "sentiment")
+    return sentiment_counts(
+        assign_windows(rows, window_starts(rows, by, days), by, days), [*by, "start_date", "end_date"]
+    )
 
 
 def archive(windows: DataFrame, by: Sequence[str] = (), keep: int = ARCHIVES_KEPT) -> DataFrame:
@@ -184,7 +238,8 @@ def running_accumulation(
     log: DataFrame, ts: str = "ts", tick: str | None = None, by: Sequence[str] = (), days: int = WINDOW_DAYS
 ) -> DataFrame:
     """Running counts per sentiment inside each accumulation window."""
-    ticks = assign_windows(tick_counts(log, ts, tick, by), by, days)
+    starts = window_starts(ticked(log, ts, tick), by, days)
+    ticks = assign_windows(tick_counts(log, ts, tick, by), starts, by, days)
     order = (
         Window.partitionBy(*by, "start_date", "sentiment")
         .orderBy("tick")

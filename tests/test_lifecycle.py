@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.lifecycle import (
@@ -9,6 +11,7 @@ from plumbline.operators.lifecycle import (
     anchored_windows,
     archive,
     archived_total,
+    chain,
     lifecycle_views,
     memory_view,
     period_delta,
@@ -106,3 +109,45 @@ def test_sliding_equals_row_expansion(spark):
     columns = ["window_start", *COUNTS]
     assert got.select(*columns).exceptAll(direct.select(*columns)).isEmpty()
     assert direct.select(*columns).exceptAll(got.select(*columns)).isEmpty()
+
+
+@pytest.mark.parametrize("shape", ["dense", "bursts", "gaps"])
+def test_exact_times_equal_an_ordered_fold(spark, shape):
+    """Starts that differ by microseconds, in cells with many ticks, come out as one after another finds them."""
+    rng = random.Random(5)
+    step = {
+        "dense": lambda: rng.randrange(60_000_000),
+        "bursts": lambda: rng.choice([1, 2, 3, 86_400_000_000]) if rng.random() < 0.01 else rng.randrange(3),
+        "gaps": lambda: rng.randrange(200_000_000) if rng.random() < 0.999 else rng.randrange(10 * 86_400_000_000),
+    }[shape]
+    at, rows = START, []
+    for i in range(30_000):
+        at += timedelta(microseconds=step())
+        rows.append((at, KINDS[i % 3], "t"))
+    df = spark.createDataFrame(rows, "ts timestamp, sentiment string, tenant string")
+    want = as_set(fold(rows, 1))
+    assert len(want) > 5
+    for by in ([], ["tenant"]):
+        got = anchored_windows(df, by=by, days=1).collect()
+        assert {(r.start_date, r.end_date, r.negative, r.neutral, r.positive) for r in got} == want
+
+
+def test_no_task_reads_the_ticks_in_order(spark):
+    df, _ = log(spark, range(10), ["a", "b"])
+    plan = anchored_windows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan.replace("Sort [_tenant", "") and "Coalesce" not in plan
+
+
+def test_bounds_of_starts_hold_the_starts():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        ticks = np.unique(rng.integers(0, 3000, rng.integers(1, 200)))
+        span, width = int(rng.integers(1, 400)), int(rng.integers(1, 60))
+        starts = [int(ticks[0])]
+        while (after := ticks[ticks >= starts[-1] + span]).size:
+            starts.append(int(after[0]))
+        edges = np.unique(ticks // width, return_index=True)[1]
+        first, last = ticks[edges], ticks[np.append(edges[1:], len(ticks)) - 1]
+        low, high = chain(first, last, span)
+        assert len(low) >= len(starts) and all(a <= s <= b for a, s, b in zip(low, starts, high))
+        assert width > 1 or (low == starts and high == starts)
