@@ -116,9 +116,9 @@ def with_texts(spark, sf, rows):
 
 def train_eval(spark, sf):
     split = training_split(spark, sf)
-    rows = split.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    model = train_classifier(rows.where(F.col("split") == "train"))
-    test = score(rows.where(F.col("split") != "train"), {"tuned": PipelineScorer(model)})
+    train, held = split.where(F.col("split") == "train"), split.where(F.col("split") != "train")
+    model = train_classifier(with_texts(spark, sf, train))
+    test = score(with_texts(spark, sf, held), {"tuned": PipelineScorer(model)})
     return evaluation_report(test, "label", "tuned_pred")
 
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
+import plumbline.registry.scoring as registered
 from plumbline.operators.actions import action_list, action_rows, action_share
 from plumbline.operators.cache import cache_hit, cache_miss, with_key
 from plumbline.operators.evaluate import confusion_matrix, evaluate_overall, evaluate_per_class
@@ -136,3 +137,20 @@ def test_training_evaluates_its_rows_once(spark):
     assert [type(s).__name__ for s in model.stages] == [
         "RegexTokenizer", "HashingTF", "IDFModel", "LogisticRegressionModel",
     ]
+
+
+def test_texts_without_a_label_stay_out_of_the_shuffle(spark, monkeypatch):
+    """Both the training and the test rows meet their texts behind the filter of their own ids."""
+    plans = []
+
+    def spying(real):
+        def run(df, *args, **options):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return real(df, *args, **options)
+
+        return run
+
+    for name in ("train_classifier", "score"):
+        monkeypatch.setattr(registered, name, spying(getattr(registered, name)))
+    registered.train_eval(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and all("getbit" in plan for plan in plans)
