@@ -18,7 +18,7 @@ from plumbline.llm.queries import QUERY_KEY, tokenizer
 from plumbline.plans.small import written
 
 
-#: The tokenizer's states that a worker holds here: it runs beside what earlier stages have left.
+#: The tokenizer's states that a worker holds here, and only while its task runs: idle workers and earlier stages need the rest.
 STATES = 90_000
 
 
@@ -81,7 +81,7 @@ def sentencepiece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     are ``ids``, ``n_tokens`` and ``round_trip``, lengthened by ``_`` where a document has such a column.
     """
     ids, back = fresh(docs, "ids"), fresh(docs, "decoded")
-    coded = sentencepieces.encode(docs, tokenizer(), into=ids, decoded=back, states=STATES)
+    coded = sentencepieces.encode(docs, tokenizer(), into=ids, decoded=back, states=STATES, held=False)
     same = col(back).eqNullSafe(F.regexp_replace("text", "▁", " "))
     n, trip = fresh(docs, "n_tokens"), fresh(docs, "round_trip")
     return coded.withColumns({n: F.coalesce(F.size(ids), F.lit(0)).cast("long"), trip: same}).drop(back)

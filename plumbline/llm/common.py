@@ -44,6 +44,7 @@ def pin_batches(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Return memory that earlier work in this process no longer uses, so that it does not add to another operator's."""
+    pa.array([])  # loads pandas the first time: amid a memo's entries its objects would keep the memo's memory
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -84,12 +85,13 @@ def map_rows(
     into: str,
     kind: T.DataType,
     keep: Iterable[str] | None = None,
+    held: bool = True,
 ) -> DataFrame:
     """Every row with a further column ``into``, computed batch by batch without a shuffle.
 
     ``make()`` runs once per task and returns a function from the used Arrow
     columns to the new one. ``keep`` names the input columns that stay (all of
-    them by default; one called ``into`` gives way to the result).
+    them by default; one called ``into`` gives way to the result). ``held``: as in ``task``.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
     names = list(dict.fromkeys([*keep, *uses]))
@@ -109,9 +111,10 @@ def map_rows(
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in order), out.cast(arrow)], names=[*keep, into]
             )
+        fn = None
         give_back()
 
-    return df.select(*map(col, names)).mapInArrow(run, schema)
+    return df.select(*map(col, names)).mapInArrow(task(run, held), schema)
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
@@ -144,6 +147,23 @@ def make_room() -> None:
     give_back()
 
 
+def task(run: Callable, held: bool) -> Callable:
+    """``run`` over a task's batches; if not ``held``, the tokenizer goes when the task ends.
+
+    A held tokenizer saves the worker's next task its building. But every idle worker of an
+    executor has one then, and there are more of them than tasks at a time.
+    """
+
+    def alone(batches):
+        make_room()
+        try:
+            yield from run(batches)
+        finally:
+            make_room()
+
+    return run if held else alone
+
+
 class WordHash(dict):
     """Memo of 64-bit word hashes that forgets everything when it is full."""
 

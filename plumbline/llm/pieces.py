@@ -423,7 +423,7 @@ class Encoder:
     """Token ids of texts as packed 32-bit numbers, words remembered."""
 
     def __init__(self, lattice: Lattice, states: int = STATES):
-        self.lattice = lattice
+        self.lattice, self.states = lattice, states
         machine = Transducer(lattice, states) if lattice.v.merges else None
         self.unit = lambda u: self.pack(lattice.unit(u, machine and machine.path))
         word = machine.packed if machine else self.unit  # at most one space leads a word
@@ -533,5 +533,6 @@ def counts_of(model: bytes) -> Counts:
 
 def encoder_of(model: bytes, states: int = STATES) -> Encoder:
     lattice = lattice_of(model)
-    lattice.encoder = lattice.encoder or Encoder(lattice, states)
+    if lattice.encoder is None or lattice.encoder.states != states:
+        lattice.encoder = Encoder(lattice, states)
     return lattice.encoder

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import token_chunks as C
-from plumbline.llm.common import as_bytes, col, fresh, map_rows, quoted
+from plumbline.llm.common import as_bytes, col, fresh, map_rows, quoted, task
 from plumbline.llm.pieces import SPACE, STATES, decode, decode_known, encoder_of, lattice_of
 from plumbline.llm.token_counts import longest_text
 
@@ -35,9 +35,9 @@ def id_lists(packed: list[bytes]) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def traced(piece: dict, entry: tuple, exit_: tuple, model: bytes) -> bytes:
+def traced(piece: dict, entry: tuple, exit_: tuple, model: bytes, states: int = STATES) -> bytes:
     """Ids of the pieces that begin in a chunk, on the best way between two states."""
-    encoder, lattice = encoder_of(model), lattice_of(model)
+    encoder, lattice = encoder_of(model, states), lattice_of(model)
     v, core = lattice.v, piece["core"]
     known = C.boundaries(core, piece["before"], piece["after"], piece["first"], piece["last"], lattice)
 
@@ -89,7 +89,9 @@ def id_rows(lists: pa.Array):
         yield flat[a:b].tolist()
 
 
-def encoded_chunks(chunks: DataFrame, ways: DataFrame, model, decoded: bool) -> DataFrame:
+def encoded_chunks(
+    chunks: DataFrame, ways: DataFrame, model, decoded: bool, states: int = STATES, held: bool = True
+) -> DataFrame:
     """``(digest, chunk, ids, text)`` of all chunks; the text only if asked for."""
 
     def run(batches):
@@ -97,7 +99,7 @@ def encoded_chunks(chunks: DataFrame, ways: DataFrame, model, decoded: bool) ->
         for batch in batches:
             pieces = batch.column("piece").to_pylist()
             rows = zip(pieces, batch.column("entry").to_pylist(), batch.column("exit").to_pylist())
-            found = [traced(p, tuple(json.loads(e)), tuple(json.loads(x)), model.value) for p, e, x in rows]
+            found = [traced(p, tuple(json.loads(e)), tuple(json.loads(x)), model.value, states) for p, e, x in rows]
             ids = id_lists(found)
             texts = [decode_known(i, v, p["first"]) if decoded else None for i, p in zip(id_rows(ids), pieces)]
             yield pa.RecordBatch.from_arrays(
@@ -106,7 +108,7 @@ def encoded_chunks(chunks: DataFrame, ways: DataFrame, model, decoded: bool) ->
             )
 
     joined = chunks.join(ways.withColumnRenamed("at", "chunk"), ["digest", "chunk"])
-    return joined.mapInArrow(run, "digest string, chunk long, ids array<int>, text string")
+    return joined.mapInArrow(task(run, held), "digest string, chunk long, ids array<int>, text string")
 
 
 def encode(
@@ -118,6 +120,7 @@ def encode(
     keep: list[str] | None = None,
     decoded: str | None = None,
     states: int = STATES,
+    held: bool = True,
 ) -> DataFrame:
     """Documents with the token ids of their whole text, as the library gives them.
 
@@ -125,7 +128,8 @@ def encode(
     where it is; longer ones are cut and dealt over the cluster. Equal long texts are encoded once.
     A document's ids come together in one row, as its text does. ``decoded`` names a further column
     for the text that the ids decode to, chunk by chunk. ``states`` bounds what a worker remembers of
-    the tokenizer (about 600 bytes each): fewer take more time, the ids are the same.
+    the tokenizer (about 600 bytes each): fewer take more time, the ids are the same. ``held``: workers
+    keep the tokenizer for their next task, which takes memory while they are idle.
 
     Null texts have null ids, empty texts none. Rows are encoded one by one, repeated rows each;
     null ids and further columns pass through (those named like the results are replaced).
@@ -158,14 +162,14 @@ def encode(
         fields = zip(("ids", "text"), results)
         return df.select(*map(col, keep), *(F.col(f"{quoted(both)}.{f}").alias(name) for f, name in fields))
 
-    out = parts(map_rows(docs.where(F.coalesce(~giant, F.lit(True))), make, [text], both, kind, keep=keep))
+    out = parts(map_rows(docs.where(F.coalesce(~giant, F.lit(True))), make, [text], both, kind, keep=keep, held=held))
     if longest <= chunk:
         return out
     digest = fresh(docs, "digest")
     named = docs.where(giant).withColumn(digest, F.sha2(col(text).cast("binary"), 256))
-    chunks = C.chunked(named, text, digest, shared, chunk)
-    ways = C.ways(C.transferred(chunks, shared, with_counts=False), C.most_chunks(longest, chunk))
-    rows = encoded_chunks(chunks, ways, shared, bool(decoded)).groupBy("digest")
+    chunks = C.chunked(named, text, digest, shared, chunk, held)
+    ways = C.ways(C.transferred(chunks, shared, with_counts=False, held=held), C.most_chunks(longest, chunk))
+    rows = encoded_chunks(chunks, ways, shared, bool(decoded), states, held).groupBy("digest")
     joined = rows.agg(F.array_sort(F.collect_list(F.struct("chunk", "ids", "text"))).alias("parts"))
     whole = F.struct(F.flatten("parts.ids").alias("ids"), F.array_join("parts.text", "").alias("text"))
     found = joined.select(F.col("digest").alias(digest), whole.alias(both))

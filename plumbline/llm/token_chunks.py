@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, col
+from plumbline.llm.common import as_bytes, col, task
 from plumbline.llm.pieces import SPACE, Lattice
 
 CHUNK = 65_536
@@ -54,7 +54,7 @@ def normal(text: bytes, dummy: bool) -> str:
     return SPACE + marked if dummy and marked else marked
 
 
-def chunked(docs: DataFrame, text: str, digest: str, model, size: int) -> DataFrame:
+def chunked(docs: DataFrame, text: str, digest: str, model, size: int, held: bool = True) -> DataFrame:
     """``(digest, chunk, piece)`` of every distinct text, dealt out by both: the one time that giant texts move."""
 
     def run(batches):
@@ -78,7 +78,7 @@ def chunked(docs: DataFrame, text: str, digest: str, model, size: int) -> DataFr
                     start = end
 
     parts = docs.select(F.col(digest).alias("digest"), col(text).alias("t")).mapInArrow(
-        run, f"digest string, chunk long, piece {PIECE}"
+        task(run, held), f"digest string, chunk long, piece {PIECE}"
     )
     return parts.groupBy("digest", "chunk").agg(F.first("piece").alias("piece"))
 
@@ -242,7 +242,7 @@ def states_between(matrices: list[list], entry: tuple, exit_: tuple | None) -> l
     return out[::-1]
 
 
-def transferred(chunks: DataFrame, model, with_counts: bool) -> DataFrame:
+def transferred(chunks: DataFrame, model, with_counts: bool, held: bool = True) -> DataFrame:
     """``(digest, at, matrix)`` of all chunks."""
 
     def run(batches):
@@ -265,7 +265,7 @@ def transferred(chunks: DataFrame, model, with_counts: bool) -> DataFrame:
                 [batch.column("digest"), batch.column("chunk"), pa.array(found, pa.string())], names=["digest", "at", "matrix"]
             )
 
-    return chunks.mapInArrow(run, "digest string, at long, matrix string")
+    return chunks.mapInArrow(task(run, held), "digest string, at long, matrix string")
 
 
 def ordered(table: pa.Table) -> tuple[list[int], list[list]]:

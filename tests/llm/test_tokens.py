@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -6,10 +9,13 @@ import pytest
 import sentencepiece
 from conftest_llm import EDGE, SF, crowded, plain
 
+import corpus_pipeline as P
+from plumbline.llm import common
 from plumbline.llm import pieces as K
 from plumbline.llm import sentencepieces as E
 from plumbline.llm import token_chunks as C
 from plumbline.llm import token_counts as N
+from plumbline.llm.common import task
 from plumbline.llm.queries import QUERIES
 
 MODEL = N.read_model(public_tokenizers.path("piece_bpe_32k.model"))
@@ -168,3 +174,40 @@ def test_decode_odd_ids(spark):
     got = dict(E.decode_ids(spark.createDataFrame(rows, "k int, ids array<int>"), MODEL).select("k", "text").collect())
     assert got[1] == LIB.decode(rows[0][1]) and got[2] is None and got[3] == got[4] == ""
     assert got[5].endswith(" ⁇  ⁇ ")
+
+
+def test_a_tokenizer_goes_with_its_task():
+    def run(batches):
+        for batch in batches:
+            yield len(K.encoder_of(MODEL).text(batch))
+
+    want = [len(LIB.encode(x)) * 4 for x in ("some words", "of a text")]
+    assert list(task(run, True)([b"some words", b"of a text"])) == want and K._KERNELS
+    assert list(task(run, False)([b"some words", b"of a text"])) == want and not K._KERNELS
+    left = task(run, False)([b"some words", b"of a text"])
+    next(left)
+    assert K._KERNELS
+    left.close()  # a task that is not read to its end
+    assert not K._KERNELS
+
+
+def test_no_task_of_the_pipeline_leaves_its_tokenizer(spark, edge, monkeypatch):
+    seen = []
+    for module in (common, C, E):
+        monkeypatch.setattr(module, "task", lambda run, held: seen.append(held) or task(run, held))
+    coded = P.sentencepiece_codes(spark, edge, SF)
+    assert seen == [False] * 4  # short texts; cutting, matrices and ids of long ones
+    assert all(r["ids"] == (r["text"] if r["text"] is None else LIB.encode(r["text"])) for r in coded.collect())
+
+
+def test_chunks_keep_to_the_bound_of_states():
+    text = C.normal(b"some words of a text", True)
+    piece = {"before": "", "core": text, "after": "", "first": True, "last": True}
+    assert ids(E.traced(piece, C.OPEN, C.OPEN, MODEL, 77)) == LIB.encode("some words of a text")
+    assert K.lattice_of(MODEL).encoder.states == 77
+    assert K.encoder_of(MODEL).states == K.STATES
+
+
+def test_pandas_is_there_before_memos_fill():
+    code = "import sys; from plumbline.llm.common import give_back; give_back(); assert 'pandas' in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(P.__file__))
