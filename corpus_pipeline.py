@@ -19,7 +19,7 @@ from plumbline.plans.small import written
 
 
 #: The tokenizer's states that a worker holds here, and only while its task runs: idle workers and earlier stages need the rest.
-STATES = 90_000
+STATES = 60_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,7 +91,8 @@ def map_rows(
 
     ``make()`` runs once per task and returns a function from the used Arrow
     columns to the new one. ``keep`` names the input columns that stay (all of
-    them by default; one called ``into`` gives way to the result). ``held``: as in ``task``.
+    them by default; one called ``into`` gives way to the result). ``held``: as in ``task``; if not,
+    what a batch took is given back after it, too.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
     names = list(dict.fromkeys([*keep, *uses]))
@@ -111,6 +112,9 @@ def map_rows(
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in order), out.cast(arrow)], names=[*keep, into]
             )
+            if not held:
+                batch = out = None
+                give_back()
         fn = None
         give_back()
 

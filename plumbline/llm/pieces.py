@@ -23,10 +23,13 @@ SPACE = "\u2581"
 SPACE_BYTES = SPACE.encode()
 UNKNOWN_PENALTY = 10.0  # fixed value of unigram models
 MARKS = b".,!?;:%$&*#|)\"'-"
-#: What is remembered besides the machine's states.
+#: What is remembered besides the machine's states, in an encoder of fewer states as much less.
 LED_BYTES, BARE_BYTES, PAIRS = 56 << 20, 12 << 20, 80_000
-#: States that a machine may hold, about 600 bytes each, before it starts again.
+#: States that a machine may hold, about 400 bytes each, before it starts again.
 STATES = 220_000
+#: Bits of a character, and of a state's number in a move: what the move emits stands above them.
+CHAR, STATE = 21, 32
+NUMBER = (1 << STATE) - 1
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -131,6 +134,7 @@ class Lattice:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.most_pairs = PAIRS
         self.halves: dict[str, tuple[str, str] | None] = {}
 
     def compatible(self, left: str, right: str) -> bool:
@@ -139,7 +143,7 @@ class Lattice:
             return True
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > PAIRS:
+            if len(self.pairs) > self.most_pairs:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.apart(left, right)
         return known
@@ -248,6 +252,9 @@ class Transducer:
     ends there and how many tokens lie before it, less the least of these numbers. Reading a
     character moves to the next state and emits by how much that least number rose; a word's end
     emits what its last place has above it. States are few, as places die once no piece fits.
+
+    All moves are in one table by state and character, as the next state and what is emitted in one
+    number, and a state is one flat tuple: a table and tuples for each state took twice the memory.
     """
 
     def __init__(self, lattice: Lattice, limit: int = STATES):
@@ -256,16 +263,17 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        start = (("", "", 0),)
+        start = ("", "", 0)
         self.states = [start]
         self.number = {start: 0}
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.moves: dict[int, int] = {}
         self.last = [0]
         self.tails: list[tuple[int, bytes] | None] = [None]  # length and packed id of the piece that ends here
 
-    def move(self, state: int, char: str) -> tuple[int, int]:
-        v, places, new = self.lattice.v, [], None
-        for pending, left, n in self.states[state]:
+    def move(self, state: int, code: int) -> int:
+        v, places, new, char = self.lattice.v, [], None, chr(code)
+        held = iter(self.states[state])
+        for pending, left, n in zip(held, held, held):
             piece = v.one.get(pending + char) or pending + char
             fits = not pending or (piece in v.ids and self.lattice.usable(piece))
             if fits and new is None and self.lattice.compatible(left, piece):
@@ -274,16 +282,15 @@ class Transducer:
                 places.append((piece, left, n))
         places.append(new)
         least = min(n for _, _, n in places)
-        key = tuple((p, left, n - least) for p, left, n in places)
+        key = tuple(x for p, left, n in places for x in (p, left, n - least))
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-            self.last.append(key[-1][2])
-            self.tails.append(self.tail(key[-1][1]))
-        self.moves[state][char] = (to, least)
-        return to, least
+            self.last.append(key[-1])
+            self.tails.append(self.tail(key[-2]))
+        move = self.moves[state << CHAR | code] = least << STATE | to
+        return move
 
     def tail(self, piece: str) -> tuple[int, bytes] | None:
         """Length and packed id of a piece, one object for all states that it ends in."""
@@ -295,17 +302,20 @@ class Transducer:
         """Tokens of a text between hard boundaries."""
         if len(self.states) > self.limit:
             self.reset()
-        state, n, moves = 0, 0, self.moves
-        for char in word:
-            state, emitted = moves[state].get(char) or self.move(state, char)
-            n += emitted
+        state, n, known = 0, 0, self.moves.get
+        for code in map(ord, word):
+            move = known(state << CHAR | code)
+            if move is None:
+                move = self.move(state, code)
+            state = move & NUMBER
+            n += move >> STATE
         return n + self.last[state]
 
     def path(self, word: str) -> list[str]:
         """Pieces of a text between hard boundaries: each state knows the piece that ends where it stands."""
         ends, n, out = self.ends(word), len(word), []
         while n:
-            piece = self.states[ends[n - 1]][-1][1] or word[n - 1]
+            piece = self.states[ends[n - 1]][-2] or word[n - 1]
             out.append(piece)
             n -= len(piece)
         return out[::-1]
@@ -314,9 +324,10 @@ class Transducer:
         """The state after each character."""
         if len(self.states) > self.limit:
             self.reset()
-        state, moves, ends = 0, self.moves, []
-        for char in word:
-            state = (moves[state].get(char) or self.move(state, char))[0]
+        state, known, ends = 0, self.moves.get, []
+        for code in map(ord, word):
+            move = known(state << CHAR | code)
+            state = (self.move(state, code) if move is None else move) & NUMBER
             ends.append(state)
         return ends
 
@@ -357,8 +368,11 @@ def marks_off(word: bytes, v: Vocabulary) -> int:
     return 0 if left + chr(word[len(stem)]) in v.neighbours else len(stem)
 
 
-def by_words(make, v: Vocabulary, size=len) -> tuple[Memo, Memo]:
-    """Memos of words with a space before them and of bare ones; a word with closing marks is put together."""
+def by_words(make, v: Vocabulary, size=len, share: float = 1.0) -> tuple[Memo, Memo]:
+    """Memos of words with a space before them and of bare ones; a word with closing marks is put together.
+
+    ``share``: of the bytes that they may take.
+    """
 
     def of(lead: str, own):
         def miss(word: bytes):
@@ -367,8 +381,8 @@ def by_words(make, v: Vocabulary, size=len) -> tuple[Memo, Memo]:
 
         return miss
 
-    led = Memo(of(SPACE, lambda: led), LED_BYTES, size)
-    bare = Memo(of("", lambda: bare), BARE_BYTES, size)
+    led = Memo(of(SPACE, lambda: led), int(LED_BYTES * share), size)
+    bare = Memo(of("", lambda: bare), int(BARE_BYTES * share), size)
     return led, bare
 
 
@@ -420,14 +434,16 @@ class Counts:
 
 
 class Encoder:
-    """Token ids of texts as packed 32-bit numbers, words remembered."""
+    """Token ids of texts as packed 32-bit numbers, words remembered; with fewer ``states`` as much less of all."""
 
     def __init__(self, lattice: Lattice, states: int = STATES):
         self.lattice, self.states = lattice, states
+        share = min(1.0, states / STATES)
+        lattice.most_pairs = int(PAIRS * share)
         machine = Transducer(lattice, states) if lattice.v.merges else None
         self.unit = lambda u: self.pack(lattice.unit(u, machine and machine.path))
         word = machine.packed if machine else self.unit  # at most one space leads a word
-        self.led, self.bare = by_words(word, lattice.v)
+        self.led, self.bare = by_words(word, lattice.v, share=share)
         apart = "\n" not in lattice.v.chars
         self.newline = self.pack(lattice.v.token_ids("\n")) if apart else b""
 

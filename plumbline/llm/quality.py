@@ -175,7 +175,9 @@ def references(
     is_word, n, share = F.col("kind") == "w", F.sum("n").alias("n"), F.lit(limits.common_share)
     totals = counts.where(is_word).groupBy("lang").agg(F.sum("n").alias("total"))
     large = totals.where(F.col("total") >= limits.least_language).collect()
-    names = spark.createDataFrame([(r["lang"], r["total"]) for r in large], "big string, total long")
+    # Arrow tables: of rows, Spark would start Python workers of another kind, which stay in every executor.
+    big = pa.table([pa.array([r["lang"] for r in large], pa.string()), pa.array([r["total"] for r in large], pa.int64())], ["big", "total"])
+    names = spark.createDataFrame(big, "big string, total long")
     keyed = counts.join(F.broadcast(names), F.col("lang").eqNullSafe(F.col("big")), "left")
     own = keyed.where(F.col("total").isNotNull() & (~is_word | (F.col("n") >= share * F.col("total"))))
     out = {r["lang"]: ({}, np.zeros(8), r["total"]) for r in large}
@@ -194,7 +196,7 @@ def references(
         candidates |= {bytes(r["word"]) for r in rest.where(F.col("n") >= share * F.lit(rest_total)).collect()}
         total = rest_total + sum(r["total"] for r in large)
     if total:
-        chosen = F.broadcast(spark.createDataFrame([(w,) for w in candidates], "word binary"))
+        chosen = F.broadcast(spark.createDataFrame(pa.table([pa.array(sorted(candidates), pa.binary())], ["word"]), "word binary"))
         words = counts.where(is_word).join(chosen, "word", "left_semi").groupBy("word").agg(n)
         common = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= share * F.lit(total)).collect()}
     classes = np.zeros(8)

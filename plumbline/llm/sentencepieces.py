@@ -128,7 +128,7 @@ def encode(
     where it is; longer ones are cut and dealt over the cluster. Equal long texts are encoded once.
     A document's ids come together in one row, as its text does. ``decoded`` names a further column
     for the text that the ids decode to, chunk by chunk. ``states`` bounds what a worker remembers of
-    the tokenizer (about 600 bytes each): fewer take more time, the ids are the same. ``held``: workers
+    the tokenizer (about 400 bytes each, and words and pairs in proportion): fewer take more time, the ids are the same. ``held``: workers
     keep the tokenizer for their next task, which takes memory while they are idle.
 
     Null texts have null ids, empty texts none. Rows are encoded one by one, repeated rows each;

@@ -72,6 +72,18 @@ def test_references_cover_all_documents(documents):
         }
 
 
+def test_references_start_no_python_workers_of_another_kind(spark, documents, monkeypatch):
+    """Rows given as tuples are pickled by Python workers that stay in every executor (three processes each)."""
+    want = Q.references(documents)
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows go through an RDD of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    got = Q.references(documents)
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] for k in want)
+
+
 def test_labelled_junk_goes_and_prose_stays(spark, documents):
     kept = {r["doc_id"]: r["kept"] for r in QUERIES["op10_divergence"](spark, SF).collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

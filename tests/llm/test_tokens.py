@@ -2,6 +2,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -211,3 +212,32 @@ def test_chunks_keep_to_the_bound_of_states():
 def test_pandas_is_there_before_memos_fill():
     code = "import sys; from plumbline.llm.common import give_back; give_back(); assert 'pandas' in sys.modules"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(P.__file__))
+
+
+def test_an_encoder_of_few_states_remembers_little():
+    """Words and pairs were remembered in full whatever the states, and a state took twice as much."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9))) for _ in range(40_000)]
+    text = " ".join(words).encode()
+    vocabulary, want = K.lattice_of(MODEL).v, LIB.encode(text.decode())
+    encoder = K.Encoder(K.Lattice(vocabulary), 5000)
+    tracemalloc.start()
+    try:
+        got = encoder.text(text, vocabulary.dummy)
+        held = tracemalloc.get_traced_memory()[0] - len(got)
+        assert ids(got) == want and held < 8 << 20
+        machine = K.Transducer(K.Lattice(vocabulary))
+        machine.lattice.most_pairs = 0
+        before = tracemalloc.get_traced_memory()[0]
+        for w in words[:10_000]:
+            machine.count(K.SPACE + w)
+        taken = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert len(machine.states) > 10_000 and taken < 550 * len(machine.states)
+
+
+def test_a_move_holds_any_number_of_emitted_tokens():
+    machine = K.Transducer(K.lattice_of(MODEL))
+    machine.moves[0 << K.CHAR | ord("x")] = 10**7 << K.STATE | 0  # far more than a byte or two could hold
+    assert machine.count("xx") == 2 * 10**7 + machine.last[0] and machine.ends("xx") == [0, 0]
